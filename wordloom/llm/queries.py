@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, mixing, sharding, token_files
+from . import byte_bpe, language_id, mixing, pu_quality, sharding, token_files, transport_stream, unigram_count
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 TABLE_SIZE = 4099
@@ -47,15 +47,42 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_checksums(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs, language_id.remainder(F.col("doc_id"), 3) != 1)
+    held_out = F.coalesce(language_id.remainder(F.col("doc_id"), 3) == 1, F.lit(False))
+    return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = tokenizer_path("byte_bpe_50k.tiktoken")
     return byte_bpe.digests(byte_bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks)
 
 
+def op7_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transport_stream.read_media(transport_stream.with_media(table(spark, sf_dir, "documents")))
+
+
 def op9_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id")
     return sharding.place(docs, "doc_id", sharding.lookup_table(spark, SHARDS, TABLE_SIZE), TABLE_SIZE)
 
 
+def quality_model(docs: DataFrame, labels: DataFrame) -> pu_quality.Model:
+    train = language_id.remainder(F.col("doc_id"), 5) != 0
+    return pu_quality.fit(docs, labels.filter((F.col("quality") == 1) & train).select("doc_id"), train)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_model(docs, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(language_id.remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    return pu_quality.predict(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mixing, op2_token_files, op6_byte_bpe, op9_lookup_sharding)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_token_files, op4_language_mixture, op5_token_counts, op6_byte_bpe, op7_transport_streams, op9_lookup_sharding, op10_quality)}
