@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, mixing, pu_quality, sharding, token_files, transport_stream, unigram_count
+from . import byte_bpe, language_id, mixing, ngram_join, pu_quality, sharding, token_files, transport_stream, unigram_count
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 TABLE_SIZE = 4099
@@ -47,6 +47,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_checksums(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked_components(table(spark, sf_dir, "documents"), words=5, pct=80)
+
+
 def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs, language_id.remainder(F.col("doc_id"), 3) != 1)
@@ -85,4 +89,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mixing, op2_token_files, op4_language_mixture, op5_token_counts, op6_byte_bpe, op7_transport_streams, op9_lookup_sharding, op10_quality)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_token_files, op3_ngram_jaccard, op4_language_mixture, op5_token_counts, op6_byte_bpe, op7_transport_streams, op9_lookup_sharding, op10_quality)}
