@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, mixing, ngram_join, pu_quality, sharding, token_files, transport_stream, unigram_count
+from . import byte_bpe, language_id, mixing, ngram_join, nn_descent, pu_quality, sharding, token_files, transport_stream, unigram_count
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 TABLE_SIZE = 4099
@@ -71,6 +71,10 @@ def op7_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport_stream.read_media(transport_stream.with_media(table(spark, sf_dir, "documents")))
 
 
+def op8_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest(table(spark, sf_dir, "embeddings"), lambda c: F.col(c) % 20 == 0, k=20)
+
+
 def op9_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id")
     return sharding.place(docs, "doc_id", sharding.lookup_table(spark, SHARDS, TABLE_SIZE), TABLE_SIZE)
@@ -89,4 +93,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mixing, op2_token_files, op3_ngram_jaccard, op4_language_mixture, op5_token_counts, op6_byte_bpe, op7_transport_streams, op9_lookup_sharding, op10_quality)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_token_files, op3_ngram_jaccard, op4_language_mixture, op5_token_counts, op6_byte_bpe, op7_transport_streams, op8_nn_descent, op9_lookup_sharding, op10_quality)}
