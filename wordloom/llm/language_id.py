@@ -146,3 +146,20 @@ def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colum
 
     kind = dict(docs.dtypes)[id_column]
     return docs.select(text_column, id_column).mapInArrow(run, f"`{id_column}` {kind}, lang_pred string, score double" + ", proportions map<string,double>" * proportions)
+
+
+def keep(docs: DataFrame, model: Model, least_share: float = 0.5, text_column: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose texts have letters and a language with at least that share of the words."""
+    columns = [text_column, *(c for c in docs.columns if c != text_column)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        letter = regex.compile(r"\p{L}")
+        for part, texts in text_steps(batches):
+            shares, has = infer(model, texts)
+            top = shares.max(axis=1, initial=0)
+            yield part.filter(pa.array([bool(h and s >= least_share and letter.search(t)) for h, s, t in zip(has, top, texts)], pa.bool_()))
+
+    ordered = docs.select(*columns)
+    return ordered.mapInArrow(run, ordered.schema).select(*docs.columns)

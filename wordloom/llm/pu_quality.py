@@ -150,3 +150,15 @@ def predict(docs: DataFrame, model: Model, threshold: float = 0.3, id_column: st
 
     kind = dict(docs.dtypes)[id_column]
     return docs.select(text_column, id_column).mapInArrow(run, f"`{id_column}` {kind}, score double, predicted int")
+
+
+def keep(docs: DataFrame, model: Model, threshold: float = 0.3, text_column: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose texts score at least the threshold."""
+    columns = [text_column, *(c for c in docs.columns if c != text_column)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_steps(batches):
+            yield part.filter(pa.array(model.score(features(texts)) >= threshold))
+
+    ordered = docs.select(*columns)
+    return ordered.mapInArrow(run, ordered.schema).select(*docs.columns)
