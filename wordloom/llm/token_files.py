@@ -4,16 +4,18 @@
 files. A row holds its shard, its start within the shard, its length and its ids, so that metadata can be read without
 the ids, and the ids of a few documents by their pages. `read_index` gives each document's start over all files.
 
-Texts are cut at spaces and line feeds, which no match of the tokenizer's pattern holds; each distinct word is encoded
-once by the library and then looked up. Null and empty texts hold the end id only. Rows with a null id come first;
+Texts are cut at spaces and line feeds, which no match of the tokenizer's pattern holds; new words are encoded by the
+library, many at a time, and looked up from then on. Null and empty texts hold the end id only. Rows with a null id come first;
 repeated ids stay in one shard, in the order of their ids' bytes. An empty table gives no rows; other columns are not
 read. Words that look like special tokens are ordinary text.
 """
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,50 +24,99 @@ from pyspark.sql import functions as F
 
 from .common import new_path, scan_partitions, text_steps
 
-#: Words that a worker remembers; beyond that it starts anew.
+#: Words that a worker remembers; beyond that the half met most often stays.
 CACHED_WORDS = 400_000
+#: A word of one id that parts new words when many are encoded as one text.
+PARTING = "\x01"
+_MARKS = frozenset(",.!?:;")
 INDEX_COLUMNS = ("doc_id", "shard", "start_in_shard", "n_tokens")
 
 
+def _is_latin(text: str) -> bool:
+    """Only characters of Latin-1: no composition, and one small letter for each large one."""
+    if text.isascii():
+        return True
+    try:
+        return bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
+
 class WordCodes:
     """The library's ids for each distinct word, in one flat array."""
 
     def __init__(self, path: str, end_id: int):
-        from tokenizers import Tokenizer
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.end_id = end_id
-        self.clear()
-
-    def clear(self) -> None:
+        (self.parting,) = self.tokenizer.encode(PARTING, add_special_tokens=False).ids
+        # The same merges without normalising and pattern, for words that need neither.
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        # The byte-level alphabet: bytes that print stand for themselves, others for the characters from 256 on.
+        prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.alphabet = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - prints)) if b != 32}
+        self.parting_byte = chr(self.alphabet[ord(PARTING)])
         self.code: dict = {None: 0}  # None stands for a document's end
-        self.flat = np.array([self.end_id], dtype=np.int32)
-        self.first, self.length = np.zeros(1, dtype=np.int64), np.ones(1, dtype=np.int64)
-
-    def learn(self, words: set) -> None:
-        if len(self.code) + len(words) > CACHED_WORDS:
-            self.clear()
-        new = [w for w in words if w not in self.code]
-        if not new:
-            return
-        ids = [x.ids for x in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-        self.code.update(zip(new, range(len(self.code), len(self.code) + len(new))))
-        length = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        self.flat = np.array([end_id], dtype=np.int32)
+        self.first, self.length, self.met = np.zeros(1, dtype=np.int64), np.ones(1, dtype=np.int64), np.ones(1, dtype=np.int64)
+
+    def forget(self) -> None:
+        """Keeps the half met most often."""
+        often = np.append(0, 1 + np.argsort(-self.met[1:], kind="stable")[: CACHED_WORDS // 2])
+        often.sort()
+        words = list(self.code)
+        self.code = {words[k]: n for n, k in enumerate(often.tolist())}
+        length = self.length[often]
+        stop = np.cumsum(length)
+        self.flat = self.flat[np.repeat(self.first[often] - stop + length, length) + np.arange(stop[-1])]
+        self.first, self.length, self.met = stop - length, length, self.met[often] // 2
+
+    def learn(self, new: list[str]) -> None:
+        """Words of small Latin letters, with a mark after them or not, are whole matches of the pattern; others go the long way."""
+        simple, other, odd = [], [], []
+        for w in new:
+            stem = w[:-1] if w[-1:] in _MARKS else w
+            (simple if stem.isalpha() and stem.islower() and _is_latin(stem) else odd if PARTING in w else other).append(w)
+        parted = [w if w[-1] not in _MARKS else f"{w[:-1]} {w[-1]}" for w in simple]
+        known = [self._encode(self.merges, parted, True), self._encode(self.tokenizer, other)]
+        more = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in odd]
+        flat = np.concatenate([known[0][0], known[1][0], np.array([i for x in more for i in x], dtype=np.int32)])
+        length = np.concatenate([known[0][1], known[1][1], np.fromiter(map(len, more), dtype=np.int64, count=len(more))])
+        self.code.update(zip([*simple, *other, *odd], range(len(self.code), len(self.code) + len(new))))
         self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(length) - length])
-        self.length = np.concatenate([self.length, length])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), dtype=np.int32)])
+        self.length, self.flat, self.met = np.concatenate([self.length, length]), np.concatenate([self.flat, flat]), np.concatenate([self.met, np.zeros(len(length), dtype=np.int64)])
+
+    def _encode(self, tokenizer, words: list[str], as_bytes: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and how many each word has."""
+        texts = [f" {PARTING} ".join([*words[k : k + 200], ""]) for k in range(0, len(words), 200)]
+        if as_bytes:
+            texts = [t.replace(PARTING, self.parting_byte) if t.isascii() else t.encode().decode("latin-1").translate(self.alphabet) for t in texts]
+        ids = [np.array(x.ids, dtype=np.int32) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.concatenate([*ids, np.empty(0, dtype=np.int32)])
+        part = ids == self.parting
+        return ids[~part], np.diff(np.flatnonzero(part), prepend=-1) - 1
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has, its end included."""
+        if len(self.code) > CACHED_WORDS:
+            self.forget()
         words: list = []
         ends = np.empty(len(texts), dtype=np.int64)
         for k, text in enumerate(texts):
-            words += text.replace("\n", " ").split(" ")
+            # The tokenizer ignores case; in Latin-1 that is one letter for another.
+            words += (text.lower() if _is_latin(text) else text).replace("\n", " ").split(" ")
             words.append(None)
             ends[k] = len(words)
-        self.learn(set(words))
-        codes = np.fromiter(map(self.code.__getitem__, words), dtype=np.int64, count=len(words))
+        codes = np.fromiter(map(self.code.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        missing = np.flatnonzero(codes < 0).tolist()
+        if missing:
+            unknown = [words[k] for k in missing]
+            self.learn(list(dict.fromkeys(unknown)))
+            codes[missing] = [self.code[w] for w in unknown]
+        self.met += np.bincount(codes, minlength=len(self.met))
         length = self.length[codes]
         stop = np.cumsum(length)
         ids = self.flat[np.repeat(self.first[codes] - stop + length, length) + np.arange(stop[-1] if len(stop) else 0)]
