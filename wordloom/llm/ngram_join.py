@@ -36,7 +36,7 @@ from .components import components
 NO_ID = -(1 << 63)
 SIGNATURE_WORDS = 8
 #: Shingles that a task holds before it hands them on.
-HELD = 2_000_000
+HELD = 400_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -224,7 +224,7 @@ def _verified(pairs: DataFrame, profiles: DataFrame, pct: int) -> DataFrame:
     """The pairs (a, b) whose sets overlap enough."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 200) for whole in batches for at in range(0, whole.num_rows, 200)):
             keep = []
             for x, y, total in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
                 both = np.concatenate([np.frombuffer(x, dtype="<i8"), np.frombuffer(y, dtype="<i8")])

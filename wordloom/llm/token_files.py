@@ -5,7 +5,7 @@ files. A row holds its shard, its start within the shard, its length and its ids
 the ids, and the ids of a few documents by their pages. `read_index` gives each document's start over all files.
 
 Texts are cut at spaces and line feeds, which no match of the tokenizer's pattern holds; new words are encoded by the
-library, many at a time, and looked up from then on. Null and empty texts hold the end id only. Rows with a null id come first;
+library, many at a time, and found by hash from then on. Null and empty texts hold the end id only. Rows with a null id come first;
 repeated ids stay in one shard, in the order of their ids' bytes. An empty table gives no rows; other columns are not
 read. Words that look like special tokens are ordinary text.
 """
@@ -15,7 +15,6 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import new_path, scan_partitions, text_steps
 
-#: Words that a worker remembers; beyond that the half met most often stays.
-CACHED_WORDS = 400_000
+#: Places for words that a worker remembers (a power of two), and ids held for them before unused ones are dropped.
+PLACES, HELD_IDS = 1 << 21, 4_000_000
 #: A word of one id that parts new words when many are encoded as one text.
 PARTING = "\x01"
 _MARKS = frozenset(",.!?:;")
@@ -42,8 +41,23 @@ def _is_latin(text: str) -> bool:
         return False
 
 
+def _random(seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+
+
+_BYTES, _CHECK = _random(1), _random(2)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    steps = np.full(n, base, dtype=np.uint64)
+    steps[:1] = 1
+    return np.multiply.accumulate(steps)
+
+
 class WordCodes:
-    """The library's ids for each distinct word, in one flat array."""
+    """The library's ids for each word met, found by 128 bits of hash; a new word takes the place of another."""
 
     def __init__(self, path: str, end_id: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
@@ -59,22 +73,22 @@ class WordCodes:
         prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
         self.alphabet = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - prints)) if b != 32}
         self.parting_byte = chr(self.alphabet[ord(PARTING)])
-        self.code: dict = {None: 0}  # None stands for a document's end
-        self.flat = np.array([end_id], dtype=np.int32)
-        self.first, self.length, self.met = np.zeros(1, dtype=np.int64), np.ones(1, dtype=np.int64), np.ones(1, dtype=np.int64)
+        self.place, self.check, self.code = np.zeros(PLACES, dtype=np.uint64), np.zeros(PLACES, dtype=np.uint64), np.full(PLACES, -1, dtype=np.int64)
+        self.flat = np.array([end_id], dtype=np.int32)  # code 0 stands for a document's end
+        self.first, self.length = np.zeros(1, dtype=np.int64), np.ones(1, dtype=np.int64)
+        self.up = self.down = np.empty(0, dtype=np.uint64)
 
     def forget(self) -> None:
-        """Keeps the half met most often."""
-        often = np.append(0, 1 + np.argsort(-self.met[1:], kind="stable")[: CACHED_WORDS // 2])
-        often.sort()
-        words = list(self.code)
-        self.code = {words[k]: n for n, k in enumerate(often.tolist())}
-        length = self.length[often]
+        """Drops the ids of words that have lost their place."""
+        used = self.code >= 0
+        live, now = np.unique(np.append(self.code[used], 0), return_inverse=True)
+        self.code[used] = now[:-1]
+        length = self.length[live]
         stop = np.cumsum(length)
-        self.flat = self.flat[np.repeat(self.first[often] - stop + length, length) + np.arange(stop[-1])]
-        self.first, self.length, self.met = stop - length, length, self.met[often] // 2
+        self.flat = self.flat[np.repeat(self.first[live] - stop + length, length) + np.arange(stop[-1])]
+        self.first, self.length = stop - length, length
 
-    def learn(self, new: list[str]) -> None:
+    def learn(self, new: list[str]) -> dict[str, int]:
         """Words of small Latin letters, with a mark after them or not, are whole matches of the pattern; others go the long way."""
         simple, other, odd = [], [], []
         for w in new:
@@ -85,9 +99,10 @@ class WordCodes:
         more = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in odd]
         flat = np.concatenate([known[0][0], known[1][0], np.array([i for x in more for i in x], dtype=np.int32)])
         length = np.concatenate([known[0][1], known[1][1], np.fromiter(map(len, more), dtype=np.int64, count=len(more))])
-        self.code.update(zip([*simple, *other, *odd], range(len(self.code), len(self.code) + len(new))))
+        known = {w: k for k, w in enumerate([*simple, *other, *odd], len(self.first))}
         self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(length) - length])
-        self.length, self.flat, self.met = np.concatenate([self.length, length]), np.concatenate([self.flat, flat]), np.concatenate([self.met, np.zeros(len(length), dtype=np.int64)])
+        self.length, self.flat = np.concatenate([self.length, length]), np.concatenate([self.flat, flat])
+        return known
 
     def _encode(self, tokenizer, words: list[str], as_bytes: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each word has."""
@@ -99,28 +114,54 @@ class WordCodes:
         part = ids == self.parting
         return ids[~part], np.diff(np.flatnonzero(part), prepend=-1) - 1
 
+    def _find(self, blob: bytes, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Codes of the words blob[start:stop]."""
+        data = np.frombuffer(blob, dtype=np.uint8)
+        if len(self.up) <= len(data):
+            self.up, self.down = _powers(_BASE, len(data) + 1), _powers(_INVERSE, len(data) + 1)
+        hashes = []
+        for values in (_BYTES, _CHECK):
+            total = np.zeros(len(data) + 1, dtype=np.uint64)
+            np.cumsum(values[data] * self.up[: len(data)], out=total[1:])
+            h = (total[stops] - total[starts]) * self.down[starts]
+            hashes.append((h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9))
+        h, check = hashes
+        slot = (h >> np.uint64(32) & np.uint64(PLACES - 1)).astype(np.int64)
+        codes = np.where((self.place[slot] == h) & (self.check[slot] == check), self.code[slot], -1)
+        missing = np.flatnonzero(codes < 0)
+        if len(missing):
+            _, one, which = np.unique(h[missing], return_index=True, return_inverse=True)
+            same = check[missing] == check[missing[one[which]]]
+            words = [blob[a:b].decode() for a, b in zip(starts[missing[one]].tolist(), stops[missing[one]].tolist())]
+            clash = [blob[a:b].decode() for a, b in zip(starts[missing[~same]].tolist(), stops[missing[~same]].tolist())]
+            known = self.learn(list(dict.fromkeys([*words, *clash])))
+            codes[missing] = np.array([known[w] for w in words], dtype=np.int64)[which]
+            codes[missing[~same]] = [known[w] for w in clash]
+            kept = missing[one]
+            self.place[slot[kept]], self.check[slot[kept]], self.code[slot[kept]] = h[kept], check[kept], codes[kept]
+        return codes
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has, its end included."""
-        if len(self.code) > CACHED_WORDS:
+        if len(self.flat) > HELD_IDS:
             self.forget()
-        words: list = []
-        ends = np.empty(len(texts), dtype=np.int64)
-        for k, text in enumerate(texts):
-            # The tokenizer ignores case; in Latin-1 that is one letter for another.
-            words += (text.lower() if _is_latin(text) else text).replace("\n", " ").split(" ")
-            words.append(None)
-            ends[k] = len(words)
-        codes = np.fromiter(map(self.code.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-        missing = np.flatnonzero(codes < 0).tolist()
-        if missing:
-            unknown = [words[k] for k in missing]
-            self.learn(list(dict.fromkeys(unknown)))
-            codes[missing] = [self.code[w] for w in unknown]
-        self.met += np.bincount(codes, minlength=len(self.met))
-        length = self.length[codes]
+        # The tokenizer ignores case; in Latin-1 that is one letter for another.
+        raw = [(t.lower() if _is_latin(t) else t).encode() for t in texts]
+        blob = b"\n".join([*raw, b""])
+        data = np.frombuffer(blob, dtype=np.uint8)
+        stops = np.flatnonzero((data == 32) | (data == 10))
+        starts = np.concatenate([[0], stops[:-1] + 1])[: len(stops)]
+        ends = np.cumsum(np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) + 1) - 1
+        last = np.searchsorted(stops, ends) + 1
+        real = stops > starts
+        codes = np.zeros(len(stops), dtype=np.int64)
+        codes[real] = self._find(blob, starts[real], stops[real])
+        length = np.where(real, self.length[codes], 0)
+        # Each text's end follows its last word.
+        codes, length = np.insert(codes, last, 0), np.insert(length, last, 1)
         stop = np.cumsum(length)
         ids = self.flat[np.repeat(self.first[codes] - stop + length, length) + np.arange(stop[-1] if len(stop) else 0)]
-        return ids, np.diff(stop[ends - 1], prepend=0)
+        return ids, np.diff(stop[last + np.arange(len(last))], prepend=0)
 
 
 _codes: dict = {}

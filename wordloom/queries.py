@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import layouts, tokens
-from .operators import counting, lexicon, personal, search, touch
+from .functions import hangul, layouts, scores, tokens, typing
+from .operators import annotations, conversion, counting, evaluation, lexicon, licences, personal, search, touch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -356,3 +356,213 @@ def touch_signal(spark, sf_dir):
 AND pow((a.x + a.w / 2 - b.x - b.w / 2) / 0.12, 2) + pow((a.y + a.h / 2 - b.y - b.h / 2) / 0.27, 2) <= 1""")
 def key_adjacency(spark, sf_dir):
     return touch.neighbours(_keys(spark)).drop("d2")
+
+
+# --- Annotations: parts' names are words, their brands texts
+
+_ANN = """w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word, CAST(p_size % 3 + 1 AS INT) AS grp, p_brand || '/' || p_size % 7 AS text FROM part),
+known AS (SELECT word FROM w GROUP BY word HAVING count(*) >= 2),
+once AS (SELECT word, text, min(grp) AS grp FROM w WHERE word IN (SELECT word FROM known) GROUP BY ALL),
+merged AS (SELECT * FROM (SELECT word, grp, text, CAST(row_number() OVER (PARTITION BY word, grp ORDER BY text) AS INT) AS place FROM once) WHERE place <= 3)"""
+
+
+def _part_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", F.explode(F.split("p_name", " ")).alias("word"), (F.col("p_size") % 3 + 1).cast("int").alias("grp"), F.concat("p_brand", F.lit("/"), F.col("p_size") % 7).alias("text"))
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = _part_words(spark, sf_dir)
+    return annotations.merge(w, w.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2"))
+
+
+@query(f"WITH {_ANN} SELECT * FROM merged")
+def annotation_topk(spark, sf_dir):
+    return _merged(spark, sf_dir)
+
+
+@query(f"WITH {_ANN} SELECT prefix, word, text, place FROM (SELECT prefix, word, text, CAST(row_number() OVER (PARTITION BY prefix ORDER BY word, text) AS INT) AS place FROM (SELECT prefix, text, min(word) AS word FROM (SELECT DISTINCT substr(word, 1, 1) AS prefix FROM merged) JOIN merged ON starts_with(word, prefix) GROUP BY ALL)) WHERE place <= 128")
+def annotation_search(spark, sf_dir):
+    m = _merged(spark, sf_dir)
+    return annotations.search(m.select(F.left("word", F.lit(1)).alias("prefix")).distinct(), m)
+
+
+@query("""SELECT category, CAST(display AS INT) AS display, text, CAST(row_number() OVER (PARTITION BY category ORDER BY ord, text) AS INT) AS place FROM
+(SELECT p_type AS category, p_brand AS text, min(p_partkey) AS ord FROM part GROUP BY ALL) JOIN (SELECT category, row_number() OVER (ORDER BY category DESC) AS display FROM (SELECT DISTINCT p_type AS category FROM part)) USING (category)""")
+def catalog_order(spark, sf_dir):
+    from pyspark.sql import Window
+
+    p = table(spark, sf_dir, "part")
+    shown = p.select(F.col("p_type").alias("category")).distinct().withColumn("display", F.row_number().over(Window.orderBy(F.desc("category"))))
+    return annotations.catalogue(p.select(F.col("p_type").alias("category"), F.col("p_brand").alias("text"), F.col("p_partkey").alias("ord")), shown)
+
+
+# --- Conversion: readings are the words of parts' names, spellings carry the type
+
+_DICT = """d0 AS (SELECT unnest(string_split(p_name, ' ')) AS reading, upper(p_brand) AS surface, CAST(p_size % 4 AS INT) AS left_id, CAST(p_size % 3 AS INT) AS right_id, CAST(100 * p_size + p_partkey % 97 AS INT) AS cost FROM part),
+dict AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY reading, surface ORDER BY cost, left_id, right_id) AS n FROM d0) WHERE n = 1)"""
+
+
+def _dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return p.select(
+        F.explode(F.split("p_name", " ")).alias("reading"), F.upper("p_brand").alias("surface"), (F.col("p_size") % 4).cast("int").alias("left_id"), (F.col("p_size") % 3).cast("int").alias("right_id"),
+        (100 * F.col("p_size") + F.col("p_partkey") % 97).cast("int").alias("cost"), (F.col("p_size") % 11 == 0).alias("dependent"),
+    )
+
+
+@query(f"WITH {_DICT} SELECT reading, surface, CAST(cost AS BIGINT) AS cost, CAST(row_number() OVER (PARTITION BY reading ORDER BY cost, strlen(surface), surface) AS INT) AS place FROM dict")
+def conversion_candidates(spark, sf_dir):
+    d = conversion.deduplicate(_dictionary(spark, sf_dir))
+    return conversion.candidates(d.select("reading").distinct(), d)
+
+
+@query(f"WITH {_DICT}, least AS (SELECT reading, min(cost) AS cost FROM dict GROUP BY 1) SELECT * FROM (SELECT prefix, reading, cost, CAST(row_number() OVER (PARTITION BY prefix ORDER BY cost, reading) AS INT) AS place FROM (SELECT DISTINCT substr(reading, 1, 1) AS prefix FROM least) JOIN least ON starts_with(reading, prefix)) WHERE place <= 6")
+def conversion_completions(spark, sf_dir):
+    d = conversion.deduplicate(_dictionary(spark, sf_dir))
+    return conversion.completions(d.select(F.left("reading", F.lit(1)).alias("prefix")).distinct(), d)
+
+
+@query("""SELECT a AS previous_right, b AS next_left, CAST(CASE WHEN a < 40 AND b < 40 THEN CASE WHEN (a * 7 + b) % 5 = 0 THEN 0 ELSE (a * 31 + b * 17) % 900 - 300 END ELSE 500 END AS INT) AS cost
+FROM (SELECT DISTINCT CAST(p_size AS INT) AS a FROM part) CROSS JOIN (SELECT DISTINCT CAST(p_size AS INT) AS b FROM part)""")
+def connection_costs(spark, sf_dir):
+    ids = table(spark, sf_dir, "part").select(F.col("p_size").cast("int").alias("a")).distinct()
+    cells = spark.range(1600).select((F.col("id") / 40).cast("int").alias("row"), (F.col("id") % 40).cast("int").alias("col"))
+    cells = cells.filter((F.col("row") * 7 + F.col("col")) % 5 != 0).withColumn("cost", ((F.col("row") * 31 + F.col("col") * 17) % 900 - 300).cast("int"))
+    # Fifty ids by fifty: the pairs asked for.
+    pairs = ids.select(F.col("a").alias("previous_right")).crossJoin(F.broadcast(ids.select(F.col("a").alias("next_left"))))
+    return conversion.connection_cost(pairs, cells, 40, 40)
+
+
+@query()
+def lattice_conversion(spark, sf_dir):
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sentence_id"), F.replace("p_name", F.lit(" "), F.lit("")).alias("reading"))
+    cells = spark.createDataFrame([(r, c, (r * 31 + c * 17) % 900 - 300) for r in range(3) for c in range(4) if r + c], "row int, col int, cost int")
+    return conversion.convert(names, _dictionary(spark, sf_dir), cells, (3, 4))
+
+
+# --- Measures: words typed with two letters swapped
+
+_CASES = """typed AS (SELECT word, substr(word, 1, 1) || substr(word, 3, 1) || substr(word, 2, 1) || substr(word, 4) AS q FROM lex WHERE regexp_full_match(word, '[a-z]{4,9}') AND substr(word, 2, 1) <> substr(word, 3, 1)),
+cost1 AS (SELECT t.q, t.word AS intended, l.word AS key, l.freq, CASE WHEN starts_with(l.word, t.q) THEN l.freq ELSE l.freq - 16383 END AS score FROM typed t JOIN lex l ON regexp_full_match(l.word, '[a-z]+') AND (starts_with(l.word, t.q) OR damerau_levenshtein(t.q, l.word) <= 1)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY q, intended ORDER BY score DESC, key) AS place FROM cost1),
+cases AS (SELECT t.q, t.word, (SELECT place FROM placed p WHERE p.q = t.q AND p.intended = t.word AND p.key = t.word AND place <= 12) AS place FROM typed t)"""
+
+
+@query(f"WITH {LEX}, {_CASES} SELECT count(*) AS cases, round(avg(CASE WHEN place = 1 THEN 1.0 ELSE 0 END), 6) AS top1, round(avg(CASE WHEN place <= 3 THEN 1.0 ELSE 0 END), 6) AS top3, round(avg(coalesce(1.0 / place, 0)), 6) AS mrr FROM cases")
+def mrr_report(spark, sf_dir):
+    _, keys = _typed(s := lexicon_of(spark, sf_dir))
+    w = F.col("word")
+    part = lambda i: F.substring(w, F.lit(i), F.lit(1))
+    cases = s["lexicon"].filter(w.rlike("^[a-z]{4,9}$") & (part(2) != part(3))).select(w.alias("intended"), F.concat(part(1), part(3), part(2), F.substring(w, F.lit(4), F.char_length(w))).alias("query"))
+    cases = cases.withColumn("query_id", F.concat_ws("/", "query", "intended"))
+    found = search.search(cases, keys).filter("key = intended").select("query_id", "place")
+    ranked = cases.join(found, "query_id", "left").withColumn("corrected", F.lit(False))
+    return evaluation.corrections(ranked).select("cases", *[F.round(c, 6).alias(c) for c in ("top1", "top3", "mrr")])
+
+
+@query(f"""WITH {LEX}, pre AS (SELECT word, freq, k, substr(word, 1, k) AS prefix FROM (SELECT word, freq, unnest(range(1, length(word) + 1)) AS k FROM lex)),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY freq DESC, word) AS place FROM pre) WHERE place <= 3),
+hit AS (SELECT word, min(k) AS k FROM top WHERE k < length(word) GROUP BY word)
+SELECT count(*) AS words, round(avg(1 - coalesce(k + 1, length(word) + 1) / (length(word) + 1)), 6) AS savings FROM lex LEFT JOIN hit USING (word)""")
+def keystroke_savings(spark, sf_dir):
+    keys = lexicon_of(spark, sf_dir)["lexicon"].select(F.col("word").alias("key"), "freq")
+    asked = keys.select(F.explode(search.prefixes(F.col("key"))).alias("query")).distinct()
+    shown = search.complete(asked, keys).select(F.col("query").alias("prefix"), F.col("key").alias("word"))
+    return evaluation.keystroke_savings(shown, keys.select(F.col("key").alias("word"))).select("words", F.round("savings", 6).alias("savings"))
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.99), 6) AS p99, round(max(value), 6) AS longest FROM events GROUP BY 1")
+def latency_percentiles(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.groupBy("event_type").agg(*[F.round(c, 6).alias(n) for n, c in (("p50", F.percentile("value", 0.5)), ("p99", F.percentile("value", 0.99)), ("longest", F.max("value")))])
+
+
+@query()
+def synthetic_slips(spark, sf_dir):
+    words = lexicon_of(spark, sf_dir)["lexicon"].select("word")
+    near = touch.neighbours(_keys(spark).filter("layout = 'qwerty'")).select("base", "near")
+    return evaluation.synthesise(words, near)
+
+
+# --- Closures, digests, keys, policy
+
+@query("""WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey > 1),
+r(root, node) AS (SELECT p_partkey, p_partkey FROM part WHERE p_size = 7 UNION SELECT r.root, e.dst FROM r JOIN e ON e.src = r.node) SELECT root, node FROM r""")
+def dependency_closure(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    edges = p.filter("p_partkey > 1").select(F.col("p_partkey").alias("src"), F.expr("p_partkey div 2").alias("dst"))
+    return licences.closure(edges, p.filter("p_size = 7").select(F.col("p_partkey").alias("root")))
+
+
+@query("SELECT page_id, sha256(html) AS digest, CAST(strlen(html) AS INT) AS bytes FROM pages")
+def source_hash(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("bytes"))
+
+
+_TYPED_ROWS = "(SELECT conv_id, turn, text FROM conversations)"
+
+
+@query(f"""SELECT conv_id, turn, coalesce(regexp_matches(text, '^[ \t]*$|\n[ \t]*$') OR regexp_matches(text, '[.!?…。？][ \t]+$'), true) AS sentence_start,
+coalesce(NOT regexp_matches(text, '[\\p{{L}}\\p{{N}}]$'), true) AS word_start FROM {_TYPED_ROWS}""")
+def sentence_starts(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", typing.sentence_start(F.col("text")).alias("sentence_start"), typing.word_start(F.col("text")).alias("word_start"))
+
+
+_CASED = "list_distinct(list_filter(regexp_split_to_array(text, '[^A-Za-z]+'), lambda x: x <> ''))"
+
+
+@query(f"""SELECT word, count(*) AS docs, CASE WHEN regexp_full_match(word, '[a-z]+') THEN 'lower' WHEN regexp_full_match(word, '[A-Z][a-z]*') THEN 'initial' WHEN regexp_full_match(word, '[A-Z]+') THEN 'upper' ELSE 'mixed' END AS casing, lower(word) AS folded
+FROM (SELECT unnest({_CASED}) AS word FROM documents) GROUP BY word""")
+def folded_words(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.split("text", "[^A-Za-z]+"))).alias("word")).filter("word <> ''")
+    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("docs"))
+    return counted.select("word", "docs", typing.casing(F.col("word")).alias("casing"), typing.fold(F.col("word")).alias("folded"))
+
+
+def _syllables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A syllable for each part: fixed by its key."""
+    code = F.lpad(F.hex(F.lit(0xAC00) + F.col("p_partkey") * 37 % 11172), 4, "0")
+    return table(spark, sf_dir, "part").select("p_partkey", F.decode(F.unhex(code), "UTF-16BE").alias("word"))
+
+
+@query("SELECT p_partkey, chr(CAST(44032 + p_partkey * 37 % 11172 AS INT)) AS word, (p_partkey * 37 % 11172) % 28 <> 0 AS has_final FROM part")
+def final_consonants(spark, sf_dir):
+    return _syllables(spark, sf_dir).withColumn("has_final", hangul.final_consonant(F.col("word")))
+
+
+@query("SELECT p_partkey, chr(CAST(44032 + p_partkey * 37 % 11172 AS INT)) AS word, chr(CAST(44032 + p_partkey * 37 % 11172 AS INT)) AS back FROM part")
+def jamo_round_trip(spark, sf_dir):
+    return _syllables(spark, sf_dir).withColumn("back", hangul.decode(hangul.encode(F.col("word"))))
+
+
+@query("SELECT event_id, CAST(greatest(1, least(65535, ((1 + CAST(round(greatest(0, least(1, value / hi)) * 65534) AS BIGINT) + 128) // 256) * 256)) AS INT) AS freq FROM (SELECT event_id, value, max(value) OVER () AS hi FROM events) WHERE value IS NOT NULL")
+def quantised_scores(spark, sf_dir):
+    e = table(spark, sf_dir, "events").filter("value IS NOT NULL")
+    return e.crossJoin(F.broadcast(e.agg(F.max("value").alias("hi")))).select("event_id", scores.quantise(F.col("value"), F.col("hi")).alias("freq"))
+
+
+@query(f"WITH {LEX}, {_USES} SELECT DISTINCT e.word, p.prefix FROM (SELECT DISTINCT word FROM observed) e, (SELECT word AS prefix FROM lex WHERE freq > 20000) p WHERE starts_with(e.word, p.prefix) AND length(p.prefix) < length(e.word)")
+def learned_prefixes(spark, sf_dir):
+    s = lexicon_of(spark, sf_dir)
+    return search.learned_prefixes(s["observed"].select("word").distinct(), s["lexicon"].filter("freq > 20000").select("word")).select("word", "prefix").distinct()
+
+
+@query(f"""WITH {LEX}, st AS (SELECT word, freq FROM lex WHERE freq > 30000), af(affix) AS (VALUES ('ing'), ('ed'), ('er'), ('th')),
+q AS (SELECT DISTINCT word AS query FROM observed WHERE length(word) BETWEEN 3 AND 8), c AS (SELECT q.query, st.word || af.affix AS key, max(st.freq) AS score FROM q JOIN st ON starts_with(q.query, st.word) AND length(q.query) > length(st.word) JOIN af ON starts_with(af.affix, substr(q.query, length(st.word) + 1)) WHERE st.word || af.affix NOT IN (SELECT word FROM lex) GROUP BY ALL)
+SELECT query, key, score, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS place FROM c) WHERE place <= 3""")
+def affix_combinations(spark, sf_dir):
+    s = lexicon_of(spark, sf_dir)
+    asked = s["observed"].filter(F.char_length("word").between(3, 8)).select(F.col("word").alias("query")).distinct()
+    affixes = spark.createDataFrame([("ing",), ("ed",), ("er",), ("th",)], "affix string")
+    return search.affix_combinations(asked, s["lexicon"].filter("freq > 30000").select("word", F.col("freq").alias("weight")), affixes, s["lexicon"].select(F.col("word").alias("key")))
+
+
+@query(f"""WITH {LEX}, c AS (SELECT f.l AS previous, l2.word AS key, l2.freq, coalesce(f2.weight, 0) AS w FROM (SELECT DISTINCT l FROM fol) f JOIN lex l2 ON starts_with(l2.word, 'th') LEFT JOIN fol f2 ON f2.l = f.l AND f2.r = l2.word)
+SELECT previous, key, freq + w AS score, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY previous ORDER BY freq + w DESC, key) AS place FROM c) WHERE place <= 3""")
+def rerank_context(spark, sf_dir):
+    s = model_of(spark, sf_dir)
+    before = s["bigrams"].select(F.col("left").alias("previous")).distinct()
+    cands = before.join(s["keys"].filter(F.col("key").startswith("th")).withColumn("cost", F.lit(0)), F.lit(True))
+    return search.rerank(cands, None, s["bigrams"], id_column="previous").select("previous", "key", F.col("score").cast("bigint").alias("score"), "place")
