@@ -34,7 +34,7 @@ def staged(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFr
     """df written once as Parquet in the shared folder and read again: cuts lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)  # an empty table may have no files to tell its columns
 
 
 def scan_partitions(df: DataFrame) -> int:
