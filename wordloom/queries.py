@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,9 @@ from pyspark.sql import functions as F
 
 from .functions import hangul, layouts, scores, tokens, typing
 from .operators import annotations, conversion, counting, evaluation, lexicon, licences, personal, search, touch
+from .session import checkpoint_folder
+from .sources import markup, tables, words
+from .streaming import learning
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -566,3 +570,84 @@ def rerank_context(spark, sf_dir):
     before = s["bigrams"].select(F.col("left").alias("previous")).distinct()
     cands = before.join(s["keys"].filter(F.col("key").startswith("th")).withColumn("cost", F.lit(0)), F.lit(True))
     return search.rerank(cands, None, s["bigrams"], id_column="previous").select("previous", "key", F.col("score").cast("bigint").alias("score"), "place")
+
+
+# --- Sources and sinks: pages' texts, parts' names as phrases, packs, catalogues, snapshots
+
+_HTML = r"regexp_replace(html, '<(script|style)\b.*?</(script|style)>|<!--.*?-->', ' ', 'gis')"
+_ENTITIES = "replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&amp;', '&')"
+_TEXT = "trim(regexp_replace(" + _ENTITIES.format(x=f"regexp_replace({_HTML}, '<[^>]*>', ' ', 'g')") + r", '[ \t\r\n]+', ' ', 'g'))"
+
+
+@query(f"SELECT page_id, {_TEXT} AS text FROM pages")
+def page_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", markup.html_text(F.col("html")).alias("text"))
+
+
+def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a word list: parts' names as phrases, with counts."""
+    phrase = F.replace("p_name", F.lit(" "), F.lit("^"))
+    return table(spark, sf_dir, "part").select(F.concat_ws("\t", phrase, F.col("p_size") % 5 + 1).alias("line"))
+
+
+@query("SELECT word, CAST(sum(n) AS BIGINT) AS cnt FROM (SELECT p_size % 5 + 1 AS n, unnest(string_split(p_name, ' ')) AS word FROM part) WHERE word <> '' GROUP BY word")
+def word_list_counts(spark, sf_dir):
+    return words.word_list(_phrases(spark, sf_dir), 0.5)["observed"]
+
+
+@query("SELECT DISTINCT word, 0.5::DOUBLE AS rank FROM (SELECT unnest(list_append(string_split(p_name, ' '), replace(p_name, ' ', ''))) AS word FROM part) WHERE word <> ''")
+def word_list_spellings(spark, sf_dir):
+    return words.word_list(_phrases(spark, sf_dir), 0.5)["attested"]
+
+
+@query(f"WITH {LEX} SELECT 'lexicon' AS section, count(*) AS row_count FROM lex UNION ALL SELECT 'bigram', count(*) FROM bi")
+def pack_manifest(spark, sf_dir):
+    s = model_of(spark, sf_dir)
+    folder = f"{checkpoint_folder(spark)}/pack-{uuid.uuid4().hex}"
+    return tables.write_pack(spark, {"lexicon": s["keys"], "bigram": s["bigrams"]}, folder, {"language": "all"}).select("section", "row_count")
+
+
+@query("SELECT s_suppkey AS name, s_acctbal AS value, 'old' AS version FROM supplier WHERE s_suppkey % 3 <> 0 UNION ALL SELECT s_suppkey, s_acctbal + 1, 'new' FROM supplier WHERE s_suppkey % 3 = 0")
+def catalogue_upsert(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("name"), F.col("s_acctbal").alias("value"))
+    return tables.upsert(s.withColumn("version", F.lit("old")), s.filter("name % 3 = 0").select("name", (F.col("value") + 1).alias("value"), F.lit("new").alias("version")))
+
+
+@query("SELECT r_name AS pack, string_agg(n_name || ' ' || n_nationkey || ' free > ' || r_name, chr(10) ORDER BY n_name) AS notice FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def notice_documents(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return tables.notices(n.select(F.col("r_name").alias("pack"), F.col("n_name").alias("source"), F.col("n_nationkey").cast("string").alias("version"), F.lit("free").alias("license"), F.col("r_name").alias("attribution")))
+
+
+@query(f"WITH {_USES} SELECT user_id, word, cnt AS count, CAST(last_used AS INT) AS last_used, CAST(clock AS INT) AS clock FROM uw")
+def snapshot_round_trip(spark, sf_dir):
+    return tables.restore_snapshot(tables.snapshot_lines(personal.uses(_events(spark, sf_dir))))
+
+
+# --- Streams over events' files
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A pattern, since a stream's plain path must be a folder and the table may be one file.
+    given = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
+    return given.select("user_id", F.col("event_id").alias("seq"), F.col("event_type").alias("word"), F.lit(learning.RECORD).alias("change"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+def _streamed(spark: SparkSession, df: DataFrame, mode: str) -> DataFrame:
+    folder = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+    learning.run_available(df, f"{folder}/rows", f"{folder}/state", mode)
+    return spark.read.parquet(f"{folder}/rows")
+
+
+@query(f"WITH {_USES} SELECT user_id, word, cnt AS count, CAST(last_used AS INT) AS last_used, CAST(clock AS INT) AS clock, cnt * 6553 + CASE WHEN clock - last_used < 10 THEN 16383 ELSE 0 END AS weight, cnt >= 2 AS learned FROM uw")
+def stream_learning(spark, sf_dir):
+    rows = _streamed(spark, learning.learned(_event_stream(spark, sf_dir)), "update")
+    latest = rows.groupBy("user_id").agg(F.max("batch").alias("batch"))
+    return rows.join(latest, ["user_id", "batch"], "left_semi").select("user_id", "word", "count", "last_used", "clock", "weight", "learned")
+
+
+@query("SELECT epoch_us(time_bucket(INTERVAL '1 hour', ts)) // 1000000 AS start, event_type AS word, count(*) AS events FROM events GROUP BY ALL")
+def stream_windowed_counts(spark, sf_dir):
+    rows = _streamed(spark, learning.windowed_counts(_event_stream(spark, sf_dir)), "update")
+    latest = rows.groupBy("start", "word").agg(F.max_by("events", "batch").alias("events"))
+    return latest.select(F.unix_seconds("start").alias("start"), "word", "events")
