@@ -23,14 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import text_steps
+from .span_hash import SpanHashes
 
 # Classes of characters. SDMT, EL, VE, AR, EE are the letters of contractions ('s 'd 'm 't 'll 've 're).
 LETTER, SDMT, EL, VE, AR, EE, NUMBER, OTHER, QUOTE, SPACE, WHITE, RESET = range(12)
 # States: what the last character belongs to. QUOTED: an apostrophe that starts a token; Q_*: a letter after it; DONE: a whole contraction.
 START, IN_LETTERS, IN_NUMBERS, IN_OTHERS, AT_SPACE, AT_WHITE, QUOTED, Q_L, Q_V, Q_R, DONE = range(11)
 N_CLASSES, N_STATES, BLOCK = 12, 11, 128
-#: Pieces that a worker remembers; beyond that it starts anew.
-CACHED_PIECES = 300_000
+#: Places for pieces that a worker remembers (a power of two), and ids held for them before unused ones are dropped.
+PLACES, HELD_IDS = 1 << 20, 6_000_000
+#: Characters that one step holds at most, unless a single text is longer.
+STEP = 400_000
 #: The characters with Unicode's White_Space property.
 WHITE_SPACE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
@@ -163,25 +166,64 @@ class Codec:
         self.length = np.fromiter(map(len, self.token), dtype=np.int64, count=size)
         self.first = np.cumsum(self.length) - self.length
         self.bytes = np.frombuffer(b"".join(self.token), dtype=np.uint8)
-        self.decimal = list(map(str, range(size)))
-        self.known: dict[str, list[int]] = {}
+        # Ids as decimals, each with a space after it.
+        decimals = [b"%d " % k for k in range(size)]
+        self.decimal_length = np.fromiter(map(len, decimals), dtype=np.int64, count=size)
+        self.decimal_first = np.cumsum(self.decimal_length) - self.decimal_length
+        self.decimals = np.frombuffer(b"".join(decimals), dtype=np.uint8)
+        self.hashes = SpanHashes()
+        self.place, self.check, self.code = np.zeros(PLACES, dtype=np.uint64), np.zeros(PLACES, dtype=np.uint64), np.full(PLACES, -1, dtype=np.int32)
+        self.flat = np.empty(0, dtype=np.int32)  # the ids of code k: flat[at[k]:at[k + 1]]
+        self.at = np.zeros(1, dtype=np.int64)
+
+    def _forget(self) -> None:
+        """Drops the ids of pieces that have lost their place."""
+        used = self.code >= 0
+        live, now = np.unique(self.code[used], return_inverse=True)
+        self.code[used] = now
+        length = np.diff(self.at)[live]
+        stop = np.cumsum(length)
+        self.flat = self.flat[np.repeat(self.at[live] - stop + length, length) + np.arange(stop[-1] if len(stop) else 0)]
+        self.at = np.concatenate([[0], stop])
+
+    def _learn(self, pieces: list[bytes]) -> np.ndarray:
+        """Codes of new pieces."""
+        merged = [merge(p, self.ranks) for p in pieces]
+        first = len(self.at) - 1
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(merged), dtype=np.int32)])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.fromiter(map(len, merged), dtype=np.int64, count=len(merged)))])
+        return first + np.arange(len(merged))
+
+    def _find(self, blob: bytes, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Codes of the pieces blob[start:stop], by 128 bits of hash; a new piece takes the place of another."""
+        h, check = self.hashes.of(np.frombuffer(blob, dtype=np.uint8), starts, stops)
+        slot = (h >> np.uint64(32) & np.uint64(PLACES - 1)).astype(np.int64)
+        codes = np.where((self.place[slot] == h) & (self.check[slot] == check), self.code[slot], -1).astype(np.int64)
+        missing = np.flatnonzero(codes < 0)
+        if len(missing):
+            both = np.empty(len(missing), dtype=[("h", np.uint64), ("check", np.uint64)])
+            both["h"], both["check"] = h[missing], check[missing]
+            _, one, which = np.unique(both, return_index=True, return_inverse=True)
+            kept = missing[one]
+            codes[missing] = self._learn([blob[a:b] for a, b in zip(starts[kept].tolist(), stops[kept].tolist())])[which]
+            self.place[slot[kept]], self.check[slot[kept]], self.code[slot[kept]] = h[kept], check[kept], codes[kept]
+        return codes
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has."""
+        if len(self.flat) > HELD_IDS:
+            self._forget()
         whole, at, ends = self.splitter.starts(texts)
-        where = at.tolist()
-        pieces = list(map(whole.__getitem__, map(slice, where, [*where[1:], len(whole)])))
-        for k in np.flatnonzero(ends).tolist():
-            pieces[k] = ""
-        new = set(pieces).difference(self.known)
-        if len(self.known) + len(new) > CACHED_PIECES:
-            self.known, new = {}, set(pieces)
-        for piece in new:
-            self.known[piece] = merge(piece.encode(), self.ranks) if piece else []
-        coded = list(map(self.known.__getitem__, pieces))
-        ids = np.fromiter(chain.from_iterable(coded), dtype=np.int32)
-        total = np.cumsum(np.fromiter(map(len, coded), dtype=np.int64, count=len(coded)))
-        return ids, np.diff(total[np.flatnonzero(ends)], prepend=0)
+        blob = whole.encode()
+        if len(blob) > len(whole):  # places of characters to places of bytes
+            at = np.flatnonzero(np.frombuffer(blob, dtype=np.uint8) & 0xC0 != 0x80)[at]
+        stops = np.append(at[1:], len(blob))
+        codes = self._find(blob, at[~ends], stops[~ends])
+        length = np.zeros(len(at), dtype=np.int64)
+        length[~ends] = own = self.at[codes + 1] - self.at[codes]
+        stop = np.cumsum(own)
+        ids = self.flat[np.repeat(self.at[codes] - stop + own, own) + np.arange(stop[-1] if len(stop) else 0)]
+        return ids, np.diff(np.cumsum(length)[ends], prepend=0)
 
     def byte_ends(self, ids: np.ndarray, stops: np.ndarray) -> np.ndarray:
         """Where each id's bytes end within its own text."""
@@ -189,6 +231,12 @@ class Codec:
         base = np.repeat(total[np.concatenate([[0], stops[:-1]]).astype(np.int64)], np.diff(stops, prepend=0)) if len(stops) else total[:0]
         return total[1:] - base
 
+    def as_decimals(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids as decimals with a space after each, and where each one ends."""
+        length = self.decimal_length[ids]
+        ends = np.cumsum(length)
+        return self.decimals[np.repeat(self.decimal_first[ids] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)], ends
+
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> bytes:
         """One text's bytes; ends places each token in the output."""
         length = self.length[ids]
@@ -215,7 +263,7 @@ def encode(docs: DataFrame, ranks: str, id_column: str = "doc_id", text_column:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks)
-        for part, texts in text_steps(batches):
+        for part, texts in text_steps(batches, STEP):
             ids, counts = own.encode(texts)
             stops = np.cumsum(counts)
             yield pa.RecordBatch.from_arrays([part.column(1), _lists(ids, stops), _lists(own.byte_ends(ids, stops), stops)], names=[id_column, "ids", "byte_ends"])
@@ -255,7 +303,7 @@ def digests(coded: DataFrame, ranks: str, id_column: str = "doc_id") -> DataFram
             n, of_ids, of_bytes = [], [], []
             for _, ids, decoded in _decoded([batch], own):
                 n.append(len(ids))
-                of_ids.append(hashlib.sha256(" ".join(map(own.decimal.__getitem__, ids.tolist())).encode()).hexdigest())
+                of_ids.append(hashlib.sha256(own.as_decimals(ids)[0][:-1]).hexdigest())
                 of_bytes.append(hashlib.sha256(decoded).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], names=[id_column, "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -263,3 +311,21 @@ def digests(coded: DataFrame, ranks: str, id_column: str = "doc_id") -> DataFram
     return coded.select(id_column, "ids", "byte_ends").mapInArrow(run, f"`{id_column}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
+def round_trip(docs: DataFrame, ranks: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """digests() of encode() in one pass: each step's ids are decoded where they were made, and only digests leave the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(ranks)
+        for part, texts in text_steps(batches, STEP):
+            ids, counts = own.encode(texts)
+            ends = np.cumsum(own.length[ids])
+            decoded, (decimals, decimal_ends) = own.decode(ids, ends), own.as_decimals(ids)
+            last = np.cumsum(counts)
+            views, of = (memoryview(decoded), memoryview(decimals)), []
+            for view, where, less in zip(views, (ends, decimal_ends), (0, 1)):
+                cuts = np.concatenate([[0], where])[last].tolist()
+                of.append(pa.array([hashlib.sha256(view[a : max(a, b - less)]).hexdigest() for a, b in zip([0, *cuts], cuts)], pa.string()))
+            yield pa.RecordBatch.from_arrays([part.column(1), pa.array(counts, pa.int64()), of[1], of[0]], names=[id_column, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kind = dict(docs.dtypes)[id_column]
+    return docs.select(text_column, id_column).mapInArrow(run, f"`{id_column}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

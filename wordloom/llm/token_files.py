@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, scan_partitions, text_steps
+from .span_hash import SpanHashes
 
 #: Places for words that a worker remembers (a power of two), and ids held for them before unused ones are dropped.
 PLACES, HELD_IDS = 1 << 21, 4_000_000
@@ -41,21 +42,6 @@ def _is_latin(text: str) -> bool:
         return False
 
 
-def _random(seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-
-
-_BYTES, _CHECK = _random(1), _random(2)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    steps = np.full(n, base, dtype=np.uint64)
-    steps[:1] = 1
-    return np.multiply.accumulate(steps)
-
-
 class WordCodes:
     """The library's ids for each word met, found by 128 bits of hash; a new word takes the place of another."""
 
@@ -76,7 +62,7 @@ class WordCodes:
         self.place, self.check, self.code = np.zeros(PLACES, dtype=np.uint64), np.zeros(PLACES, dtype=np.uint64), np.full(PLACES, -1, dtype=np.int64)
         self.flat = np.array([end_id], dtype=np.int32)  # code 0 stands for a document's end
         self.first, self.length = np.zeros(1, dtype=np.int64), np.ones(1, dtype=np.int64)
-        self.up = self.down = np.empty(0, dtype=np.uint64)
+        self.hashes = SpanHashes()
 
     def forget(self) -> None:
         """Drops the ids of words that have lost their place."""
@@ -116,16 +102,7 @@ class WordCodes:
 
     def _find(self, blob: bytes, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
         """Codes of the words blob[start:stop]."""
-        data = np.frombuffer(blob, dtype=np.uint8)
-        if len(self.up) <= len(data):
-            self.up, self.down = _powers(_BASE, len(data) + 1), _powers(_INVERSE, len(data) + 1)
-        hashes = []
-        for values in (_BYTES, _CHECK):
-            total = np.zeros(len(data) + 1, dtype=np.uint64)
-            np.cumsum(values[data] * self.up[: len(data)], out=total[1:])
-            h = (total[stops] - total[starts]) * self.down[starts]
-            hashes.append((h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9))
-        h, check = hashes
+        h, check = self.hashes.of(np.frombuffer(blob, dtype=np.uint8), starts, stops)
         slot = (h >> np.uint64(32) & np.uint64(PLACES - 1)).astype(np.int64)
         codes = np.where((self.place[slot] == h) & (self.check[slot] == check), self.code[slot], -1)
         missing = np.flatnonzero(codes < 0)
