@@ -52,8 +52,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes and decodes: (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
-    ranks = tokenizer_path("byte_bpe_50k.tiktoken")
-    return byte_bpe.digests(byte_bpe.encode(docs, ranks), ranks)
+    return byte_bpe.round_trip(docs, tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
 STAGES = [
