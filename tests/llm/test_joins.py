@@ -194,6 +194,24 @@ def test_a_larger_graph_reaches_nine_tenths(spark):
     assert len(want & {(r["query_id"], r["vec_id"]) for r in got}) >= 0.9 * len(want)
 
 
+def test_vectors_alone_in_their_boxes_are_linked(spark):
+    """A cone, and ten vectors and one more opposite to it."""
+    draw = np.random.default_rng(5)
+    x = 0.03 * draw.normal(size=(3011, 16))
+    x[:3000, 0] += 1
+    x[3000:3010, :2] += (-1, 1)
+    x[3010, :2] += (-1, -1)
+    ids = list(range(len(x)))
+    asked = [*range(0, 3000, 100), *range(3000, 3011)]
+    table = spark.createDataFrame([(i, x[i].tolist()) for i in ids], "vec_id bigint, embedding array<double>").repartition(4)
+    got = nn_descent.nearest(table, lambda c: F.col(c).isin(asked), plan=nn_descent.Plan(block=100, tables=3)).collect()
+    counts = {q: sum(r["query_id"] == q for r in got) for q in asked}
+    assert counts == {q: 20 for q in asked}
+    want = {(q, i) for q, n, i, _ in exact(ids, x, asked, 20) if q < 3000 or n <= 10}
+    assert len(want & {(r["query_id"], r["vec_id"]) for r in got}) >= 0.9 * len(want)
+    assert {(q, i) for q, i in want if q >= 3000} <= {(r["query_id"], r["vec_id"]) for r in got}
+
+
 def test_odd_vectors_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.5]), (1, [1.0, 0.5]), (2, [1.0, -0.5]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0, None]), (8, [1.0]), (20, [0.0, 1.0]), (40, [0.0, 0.0]), (None, [9.0, 9.0])]

@@ -4,11 +4,12 @@ Nearness is the largest inner product. Vectors are held in 8 bits a component (s
 built and searched; results are scored again in double precision on the original vectors.
 
 1. Start: vectors with the same signs on random directions meet in blocks of about `block` rows, in `tables` drawings;
-   larger sets are split by a hash. Each keeps its `degree` nearest of its blocks.
+   larger sets are split by a hash. Each keeps its `degree` nearest of its blocks. Those with fewer, as they met too few,
+   then meet one another in the same way, and about `block` vectors drawn by a hash: every vector has a full list.
 2. Each round of NN-descent joins neighbours of neighbours: every vector is sent to the centres it neighbours, in either
    direction, where all that meet are compared if the edge of one is new; what betters a vector's list goes back to it.
    A centre takes what arrives in runs of bounded length, so one with many neighbours costs no task more memory.
-3. A query starts from its own neighbours in the graph and keeps a beam of the best. In each hop the beam's vectors not
+3. A query starts from its own neighbours in the graph and drawn ones, and keeps a beam of the best. In each hop the beam's vectors not
    yet visited are joined with the graph, whose rows hold their neighbours' vectors; only better ones come back.
    It ends when no beam has anything left to visit, or after `hops`.
 
@@ -180,6 +181,47 @@ def _start(packed: DataFrame, dim: int, n: int, plan: Plan, partitions: int) ->
     return _best(met, plan.degree, partitions)
 
 
+def _drawn(packed: DataFrame, wanted: DataFrame, dim: int, n: int, plan: Plan, partitions: int, salt: int) -> DataFrame:
+    """For wanted's ids: the `degree` nearest of the vectors that a hash deals to the same box, about `block` of them."""
+    box = F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(max(1, n // max(plan.block, 4 * plan.degree))))
+    asked = wanted.select("id", F.lit(True).alias("asked"))
+    dealt = packed.select(box.alias("box"), "id", "packed").join(asked.select(box.alias("box")).distinct(), "box", "left_semi").join(asked, "id", "left").select("box", "id", "packed", "asked")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_groups(batches, 8 * plan.block):
+            boxes, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            x = unpack(batch.column(2).to_pylist(), dim)
+            asks = batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+            cuts = [*np.flatnonzero(np.append(True, boxes[1:] != boxes[:-1])).tolist(), len(boxes)]
+            for a, b in zip(cuts, cuts[1:]):
+                rows = np.flatnonzero(asks[a:b])
+                m = min(plan.degree, b - a - 1)
+                if m < 1:
+                    continue
+                for at in range(0, len(rows), plan.block):
+                    own = rows[at : at + plan.block]
+                    product = x[a:b][own] @ x[a:b].T
+                    product[np.arange(len(own)), own] = -np.inf
+                    top = np.argpartition(-product, m - 1, axis=1)[:, :m]
+                    score = np.take_along_axis(product, top, axis=1).astype("<f4")
+                    yield from _lists(np.repeat(ids[a:b][own], m), ids[a:b][top].ravel(), score.ravel(), np.ones(top.size, dtype=np.int8))
+
+    return dealt.repartition(partitions, "box").sortWithinPartitions("box").mapInArrow(meet, LISTS)
+
+
+def _completed(graph: DataFrame, packed: DataFrame, dim: int, n: int, plan: Plan, partitions: int) -> DataFrame:
+    """graph, in which every vector has `degree` neighbours, or all others where there are fewer."""
+    need = min(plan.degree, n - 1)
+    for salt in range(9):
+        short = staged(packed.join(graph.filter(F.octet_length("ids") >= 8 * need), "id", "left_anti") if need > 0 else packed.limit(0), "short")
+        count = short.count()
+        if not count:
+            return graph
+        mates = graph.unionByName(_start(short, dim, count, plan, partitions)) if not salt else graph
+        graph = staged(_best(mates.unionByName(_drawn(packed, short, dim, n, plan, partitions, salt)), plan.degree, partitions), "graph")
+    raise RuntimeError(f"{count} vectors have fewer than {need} neighbours")
+
+
 def _both_ways(graph: DataFrame, plan: Plan, partitions: int) -> DataFrame:
     """Each vector's neighbours and the nearest that have it as theirs."""
 
@@ -255,7 +297,7 @@ def _descend(graph: DataFrame, packed: DataFrame, dim: int, plan: Plan, partitio
 
 
 def build_graph(packed: DataFrame, dim: int, n: int, plan: Plan, partitions: int) -> DataFrame:
-    graph = staged(_start(packed, dim, n, plan, partitions), "graph")
+    graph = _completed(staged(_start(packed, dim, n, plan, partitions), "graph"), packed, dim, n, plan, partitions)
     for _ in range(plan.rounds):
         graph = staged(_descend(graph, packed, dim, plan, partitions), "graph")
     return graph
@@ -290,7 +332,8 @@ def nearest(vectors: DataFrame, is_query: Callable[[str], object], k: int = 20,
 
     around = staged(_sent(graph, packed, plan, partitions).mapInArrow(gather, "node bigint, members binary, packs binary"), "around")
     queries = base.filter(is_query("id")).select("id", "packed")
-    beams = staged(graph.join(queries.select("id"), "id", "left_semi").withColumn("flags", F.unhex(F.repeat(F.lit("01"), F.octet_length("flags")))), "beams")
+    own = graph.join(queries.select("id"), "id", "left_semi").withColumn("flags", F.unhex(F.repeat(F.lit("01"), F.octet_length("flags"))))
+    beams = staged(_best(own.unionByName(_drawn(packed, queries, dim, n, plan, partitions, -1)), plan.beam, partitions), "beams")
 
     def to_visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,6 +373,10 @@ def nearest(vectors: DataFrame, is_query: Callable[[str], object], k: int = 20,
         if beams.filter(F.contains("flags", F.unhex(F.lit("01")))).isEmpty():
             break
 
+    full = beams.agg(F.count(F.lit(1)).alias("beams"), F.min(F.octet_length("ids")).alias("least")).first()
+    if n > 1 and (full["beams"] != queries.count() or (full["beams"] and full["least"] < 8 * min(k, n - 1))):
+        raise RuntimeError("a query has fewer candidates than asked for")
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, counts = _flat(batch.column(1), "<i8")
