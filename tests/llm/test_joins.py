@@ -212,6 +212,28 @@ def test_vectors_alone_in_their_boxes_are_linked(spark):
     assert {(q, i) for q, i in want if q >= 3000} <= {(r["query_id"], r["vec_id"]) for r in got}
 
 
+def test_the_least_ids_of_equal_vectors_come_first(spark):
+    """A third of the rows are one vector, more than lists and beams hold, and ids are not in the rows' order."""
+    draw = np.random.default_rng(6)
+    x = np.round(draw.normal(size=(1200, 8)), 2)
+    x[draw.permutation(1200)[:400]] = 1.5
+    ids = list(range(1200))
+    asked = ids[::24]
+    table = spark.createDataFrame([(i, x[i].tolist()) for i in ids[::-1]], "vec_id bigint, embedding array<double>").repartition(4)
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in nn_descent.nearest(table, lambda c: F.col(c) % 24 == 0).collect()}
+    want = exact(ids, x, asked, 20)
+    assert len(got) == len(want) == 20 * len(asked)
+    same = [(q, n, i) for q, n, i, _ in want if (x[q] == 1.5).all()]
+    assert same and all(got[q, n][0] == i for q, n, i in same)
+    assert sum(got[q, n][0] == i for q, n, i, _ in want) >= 0.9 * len(want)
+
+
+def test_vectors_that_are_all_equal(spark):
+    table = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(200)], "vec_id bigint, embedding array<double>")
+    got = [tuple(r) for r in nn_descent.nearest(table, lambda c: F.col(c) % 100 == 0, k=3).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1, 5.0), (0, 2, 2, 5.0), (0, 3, 3, 5.0), (100, 1, 0, 5.0), (100, 2, 1, 5.0), (100, 3, 2, 5.0)]
+
+
 def test_odd_vectors_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.5]), (1, [1.0, 0.5]), (2, [1.0, -0.5]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0, None]), (8, [1.0]), (20, [0.0, 1.0]), (40, [0.0, 0.0]), (None, [9.0, 9.0])]

@@ -3,6 +3,9 @@
 Nearness is the largest inner product. Vectors are held in 8 bits a component (scaled per vector) while the graph is
 built and searched; results are scored again in double precision on the original vectors.
 
+Equal vectors are one class, under their least id, so copies fill neither lists nor beams: what follows is done over
+classes, and a query's nearest classes give their least ids at the end.
+
 1. Start: vectors with the same signs on random directions meet in blocks of about `block` rows, in `tables` drawings;
    larger sets are split by a hash. Each keeps its `degree` nearest of its blocks. Those with fewer, as they met too few,
    then meet one another in the same way, and about `block` vectors drawn by a hash: every vector has a full list.
@@ -49,11 +52,13 @@ class Plan:
     seed: int = 7
 
 
-def _usable(vectors: DataFrame, id_column: str, column: str) -> tuple[DataFrame, int]:
-    """(id, raw): original vectors as little-endian doubles; and their length."""
-    rows = vectors.select(F.col(id_column).cast("bigint").alias("id"), F.col(column).cast("array<double>").alias("v")).dropna()
+def _length(rows: DataFrame) -> int:
     common = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), F.desc("d")).first()
-    dim = common["d"] if common else 0
+    return common["d"] if common else 0
+
+
+def _usable(rows: DataFrame, dim: int) -> DataFrame:
+    """(id, raw): original vectors as little-endian doubles."""
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,9 +72,14 @@ def _usable(vectors: DataFrame, id_column: str, column: str) -> tuple[DataFrame,
             ids = batch.column(0).filter(pa.array(good))
             yield pa.RecordBatch.from_arrays([ids, pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "raw"])
 
-    if not dim:
-        return vectors.sparkSession.createDataFrame([], "id bigint, raw binary"), 0
-    return rows.mapInArrow(clean, "id bigint, raw binary").groupBy("id").agg(F.min("raw").alias("raw")), dim
+    return rows.mapInArrow(clean, "id bigint, raw binary").groupBy("id").agg(F.min("raw").alias("raw"))
+
+
+def _classes(usable: DataFrame, keep: int) -> DataFrame:
+    """(id, raw, ids): equal vectors as one, under their least id; ids are the `keep` least, ascending."""
+    order = Window.partitionBy("raw").orderBy("id")
+    least = usable.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= keep)
+    return least.groupBy("raw").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("id"), "raw", "ids")
 
 
 def pack(x: np.ndarray) -> list[bytes]:
@@ -276,7 +286,7 @@ def _descend(graph: DataFrame, packed: DataFrame, dim: int, plan: Plan, partitio
                     continue
                 product = x[a:b] @ x[a:b].T
                 product[~(new[:, None] | new)] = -np.inf
-                product[(product <= bound[a:b, None]) | (member[a:b, None] == member[a:b])] = -np.inf
+                product[(product < bound[a:b, None]) | (member[a:b, None] == member[a:b])] = -np.inf
                 m = min(plan.sent_back, b - a - 1)
                 if m < 1:
                     continue
@@ -306,7 +316,8 @@ def build_graph(packed: DataFrame, dim: int, n: int, plan: Plan, partitions: int
 def nearest(vectors: DataFrame, is_query: Callable[[str], object], k: int = 20, plan: Plan = Plan(), id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): for rows whose id meets is_query, the k nearest others found."""
     spark = vectors.sparkSession
-    usable, dim = _usable(vectors, id_column, column)
+    rows = vectors.select(F.col(id_column).cast("bigint").alias("id"), F.col(column).cast("array<double>").alias("v")).dropna()
+    dim = _length(rows)
     schema = f"query_id bigint, rank int, `{id_column}` bigint, score double"
     if not dim:
         return spark.createDataFrame([], schema)
@@ -317,10 +328,11 @@ def nearest(vectors: DataFrame, is_query: Callable[[str], object], k: int = 20,
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<f8").reshape(-1, dim)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pack(x), pa.binary())], names=["id", "raw", "packed"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pack(x), pa.binary())], names=["id", "raw", "ids", "packed"])
 
-    base = staged(usable.mapInArrow(shrink, "id bigint, raw binary, packed binary"), "vectors")
+    base = staged(_classes(_usable(rows, dim), k + 1).mapInArrow(shrink, "id bigint, raw binary, ids array<bigint>, packed binary"), "vectors")
     packed, n = base.select("id", "packed"), base.count()
+    asking = staged(_usable(rows.filter(is_query("id")), dim).withColumnRenamed("id", "query_id").join(base.select("id", "raw"), "raw").select("query_id", "id"), "asking")
     graph = build_graph(packed, dim, n, plan, partitions)
 
     # The graph with its neighbours' vectors: one row a vector, or more where many have it as a neighbour.
@@ -331,7 +343,7 @@ def nearest(vectors: DataFrame, is_query: Callable[[str], object], k: int = 20,
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary()))], names=["node", "members", "packs"])
 
     around = staged(_sent(graph, packed, plan, partitions).mapInArrow(gather, "node bigint, members binary, packs binary"), "around")
-    queries = base.filter(is_query("id")).select("id", "packed")
+    queries = staged(packed.join(asking.select("id").distinct(), "id", "left_semi"), "queries")
     own = graph.join(queries.select("id"), "id", "left_semi").withColumn("flags", F.unhex(F.repeat(F.lit("01"), F.octet_length("flags"))))
     beams = staged(_best(own.unionByName(_drawn(packed, queries, dim, n, plan, partitions, -1)), plan.beam, partitions), "beams")
 
@@ -355,7 +367,7 @@ def nearest(vectors: DataFrame, is_query: Callable[[str], object], k: int = 20,
                 ids = np.frombuffer(members, dtype="<i8")
                 raw = np.frombuffer(packs, dtype=np.uint8).reshape(-1, dim + 4)
                 score = raw[:, 4:].view(np.int8).astype(np.float32) @ x * np.ascontiguousarray(raw[:, :4]).view("<f4")[:, 0]
-                good = (score > low) & (ids != q)
+                good = (score >= low) & (ids != q)
                 if good.any():
                     found.append((np.full(int(good.sum()), q), ids[good], score[good]))
             if found:
@@ -386,10 +398,15 @@ def nearest(vectors: DataFrame, is_query: Callable[[str], object], k: int = 20,
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype="<f8").reshape(-1, dim) for k in (2, 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((a * b).sum(axis=1))], names=["query_id", id_column, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((a * b).sum(axis=1))], names=["query_id", "id", "score"])
 
-    pairs = beams.mapInArrow(spread, "query_id bigint, id bigint")
+    # Classes in the order of score and least id: the members of more than k + 1 of them are not needed, nor more than k + 1 of each.
+    pairs = beams.mapInArrow(spread, "query_id bigint, id bigint").unionByName(queries.select(F.col("id").alias("query_id"), "id"))
     scored = pairs.join(base.select("id", "raw"), "id").join(base.select(F.col("id").alias("query_id"), F.col("raw").alias("own")), "query_id")
-    scored = scored.select("query_id", "id", "raw", "own").mapInArrow(score, f"query_id bigint, `{id_column}` bigint, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_column)
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", id_column, "score")
+    scored = scored.select("query_id", "id", "raw", "own").mapInArrow(score, "query_id bigint, id bigint, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    met = scored.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1).join(base.select("id", "ids"), "id")
+    near = met.groupBy(F.col("query_id").alias("id")).agg(F.collect_list(F.transform("ids", lambda i: F.struct((-F.col("score")).alias("far"), i.alias("id")))).alias("near"))
+    near = near.select("id", F.slice(F.array_sort(F.flatten("near")), 1, k + 1).alias("near"))
+    found = asking.join(near, "id").select("query_id", F.posexplode(F.slice(F.filter("near", lambda x: x["id"] != F.col("query_id")), 1, k)).alias("place", "x"))
+    return found.select("query_id", (F.col("place") + 1).alias("rank"), F.col("x.id").alias(id_column), (-F.col("x.far")).alias("score"))
