@@ -105,12 +105,13 @@ def _cheapest(reading: str, edges: pd.DataFrame, connect: dict[tuple[int, int],
     return [(a, b) for a, b in out]
 
 
-def convert(sentences: DataFrame, entries: DataFrame, matrix: DataFrame | None = None, shape: tuple[int, int] = (0, 0), longest: int = 24, id_column: str = "sentence_id") -> DataFrame:
-    """(id, segment, reading, surface) of sentences(id, reading). matrix: connection costs, of `shape` rows and columns, which bound it."""
+def convert(sentences: DataFrame, entries: DataFrame, matrix: DataFrame | None = None, shape: tuple[int, int] = (0, 0), id_column: str = "sentence_id") -> DataFrame:
+    """(id, segment, reading, surface) of sentences(id, reading). matrix: connection costs, of `shape` rows and columns, which bound it. Spans are as long as the longest reading of the entries."""
     connect = {(r.row, r.col): r.cost for r in matrix.toLocalIterator()} if matrix is not None else None
     n = F.char_length("reading")
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.greatest(n - i + 1, F.lit(1)))), lambda k: F.struct((i - 1).alias("start"), k.alias("length")))))
-    cut = sentences.select(id_column, F.col("reading").alias("sentence"), F.explode(spans).alias("s"), "reading").select(id_column, "sentence", "s.start", "s.length", F.expr("substring(reading, s.start + 1, s.length)").alias("reading"))
+    bound = entries.agg(F.greatest(F.max(n), F.lit(1)).alias("longest_reading"))
+    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.col("longest_reading"), F.greatest(n - i + 1, F.lit(1)))), lambda k: F.struct((i - 1).alias("start"), k.alias("length")))))
+    cut = sentences.select(id_column, "reading").crossJoin(F.broadcast(bound)).select(id_column, F.col("reading").alias("sentence"), F.explode(spans).alias("s"), "reading").select(id_column, "sentence", "s.start", "s.length", F.expr("substring(reading, s.start + 1, s.length)").alias("reading"))
     met = cut.join(deduplicate(entries), "reading").drop("reading")
     lone = sentences.filter(n > 0).select(id_column, F.col("reading").alias("sentence"))
     blank = lone.select(id_column, "sentence", *[F.lit(None).cast(t).alias(c) for c, t in (("start", "int"), ("length", "int"), ("left_id", "int"), ("right_id", "int"), ("cost", "int"), ("surface", "string"), ("dependent", "boolean"))])
