@@ -21,7 +21,6 @@ def words():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path(WORDS))
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 1]
 
 
@@ -141,3 +140,63 @@ def test_token_counts_are_those_of_all_paths(odd, empty, small, small_rows):
     for doc_id, text in few.items():
         assert found[doc_id] == plain_count(counter, text or ""), doc_id
     assert unigram_count.count_tokens(empty, tokenizer_path(PIECES)).collect() == []
+
+
+def thue_morse(n: int, one: str, other: str) -> str:
+    return "".join(other if bin(k).count("1") % 2 else one for k in range(n))
+
+
+def test_words_that_polynomial_hashes_confuse(spark, words, bytes_of):
+    """Hashes modulo 2^64 give such words the same number; here they are told apart by their bytes."""
+    texts = [f"{thue_morse(4096, 'a', 'b')} {thue_morse(4096, 'b', 'a')}", thue_morse(4096, "b", "a"), "x" * 16 + " " + "x" * 17, "a\0 a \0a a\0\0"]
+    own = byte_bpe.codec(tokenizer_path(RANKS))
+    ids, counts = own.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [bytes_of(t) for t in texts]
+    table = token_files.WordCodes(tokenizer_path(WORDS), 1)
+    ids, counts = table.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [words(t) for t in texts]
+
+
+def test_added_tokens_are_the_librarys(words):
+    texts = ["a <|startoftext|> b", "plain", "<|endoftext|>", "A<|ENDOFTEXT|>b <| c", "", "x<|endoftext|><|endoftext|> y\n<|startoftext", "it's É<|endoftext|>É"]
+    table = token_files.WordCodes(tokenizer_path(WORDS), 1)
+    ids, counts = table.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [words(t) for t in texts]
+    assert 49406 in words(texts[0]) and 49407 in words(texts[2])
+
+
+def test_token_files_with_few_places_for_words(small_rows, words, monkeypatch):
+    monkeypatch.setattr(token_files, "PLACES", 64)
+    monkeypatch.setattr(token_files, "HELD_IDS", 300)
+    table = token_files.WordCodes(tokenizer_path(WORDS), 1)
+    for _, text in small_rows[:60]:
+        assert table.encode([text or ""])[0].tolist() == words(text)
+
+
+def test_token_counts_are_the_unigram_librarys(small_rows):
+    """The same pieces and scores in the tokenizers library's own unigram model; a small vocabulary with ties as well."""
+    from tokenizers import Tokenizer, models
+
+    def library(pieces):
+        pieces = [("<unk>", min(s for _, s in pieces)), *pieces]
+        own = Tokenizer(models.Unigram(pieces, 0, False))
+        return lambda text: len(own.encode(text, add_special_tokens=False).ids)
+
+    counter = unigram_count.counter(tokenizer_path(PIECES))
+    known = {c for p in counter.pieces for c in p if len(p) == 1}
+    count = library(list(counter.pieces.items()))
+    for _, text in small_rows[:60]:
+        text = "".join(c for c in (text or "") if c in known or c == " ")
+        marked = "▁" + text.replace(" ", "▁") if text else ""
+        assert next(counter.count([text]))[0] == count(marked)
+    few = object.__new__(unigram_count.Counter)
+    few.pieces = {"a": -2.0, "b": -2.0, "ab": -4.0, "ba": -4.0, "aba": -6.0, "▁": -3.0, "▁a": -5.0}
+    few.byte_fallback, few.unknown, few.known = False, -16.0, {}
+    few.automaton = __import__("ahocorasick").Automaton()
+    for piece, score in few.pieces.items():
+        few.automaton.add_word(piece, (len(piece), score))
+    few.automaton.make_automaton()
+    count, draw = library(list(few.pieces.items())), np.random.default_rng(9)
+    for n in range(1, 200):
+        text = "".join(draw.choice(list("ab "), size=int(n % 12) + 1))
+        assert next(few.count([text]))[0] == count("▁" + text.replace(" ", "▁")), text

@@ -6,8 +6,10 @@ states as a function; the functions that arise form a small closed set (the auto
 composing them is a table look-up, which is associative: blocks are scanned side by side, then the blocks' functions
 are scanned in log steps. Starts of tokens follow from the states before and after, with one character of look-ahead.
 
-Nulls count as empty texts, which have no ids; any text decodes to its own bytes. Repeated rows give repeated results,
-empty tables no rows; other columns are not read.
+Pieces met before are found by their bytes (span_hash.Places), so no two are taken for one another. Nulls count as empty
+texts, which have no ids; any text decodes to its own bytes. A text is encoded whole however long it is: one of more than
+STEP characters is a step of its own. Repeated rows give repeated results, empty tables no rows; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import text_steps
-from .span_hash import SpanHashes
+from .span_hash import Places
 
 # Classes of characters. SDMT, EL, VE, AR, EE are the letters of contractions ('s 'd 'm 't 'll 've 're).
 LETTER, SDMT, EL, VE, AR, EE, NUMBER, OTHER, QUOTE, SPACE, WHITE, RESET = range(12)
@@ -171,16 +173,13 @@ class Codec:
         self.decimal_length = np.fromiter(map(len, decimals), dtype=np.int64, count=size)
         self.decimal_first = np.cumsum(self.decimal_length) - self.decimal_length
         self.decimals = np.frombuffer(b"".join(decimals), dtype=np.uint8)
-        self.hashes = SpanHashes()
-        self.place, self.check, self.code = np.zeros(PLACES, dtype=np.uint64), np.zeros(PLACES, dtype=np.uint64), np.full(PLACES, -1, dtype=np.int32)
+        self.places = Places(PLACES)
         self.flat = np.empty(0, dtype=np.int32)  # the ids of code k: flat[at[k]:at[k + 1]]
         self.at = np.zeros(1, dtype=np.int64)
 
     def _forget(self) -> None:
         """Drops the ids of pieces that have lost their place."""
-        used = self.code >= 0
-        live, now = np.unique(self.code[used], return_inverse=True)
-        self.code[used] = now
+        live = self.places.renumber()
         length = np.diff(self.at)[live]
         stop = np.cumsum(length)
         self.flat = self.flat[np.repeat(self.at[live] - stop + length, length) + np.arange(stop[-1] if len(stop) else 0)]
@@ -194,21 +193,6 @@ class Codec:
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.fromiter(map(len, merged), dtype=np.int64, count=len(merged)))])
         return first + np.arange(len(merged))
 
-    def _find(self, blob: bytes, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-        """Codes of the pieces blob[start:stop], by 128 bits of hash; a new piece takes the place of another."""
-        h, check = self.hashes.of(np.frombuffer(blob, dtype=np.uint8), starts, stops)
-        slot = (h >> np.uint64(32) & np.uint64(PLACES - 1)).astype(np.int64)
-        codes = np.where((self.place[slot] == h) & (self.check[slot] == check), self.code[slot], -1).astype(np.int64)
-        missing = np.flatnonzero(codes < 0)
-        if len(missing):
-            both = np.empty(len(missing), dtype=[("h", np.uint64), ("check", np.uint64)])
-            both["h"], both["check"] = h[missing], check[missing]
-            _, one, which = np.unique(both, return_index=True, return_inverse=True)
-            kept = missing[one]
-            codes[missing] = self._learn([blob[a:b] for a, b in zip(starts[kept].tolist(), stops[kept].tolist())])[which]
-            self.place[slot[kept]], self.check[slot[kept]], self.code[slot[kept]] = h[kept], check[kept], codes[kept]
-        return codes
-
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has."""
         if len(self.flat) > HELD_IDS:
@@ -218,7 +202,7 @@ class Codec:
         if len(blob) > len(whole):  # places of characters to places of bytes
             at = np.flatnonzero(np.frombuffer(blob, dtype=np.uint8) & 0xC0 != 0x80)[at]
         stops = np.append(at[1:], len(blob))
-        codes = self._find(blob, at[~ends], stops[~ends])
+        codes = self.places.find(blob, at[~ends], stops[~ends], self._learn)
         length = np.zeros(len(at), dtype=np.int64)
         length[~ends] = own = self.at[codes + 1] - self.at[codes]
         stop = np.cumsum(own)
@@ -311,8 +295,8 @@ def digests(coded: DataFrame, ranks: str, id_column: str = "doc_id") -> DataFram
     return coded.select(id_column, "ids", "byte_ends").mapInArrow(run, f"`{id_column}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
-def round_trip(docs: DataFrame, ranks: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """digests() of encode() in one pass: each step's ids are decoded where they were made, and only digests leave the task."""
+def round_trip(docs: DataFrame, ranks: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
+    """digests() of encode() in one pass: each step's ids are decoded where they were made. with_ids: `ids` and `byte_ends` as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks)
@@ -325,7 +309,8 @@ def round_trip(docs: DataFrame, ranks: str, id_column: str = "doc_id", text_colu
             for view, where, less in zip(views, (ends, decimal_ends), (0, 1)):
                 cuts = np.concatenate([[0], where])[last].tolist()
                 of.append(pa.array([hashlib.sha256(view[a : max(a, b - less)]).hexdigest() for a, b in zip([0, *cuts], cuts)], pa.string()))
-            yield pa.RecordBatch.from_arrays([part.column(1), pa.array(counts, pa.int64()), of[1], of[0]], names=[id_column, "n_tokens", "ids_sha256", "decoded_sha256"])
+            more = [_lists(ids, last), _lists(own.byte_ends(ids, last), last)] if with_ids else []
+            yield pa.RecordBatch.from_arrays([part.column(1), pa.array(counts, pa.int64()), of[1], of[0], *more], names=[id_column, "n_tokens", "ids_sha256", "decoded_sha256", "ids", "byte_ends"][: 4 + len(more)])
 
     kind = dict(docs.dtypes)[id_column]
-    return docs.select(text_column, id_column).mapInArrow(run, f"`{id_column}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select(text_column, id_column).mapInArrow(run, f"`{id_column}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, byte_ends array<int>" * with_ids)

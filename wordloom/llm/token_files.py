@@ -5,9 +5,10 @@ files. A row holds its shard, its start within the shard, its length and its ids
 the ids, and the ids of a few documents by their pages. `read_index` gives each document's start over all files.
 
 Texts are cut at spaces and line feeds, which no match of the tokenizer's pattern holds; new words are encoded by the
-library, many at a time, and found by hash from then on. Null and empty texts hold the end id only. Rows with a null id come first;
+library, many at a time, and found by their bytes from then on. Null and empty texts hold the end id only. Rows with a null id come first;
 repeated ids stay in one shard, in the order of their ids' bytes. An empty table gives no rows; other columns are not
-read. Words that look like special tokens are ordinary text.
+read. Strings of added tokens are those tokens, as the library has it by default; texts that hold one are encoded whole. A
+text is encoded whole however long it is.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, scan_partitions, text_steps
-from .span_hash import SpanHashes
+from .span_hash import Places
 
 #: Places for words that a worker remembers (a power of two), and ids held for them before unused ones are dropped.
 PLACES, HELD_IDS = 1 << 21, 4_000_000
@@ -43,14 +44,17 @@ def _is_latin(text: str) -> bool:
 
 
 class WordCodes:
-    """The library's ids for each word met, found by 128 bits of hash; a new word takes the place of another."""
+    """The library's ids for each word met, found by the word's bytes; a new word takes the place of another."""
 
     def __init__(self, path: str, end_id: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = sorted(x.content.lower() for x in self.tokenizer.get_added_tokens_decoder().values())
+        self.sign = os.path.commonprefix(self.added)
+        if self.sign != self.sign.upper():
+            self.sign = ""  # has letters, which a text may hold in another case
         (self.parting,) = self.tokenizer.encode(PARTING, add_special_tokens=False).ids
         # The same merges without normalising and pattern, for words that need neither.
         self.merges = Tokenizer(self.tokenizer.model)
@@ -59,16 +63,13 @@ class WordCodes:
         prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
         self.alphabet = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - prints)) if b != 32}
         self.parting_byte = chr(self.alphabet[ord(PARTING)])
-        self.place, self.check, self.code = np.zeros(PLACES, dtype=np.uint64), np.zeros(PLACES, dtype=np.uint64), np.full(PLACES, -1, dtype=np.int64)
+        self.places = Places(PLACES)
         self.flat = np.array([end_id], dtype=np.int32)  # code 0 stands for a document's end
         self.first, self.length = np.zeros(1, dtype=np.int64), np.ones(1, dtype=np.int64)
-        self.hashes = SpanHashes()
 
     def forget(self) -> None:
         """Drops the ids of words that have lost their place."""
-        used = self.code >= 0
-        live, now = np.unique(np.append(self.code[used], 0), return_inverse=True)
-        self.code[used] = now[:-1]
+        live = self.places.renumber(keep_first=True)
         length = self.length[live]
         stop = np.cumsum(length)
         self.flat = self.flat[np.repeat(self.first[live] - stop + length, length) + np.arange(stop[-1])]
@@ -100,28 +101,19 @@ class WordCodes:
         part = ids == self.parting
         return ids[~part], np.diff(np.flatnonzero(part), prepend=-1) - 1
 
-    def _find(self, blob: bytes, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-        """Codes of the words blob[start:stop]."""
-        h, check = self.hashes.of(np.frombuffer(blob, dtype=np.uint8), starts, stops)
-        slot = (h >> np.uint64(32) & np.uint64(PLACES - 1)).astype(np.int64)
-        codes = np.where((self.place[slot] == h) & (self.check[slot] == check), self.code[slot], -1)
-        missing = np.flatnonzero(codes < 0)
-        if len(missing):
-            _, one, which = np.unique(h[missing], return_index=True, return_inverse=True)
-            same = check[missing] == check[missing[one[which]]]
-            words = [blob[a:b].decode() for a, b in zip(starts[missing[one]].tolist(), stops[missing[one]].tolist())]
-            clash = [blob[a:b].decode() for a, b in zip(starts[missing[~same]].tolist(), stops[missing[~same]].tolist())]
-            known = self.learn(list(dict.fromkeys([*words, *clash])))
-            codes[missing] = np.array([known[w] for w in words], dtype=np.int64)[which]
-            codes[missing[~same]] = [known[w] for w in clash]
-            kept = missing[one]
-            self.place[slot[kept]], self.check[slot[kept]], self.code[slot[kept]] = h[kept], check[kept], codes[kept]
-        return codes
+    def _codes(self, slices: list[bytes]) -> np.ndarray:
+        """Codes of new words, each learnt once."""
+        words = [x.decode() for x in slices]
+        known = self.learn(words)
+        return np.array([known[w] for w in words], dtype=np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has, its end included."""
         if len(self.flat) > HELD_IDS:
             self.forget()
+        held = [k for k, t in enumerate(texts) if any(x in t.lower() for x in self.added)] if any(self.sign in t for t in texts) else []
+        if held:
+            return self._with_added(texts, held)
         # The tokenizer ignores case; in Latin-1 that is one letter for another.
         raw = [(t.lower() if _is_latin(t) else t).encode() for t in texts]
         blob = b"\n".join([*raw, b""])
@@ -132,7 +124,7 @@ class WordCodes:
         last = np.searchsorted(stops, ends) + 1
         real = stops > starts
         codes = np.zeros(len(stops), dtype=np.int64)
-        codes[real] = self._find(blob, starts[real], stops[real])
+        codes[real] = self.places.find(blob, starts[real], stops[real], self._codes)
         length = np.where(real, self.length[codes], 0)
         # Each text's end follows its last word.
         codes, length = np.insert(codes, last, 0), np.insert(length, last, 1)
@@ -141,6 +133,16 @@ class WordCodes:
         return ids, np.diff(stop[last + np.arange(len(last))], prepend=0)
 
 
+    def _with_added(self, texts: list[str], held: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """encode() where the texts at `held` have strings of added tokens, which the library finds before it parts words."""
+        plain = [t for k, t in enumerate(texts) if k not in set(held)]
+        ids, counts = self.encode(plain)
+        parts = iter(np.split(ids, np.cumsum(counts)[:-1])) if plain else iter(())
+        end = self.flat[:1]
+        rows = [np.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=np.int32), end) if k in set(held) else next(parts) for k, t in enumerate(texts)]
+        return np.concatenate(rows).astype(np.int32), np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
+
+
 _codes: dict = {}
 
 
@@ -150,20 +152,25 @@ def word_codes(path: str, end_id: int) -> WordCodes:
     return _codes[path, end_id]
 
 
+def highest_id(path: str) -> int:
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values())
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, shards: int | None = None, row_group: int = 16 << 20, page: int = 64 << 10, id_column: str = "doc_id", text_column: str = "text") -> str:
     """Writes docs' ids under path. shards: by default as many as the scan has partitions."""
     shards = shards or scan_partitions(docs)
     cuts = docs.agg(F.percentile_approx(id_column, [k / shards for k in range(1, shards)] or [0.5], 10_000)).first()[0] or []
+    packing = np.dtype("<u2" if max(end_id, highest_id(tokenizer)) < 1 << 16 else "<u4")
     bounds = np.array(sorted(set(cuts)) if shards > 1 else [], dtype=np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = word_codes(tokenizer, end_id)
         for part, texts in text_steps(batches):
             ids, counts = table.encode(texts)
-            stops = np.concatenate([[0], np.cumsum(counts)]) * 2
-            raw = ids.astype("<u2") if ids.max(initial=0) < 1 << 16 else None
-            if raw is None:
-                raise ValueError("ids of more than 16 bits")
+            raw = ids.astype(packing)
+            stops = np.concatenate([[0], np.cumsum(counts)]) * packing.itemsize
             keys = part.column(1)
             shard = np.searchsorted(bounds, keys.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="right").astype(np.int32)
             packed = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(stops.astype(np.int32)), pa.py_buffer(raw)])
@@ -175,9 +182,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, shards: i
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 rows = part.column(2).to_pylist()
-                counts = np.fromiter((len(x) // 2 for x in rows), dtype=np.int64, count=len(rows))
+                counts = np.fromiter((len(x) // packing.itemsize for x in rows), dtype=np.int64, count=len(rows))
                 stops = np.cumsum(counts)
-                ids = np.frombuffer(b"".join(rows), dtype="<u2").astype(np.int32)
+                ids = np.frombuffer(b"".join(rows), dtype=packing).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]).astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(done + stops - counts), pa.array(counts), lists], names=[*INDEX_COLUMNS, "ids"])
                 done += int(stops[-1])
