@@ -138,6 +138,42 @@ def test_other_thresholds(spark, near):
     assert rows_by(ngram_join.linked_components(docs, pct=60).collect()) == rows_by(plain_components(near, 60))
 
 
+def edited(draw, base, edits):
+    own = list(base)
+    for at in draw.integers(0, len(base), edits):
+        own[int(at)] = f"e{draw.integers(1 << 30)}"
+    return own
+
+
+def test_frequent_shingles_rings_and_rounds(spark, near, monkeypatch):
+    """Lines that all share, copies that link in chains only, a large group linked by the third; few places for all."""
+    draw = np.random.default_rng(11)
+    line = [f"line{k}" for k in range(12)]
+    base = [f"b{k}" for k in range(90)]
+    texts = [" ".join([*line, *(f"x{draw.integers(1 << 30)}" for _ in range(int(n)))]) for n in draw.integers(0, 9, 80)]
+    texts += [" ".join([*edited(draw, base, int(n)), *line]) for n in draw.integers(0, 4, 150)]
+    chain = list(base[::-1])
+    for k in range(40):  # each differs from the next by two words, from others by more
+        chain = [*chain[2:], f"c{2 * k}", f"c{2 * k + 1}"]
+        texts.append(" ".join(chain))
+    rows = [*near, *((10_000 + 7 * k, t) for k, t in enumerate(texts)), *((20_000 + k, texts[100]) for k in range(50))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    want = rows_by(plain_components(rows))
+    assert rows_by(ngram_join.linked_components(docs).collect()) == want
+    for name, value in (("LOCAL", 3), ("FREQUENT", 4), ("BIN_HELD", 50), ("HELD", 2000), ("RING", 8), ("ROUNDS", 2)):
+        monkeypatch.setattr(ngram_join, name, value)
+    assert rows_by(ngram_join.linked_components(docs).collect()) == want
+    monkeypatch.setattr(ngram_join, "LOCAL", 1 << 20)
+    assert rows_by(ngram_join.linked_components(docs).collect()) == want
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    one, other = ("".join("ab"[(bin(k).count("1") + way) % 2] for k in range(4096)) for way in (0, 1))
+    rows = [(k, f"{w} two three four five six") for k, w in enumerate((one, other))] + [(7, "a b c d e"), (8, "A B c d E")]
+    got = ngram_join.linked_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert rows_by(got) == rows_by(plain_components(rows))
+
+
 def test_no_documents_no_links(spark, empty):
     assert ngram_join.linked_components(empty).collect() == []
     assert components.components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []

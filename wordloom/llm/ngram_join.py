@@ -5,19 +5,23 @@ runs of `words` words, or the whole text where it has fewer. Documents with equa
 takes part once.
 
 1. Shingles are hashed to 64 bits and dealt by hash in packed arrays; each bin counts in how many classes a shingle
-   occurs. Those of one class only can be in no overlap, so only their number is kept.
+   occurs. Those of one class only can be in no overlap, so only their number is kept. Shingles that are frequent (in
+   LOCAL classes of the run that a task hands on at a time, or in FREQUENT of a bin) are not counted out: they come last
+   in the rarest-first order, by hash. Their classes' entries mostly pass their bin by, and a bin holds few of them.
 2. The rest go back to their classes, which order them rarest first. A class whose rarest-first prefix (as many
    shingles as a partner may lack, and one) holds no shared shingle has no partner and is out.
 3. Classes meet on prefix shingles. Pairs must pass the length filter, the positional filter (what is left after the
    shingle in the rarest-first order must suffice) and the suffix filter: parities of shingles in 512 parts bound the
    sets' difference from below. Those that pass are verified exactly, once a pair.
-4. First each shingle's classes meet one of them, drawn by hash; components of the links found so far follow. Then all
-   pairs of different components meet: the classes of a shingle that are not of its commonest component meet all of its
-   classes. Pairs within a component need no look, so a large group of near copies costs no square of its size.
-
-Nulls and texts without words have empty sets and are linked with nothing. Rows with a null id have their component
-like others but never name it. Ids that repeat keep a row each; an empty table gives no rows; other columns are not
-read. Hashes of 64 bits stand for shingles and 128 bits of MD5 for texts.
+4. In rounds, a shingle's classes stand in rings of about RING, in an order drawn anew, and each meets the two before it
+   unless both are known to be of one component; components of all links found so far follow. A group of near copies
+   thus grows together from few pairs, and no shingle's classes need be in one task. When a round finds little more, all
+   pairs of different components meet: classes that are not of a shingle's commonest component meet all of its classes.
+
+Nulls and texts without words have empty sets and are linked with nothing. Texts are taken whole; a very long one is
+a step of its own. Rows with a null id have their component like others but never name it. Ids that repeat keep a row
+each; an empty table gives no rows; other columns are not read. Hashes of 64 bits stand for shingles, made of words'
+bytes (span_hash), and 128 bits of MD5 for texts.
 """
 
 from __future__ import annotations
@@ -27,62 +31,47 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import scan_partitions, staged, text_steps
 from .components import components
+from .span_hash import mixed, word_hashes
 
 NO_ID = -(1 << 63)
 SIGNATURE_WORDS = 8
 #: Shingles that a task holds before it hands them on.
 HELD = 400_000
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
-
-
-_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_PLACE = _mix(np.arange(1001, 1257, dtype=np.uint64)) | np.uint64(1)
-_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(n, base, dtype=np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
+#: Classes that make a shingle frequent: of one such run, and of a bin; entries that a bin holds before it looks for those.
+LOCAL, FREQUENT, BIN_HELD = 32, 20_000, 2_000_000
+#: Stands for the number of classes of a frequent shingle.
+MANY = np.iinfo(np.int32).max
+#: Classes of a ring, rounds of rings at most; a round that links less than this share of those left over is the last.
+RING, ROUNDS, LEAST_SHARE = 256, 12, 0.02
+_PLACE = mixed(np.arange(1001, 1257, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingle_sets(texts: list[str], words: int) -> Iterator[tuple[bytes, np.ndarray]]:
     """(MD5 of the words, distinct hashes of the shingles) of each text."""
     normal = [b" ".join(t.encode().lower().split()) for t in texts]
-    data = np.frombuffer(b" ".join([*normal, b""]), dtype=np.uint8)
-    up, down = _power(len(data) + 1)
-    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[data] * up[:-1])])
-    gaps = np.flatnonzero(data == 32)
+    blob = b" ".join([*normal, b""])
+    gaps = np.flatnonzero(np.frombuffer(blob, dtype=np.uint8) == 32)
     starts = np.concatenate([[0], gaps[:-1] + 1]) if len(gaps) else gaps
-    hashed = _mix((total[gaps] - total[starts]) * down[starts])
+    hashed = word_hashes(blob, starts, gaps)
     ends = np.cumsum(np.fromiter((len(x) + 1 for x in normal), dtype=np.int64, count=len(normal)))
     last = np.searchsorted(gaps, ends - 1) + 1
     run = hashed[: max(0, len(hashed) - words + 1)] * _PLACE[0]
     for k in range(1, words):
         run = run + hashed[k : k + len(run)] * _PLACE[k]
-    run = _mix(run)
+    run = mixed(run)
     first = 0
     for text, stop in zip(normal, last.tolist()):
         n = stop - first if text else 0
         if n >= words:
             own = np.unique(run[first : stop - words + 1])
         elif n:
-            own = _mix((hashed[first:stop] * _PLACE[words : words + n]).sum(keepdims=True) + np.uint64(n))
+            own = mixed((hashed[first:stop] * _PLACE[words : words + n]).sum(keepdims=True) + np.uint64(n))
         else:
             own = hashed[:0]
         yield hashlib.md5(text).digest(), own.view(np.int64)
@@ -98,6 +87,13 @@ def _dealt(bins: np.ndarray, columns: list[np.ndarray], names: list[str], empty:
     return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), *arrays, *[pa.nulls(len(found), pa.binary())] * len(empty)], names=["bin", *names, *empty])
 
 
+def _run_lengths(values: np.ndarray) -> np.ndarray:
+    """How many equal values stand together, at each of them."""
+    first = np.flatnonzero(np.append(True, values[1:] != values[:-1])[: len(values)])
+    length = np.diff(np.append(first, len(values)))
+    return np.repeat(length, length)
+
+
 def _joined(column: pa.Array, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(x for x in column.to_pylist() if x), dtype=kind)
 
@@ -122,7 +118,17 @@ def _profiles(docs: DataFrame, words: int, pct: int, id_column: str, text_column
             token = np.concatenate(tokens) if tokens else np.empty(0, dtype=np.int64)
             key, n = np.repeat(np.array(keys, dtype=np.int64), sizes), np.repeat(sizes.astype(np.int32), sizes)
             if len(token):
-                yield _dealt((token.view(np.uint64) % np.uint64(bins)).astype(np.int32), [token, key, n], ["tokens", "keys", "ns"], ["dfs", "docs"])
+                order = np.argsort(token, kind="stable")
+                token, key, n = token[order], key[order], n[order]
+                count = _run_lengths(token)
+                often = count >= LOCAL
+                # A frequent shingle's entries go to their classes; its bin gets one that says so.
+                first = often & np.append(True, token[1:] != token[:-1])
+                rest, none = np.concatenate([token[~often], token[first]]), np.zeros(int(first.sum()), dtype=np.int64)
+                yield _dealt((rest.view(np.uint64) % np.uint64(bins)).astype(np.int32), [rest, np.append(key[~often], none), np.append(n[~often], none.astype(np.int32))], ["tokens", "keys", "ns"], ["dfs", "docs"])
+                if often.any():
+                    token, key, n = token[often], key[often], n[often]
+                    yield _dealt((mixed(key.view(np.uint64)) % np.uint64(bins)).astype(np.int32), [token, key, n, np.full(len(n), MANY, dtype=np.int32)], ["tokens", "keys", "ns", "dfs"], ["docs"])
             rows = np.array(docs_seen, dtype=_DOC)
             yield pa.RecordBatch.from_arrays([pa.array((rows["doc_id"][:1] % bins).astype(np.int32)), *[pa.nulls(1, pa.binary())] * 4, pa.array([rows.tobytes()], pa.binary())], names=["bin", "tokens", "keys", "ns", "dfs", "docs"])
 
@@ -143,27 +149,49 @@ def _profiles(docs: DataFrame, words: int, pct: int, id_column: str, text_column
             yield from handed_on()
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[list[np.ndarray]] = [[], [], []]
+        """Entries with their shingle's number of classes. Entries of size 0 say that a shingle is frequent."""
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        frequent = np.empty(0, dtype=np.int64)
+        total = 0
+
+        def gathered() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """All entries held by shingle and class, each once; frequent ones last of a shingle's."""
+            token, key, n = (np.concatenate(c) for c in zip(*held))
+            order = np.lexsort((n == 0, key, token))
+            token, key, n = token[order], key[order], n[order]
+            fresh = np.append(True, (token[1:] != token[:-1]) | (key[1:] != key[:-1]) | (n[1:] == 0))[: len(token)]
+            return token[fresh], key[fresh], n[fresh]
+
+        def to_classes(token: np.ndarray, key: np.ndarray, n: np.ndarray, df: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if len(token):
+                order = np.argsort(key, kind="stable")
+                token, key, n, df = token[order], key[order], n[order], df[order]
+                yield _dealt((mixed(key.view(np.uint64)) % np.uint64(bins)).astype(np.int32), [token, key, n, df], ["tokens", "keys", "ns", "dfs"], ["docs"])
+
         for batch in batches:
-            for own, column, kind in zip(parts, (1, 2, 3), ("<i8", "<i8", "<i4")):
-                own.append(_joined(batch.column(column), kind))
-            rest = batch.filter(batch.column(5).is_valid())
-            if rest.num_rows:
+            passing = pa.compute.or_(batch.column(4).is_valid(), batch.column(5).is_valid())
+            if (rest := batch.filter(passing)).num_rows:
                 yield rest
-        token, key, n = (np.concatenate(p) if p else np.empty(0, dtype=np.int64) for p in parts)
-        order = np.lexsort((key, token))
-        token, key, n = token[order], key[order], n[order]
-        fresh = np.append(True, (token[1:] != token[:-1]) | (key[1:] != key[:-1]))[: len(token)]
-        token, key, n = token[fresh], key[fresh], n[fresh]
-        first = np.flatnonzero(np.append(True, token[1:] != token[:-1])[: len(token)])
-        counts = np.diff(np.append(first, len(token)))
-        df = np.repeat(counts, counts).astype(np.int32)
-        shared = df > 1
-        token, key, n, df = token[shared], key[shared], n[shared], df[shared]
-        if len(token):
-            order = np.argsort(key, kind="stable")
-            token, key, n, df = token[order], key[order], n[order], df[order]
-            yield _dealt((_mix(key.view(np.uint64)) % np.uint64(bins)).astype(np.int32), [token, key, n, df], ["tokens", "keys", "ns", "dfs"], ["docs"])
+            own = batch.filter(pa.compute.invert(passing))
+            if own.num_rows:
+                held.append(tuple(_joined(own.column(c), kind) for c, kind in ((1, "<i8"), (2, "<i8"), (3, "<i4"))))
+                total += len(held[-1][0])
+            if total > BIN_HELD:
+                token, key, n = gathered()
+                many = np.unique(token[(_run_lengths(token) > FREQUENT) | (n == 0)])
+                frequent = np.union1d(frequent, many)
+                now = np.isin(token, frequent)
+                real = now & (n > 0)
+                yield from to_classes(token[real], key[real], n[real], np.full(int(real.sum()), MANY, dtype=np.int32))
+                held = [(token[~now], key[~now], n[~now])]
+                total = len(held[0][0]) // 2  # distinct shingles may fill a bin: then look again when as many have come
+        if not held:
+            return
+        token, key, n = gathered()
+        df = _run_lengths(token).astype(np.int32)
+        df[np.isin(token, np.union1d(frequent, token[n == 0]))] = MANY
+        shared = (df > 1) & (n > 0)
+        yield from to_classes(token[shared], key[shared], n[shared], df[shared])
 
     names = ["kind", "doc_id", "key", "high", "n", "m", "tokens", "prefix", *(f"s{k}" for k in range(SIGNATURE_WORDS))]
 
@@ -181,6 +209,9 @@ def _profiles(docs: DataFrame, words: int, pct: int, id_column: str, text_column
         token, key, n, df = (np.concatenate(p) if p else np.empty(0, dtype=np.int64) for p in parts)
         order = np.lexsort((token, df, key))
         token, key, n = token[order], key[order], n[order]
+        # Copies of one text in several tasks send a frequent shingle more than once.
+        fresh = np.append(True, (key[1:] != key[:-1]) | (token[1:] != token[:-1]))[: len(token)]
+        token, key, n = token[fresh], key[fresh], n[fresh]
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
         m = np.diff(np.append(first, len(key)))
         size = n[first].astype(np.int64)
@@ -243,40 +274,56 @@ def _pairs(joined: DataFrame) -> DataFrame:
     return joined.select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")).distinct()
 
 
+def _ring_pairs(entries: DataFrame, fields: list[str], turn: int, pct: int) -> DataFrame:
+    """(a, b): each entry with the two before it in its ring, where they may be linked and are of two components."""
+    ring = F.pmod(F.xxhash64("key", "token", F.lit(2 * turn)), F.ceil(F.col("c") / RING))
+    placed = entries.select("token", F.struct(*fields).alias("e"), ring.alias("ring"), F.xxhash64("key", "token", F.lit(2 * turn + 1)).alias("h"))
+    order = Window.partitionBy("token", "ring").orderBy("h", F.col("e.key"))
+    before = placed.select("e", F.array(F.lag("e", 1).over(order), F.lag("e", 2).over(order)).alias("before"))
+    met = before.select("e", F.explode("before").alias("f")).filter(F.col("f").isNotNull())
+    return _pairs(met.select(F.col("e").alias("a"), F.col("f").alias("b")).filter((F.col("a.component") != F.col("b.component")) & _fits(pct)))
+
+
+def _linked_classes(profiles: DataFrame, pct: int) -> DataFrame:
+    """(u, component) of every class with links that is not its component's least."""
+    signature = [f"s{k}" for k in range(SIGNATURE_WORDS)]
+    fields = ["key", "n", "m", "pos", *signature, "component"]
+    entries = profiles.select("key", "n", "m", *signature, F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos") + F.col("n") - F.col("m"))
+    sizes = staged(entries.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "sizes")
+    entries = staged(entries.join(sizes, "token"), "entries")
+    labels, mixed_entries, turn = None, entries.withColumn("component", F.col("key")), 0
+    while True:
+        more = staged(_verified(_ring_pairs(mixed_entries, fields, turn, pct), profiles, pct), "links")
+        found, turn = more.count(), turn + 1
+        if found:
+            labels = components(more if labels is None else more.unionByName(labels.select(F.col("u").alias("a"), F.col("component").alias("b"))))
+        # What is left: classes of shingles that two components share.
+        own = entries.withColumn("component", F.col("key")) if labels is None else entries.join(labels.withColumnRenamed("u", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+        counted = own.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
+        common = counted.groupBy("token").agg(F.max(F.struct("k", "component")).alias("x"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+        common = staged(common.select("token", F.col("x.component").alias("common")), "common")
+        mixed_entries = staged(own.join(common, "token"), "mixed")
+        left = mixed_entries.filter("component <> common").count()
+        if not left:
+            return labels if labels is not None else components(more)
+        if found < LEAST_SHARE * left or turn == ROUNDS:
+            break
+    meet = (F.col("a.token") == F.col("b.token")) & (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.common")) | (F.col("a.key") < F.col("b.key")))
+    rest = mixed_entries.filter("component <> common").alias("a").join(mixed_entries.alias("b"), meet & _fits(pct))
+    more = _verified(_pairs(rest), profiles, pct)
+    return components(more if labels is None else more.unionByName(labels.select(F.col("u").alias("a"), F.col("component").alias("b"))))
+
+
 def linked_components(docs: DataFrame, words: int = 5, pct: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every document: component_id is the least id that links reach from it."""
     if not 1 <= words <= 128 or not 1 <= pct <= 100:
         raise ValueError("words from 1 to 128, pct from 1 to 100")
     table = _profiles(docs, words, pct, id_column, text_column)
     members = table.filter("kind = 0").select("doc_id", "key", "high", F.col("n").cast("bigint").alias("n_shingles"))
-    profiles = table.filter("kind = 1")
-    signature = [f"s{k}" for k in range(SIGNATURE_WORDS)]
-    entries = profiles.select("key", "n", "m", *signature, F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos") + F.col("n") - F.col("m"))
-
-    # One class of each shingle, drawn by hash, meets the others.
-    fields = ["key", "n", "m", "pos", *signature]
-    drawn = entries.groupBy("token").agg(F.min(F.struct(F.xxhash64("key", "token").alias("h"), *fields)).alias("x"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    drawn = drawn.select("token", *[F.col(f"x.{c}") for c in fields])
-    star = drawn.alias("a").join(entries.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.key") != F.col("b.key")) & _fits(pct))
-    near = components(_verified(_pairs(star), profiles, pct))
-
-    # Classes outside a shingle's commonest component meet all others of its classes.
-    known = entries.join(near.select(F.col("u").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    sizes = known.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"))
-    common = sizes.groupBy("token").agg(F.max(F.struct("c", "component")).alias("x"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("token", F.col("x.component").alias("common"))
-    mixed = known.join(common, "token")
-    meet = (F.col("a.token") == F.col("b.token")) & (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.common")) | (F.col("a.key") < F.col("b.key")))
-    rest = mixed.filter("component <> common").alias("a").join(mixed.alias("b"), meet & _fits(pct))
-    more = _verified(_pairs(rest), profiles, pct)
-    label = lambda c: near.select(F.col("u").alias(c), F.col("component").alias(f"{c}_c"))
-    between = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))
-    joined = components(between).select(F.col("u").alias("component"), F.col("component").alias("final"))
-
-    # Every class in a link, by its component; a component's least class is in no row of near or joined.
-    inside = near.select(F.col("u").alias("key"), "component").unionByName(near.select(F.col("component").alias("key"), "component"))
-    inside = inside.unionByName(joined.select(F.col("component").alias("key"), "component")).unionByName(joined.select(F.col("final").alias("key"), F.col("final").alias("component"))).distinct()
-    inside = inside.join(joined, "component", "left").select("key", F.coalesce("final", "component").alias("component"))
+    near = _linked_classes(table.filter("kind = 1"), pct)
 
+    # Every class in a link, by its component; a component's least class is in no row of near.
+    inside = near.select(F.col("u").alias("key"), "component").unionByName(near.select(F.col("component").alias("key"), "component").distinct())
     first = members.filter("n_shingles > 0").groupBy("key", "high").agg(F.min("doc_id").alias("class_id"))
     named = first.join(inside, "key").groupBy("component").agg(F.min("class_id").alias("component_id"))
     named = inside.join(named, "component").select("key", "component_id")
