@@ -11,10 +11,11 @@ classes, and a query's nearest classes give their least ids at the end.
    then meet one another in the same way, and about `block` vectors drawn by a hash: every vector has a full list.
 2. Each round of NN-descent joins neighbours of neighbours: every vector is sent to the centres it neighbours, in either
    direction, where all that meet are compared if the edge of one is new; what betters a vector's list goes back to it.
-   A centre takes what arrives in runs of bounded length, so one with many neighbours costs no task more memory.
+   A centre takes what arrives in runs of bounded length, so one with many neighbours costs no task more memory. Rounds
+   end when no more than `settled` of all list entries are new, or after `most_rounds`.
 3. A query starts from its own neighbours in the graph and drawn ones, and keeps a beam of the best. In each hop the beam's vectors not
    yet visited are joined with the graph, whose rows hold their neighbours' vectors; only better ones come back.
-   It ends when no beam has anything left to visit, or after `hops`.
+   It ends when no beam has anything left to visit, or after `hops` (a bound that no table met has come near).
 
 All rows are indexed. Vectors that are null or zero, hold null or non-finite components, or have another length than
 most (ties: the longest) take no part, neither as query nor as candidate. Ids that repeat count once, with the
@@ -45,10 +46,11 @@ class Plan:
     degree: int = 40
     tables: int = 6
     block: int = 800
-    rounds: int = 2
+    most_rounds: int = 12
+    settled: float = 0.05
     sent_back: int = 12
     beam: int = 128
-    hops: int = 8
+    hops: int = 40
     seed: int = 7
 
 
@@ -133,24 +135,43 @@ def _lists(owner: np.ndarray, ids: np.ndarray, scores: np.ndarray, flags: np.nda
     yield pa.RecordBatch.from_arrays([pa.array(owner[first]), cut(ids), cut(scores), cut(flags)], names=["id", "ids", "scores", "flags"])
 
 
+def _top(owner: np.ndarray, ids: np.ndarray, scores: np.ndarray, flags: np.ndarray, keep: int) -> tuple[np.ndarray, ...]:
+    """Each owner's `keep` best, a neighbour once; owners come out in order."""
+    order = np.lexsort((flags, ids, owner))
+    owner, ids, scores, flags = owner[order], ids[order], scores[order], flags[order]
+    fresh = np.append(True, (owner[1:] != owner[:-1]) | (ids[1:] != ids[:-1]))[: len(owner)]
+    owner, ids, scores, flags = owner[fresh], ids[fresh], scores[fresh], flags[fresh]
+    order = np.lexsort((ids, -scores, owner))
+    owner, ids, scores, flags = owner[order], ids[order], scores[order], flags[order]
+    first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])[: len(owner)])
+    rank = np.arange(len(owner)) - np.repeat(first, np.diff(np.append(first, len(owner))))
+    top = rank < keep
+    return owner[top], ids[top], scores[top], flags[top]
+
+
+def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    ids, counts = _flat(batch.column(1), "<i8")
+    return np.repeat(batch.column(0).to_numpy(), counts), ids, _flat(batch.column(2), "<f4")[0], _flat(batch.column(3), "i1")[0]
+
+
 def _best(lists: DataFrame, keep: int, partitions: int) -> DataFrame:
-    """One list for each id: its `keep` best of all, a neighbour once. Flags of repeated neighbours: the least, so that 0 (seen) stays."""
+    """One list for each id: its `keep` best of all, a neighbour once. Flags of repeated neighbours: the least, so that 0 (seen) stays. A vector that many others name costs no more memory than one that few do: only its best so far are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _whole_groups(batches):
-            ids, counts = _flat(batch.column(1), "<i8")
-            scores, flags = _flat(batch.column(2), "<f4")[0], _flat(batch.column(3), "i1")[0]
-            owner = np.repeat(batch.column(0).to_numpy(), counts)
-            order = np.lexsort((flags, ids, owner))
-            owner, ids, scores, flags = owner[order], ids[order], scores[order], flags[order]
-            fresh = np.append(True, (owner[1:] != owner[:-1]) | (ids[1:] != ids[:-1]))[: len(owner)]
-            owner, ids, scores, flags = owner[fresh], ids[fresh], scores[fresh], flags[fresh]
-            order = np.lexsort((ids, -scores, owner))
-            owner, ids, scores, flags = owner[order], ids[order], scores[order], flags[order]
-            first = np.append(True, owner[1:] != owner[:-1])[: len(owner)]
-            rank = np.arange(len(owner)) - np.repeat(np.flatnonzero(first), np.diff(np.append(np.flatnonzero(first), len(owner))))
-            top = rank < keep
-            yield from _lists(owner[top], ids[top], scores[top], flags[top])
+        held: tuple[np.ndarray, ...] | None = None  # of the last id, which the next batch may go on with
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2_000):
+                own = _entries(batch.slice(at, 2_000))
+                if held is not None:
+                    own = tuple(np.concatenate(x) for x in zip(held, own))
+                if not len(own[0]):
+                    continue
+                own = _top(*own, keep)
+                last = int(np.searchsorted(own[0], own[0][-1]))
+                yield from _lists(*(x[:last] for x in own))
+                held = tuple(x[last:] for x in own)
+        if held is not None:
+            yield from _lists(*held)
 
     return lists.repartition(partitions, "id").sortWithinPartitions("id").mapInArrow(run, LISTS)
 
@@ -236,12 +257,10 @@ def _both_ways(graph: DataFrame, plan: Plan, partitions: int) -> DataFrame:
     """Each vector's neighbours and the nearest that have it as theirs."""
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A task hands on its best for each vector: what many name comes as one list a batch.
         for batch in batches:
-            ids, counts = _flat(batch.column(1), "<i8")
-            scores, flags = _flat(batch.column(2), "<f4")[0], _flat(batch.column(3), "i1")[0]
-            owner = np.repeat(batch.column(0).to_numpy(), counts)
-            order = np.argsort(ids, kind="stable")
-            yield from _lists(ids[order], owner[order], scores[order], flags[order])
+            owner, ids, scores, flags = _entries(batch)
+            yield from _lists(*_top(ids, owner, scores, flags, plan.degree))
 
     turned = _best(graph.mapInArrow(turn, LISTS), plan.degree, partitions)
     return _best(graph.unionByName(turned), 2 * plan.degree, partitions)
@@ -306,10 +325,14 @@ def _descend(graph: DataFrame, packed: DataFrame, dim: int, plan: Plan, partitio
     return _best(seen.unionByName(better), plan.degree, partitions)
 
 
-def build_graph(packed: DataFrame, dim: int, n: int, plan: Plan, partitions: int) -> DataFrame:
-    graph = _completed(staged(_start(packed, dim, n, plan, partitions), "graph"), packed, dim, n, plan, partitions)
-    for _ in range(plan.rounds):
+def build_graph(packed: DataFrame, dim: int, n: int, plan: Plan, partitions: int, start: DataFrame | None = None) -> DataFrame:
+    """The neighbour graph after as many rounds as it takes until few entries are new. start: other lists to begin with."""
+    graph = _completed(staged(_start(packed, dim, n, plan, partitions), "graph") if start is None else start, packed, dim, n, plan, partitions)
+    for _ in range(plan.most_rounds):
         graph = staged(_descend(graph, packed, dim, plan, partitions), "graph")
+        share = graph.agg(F.sum(F.octet_length("flags")).alias("all"), F.sum(F.size(F.split(F.hex("flags"), "1")) - 1).alias("new")).first()
+        if (share["new"] or 0) <= plan.settled * (share["all"] or 0):
+            break
     return graph
 
 
