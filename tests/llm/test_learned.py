@@ -170,3 +170,26 @@ def test_broken_streams_are_invalid(spark):
     stored = spark.createDataFrame(rows, "doc_id bigint, n_bytes bigint, media binary")
     got = {r["doc_id"]: (r["feature"].split(";")[0], r["payload_bytes"]) for r in transport_stream.read_media(stored).collect()}
     assert got == {1: ("invalid", 0), 2: ("invalid", 0), 3: ("invalid", 0), 4: ("invalid", 0), 5: ("programs=1", 576)}
+
+
+def test_sections_may_run_over_packets():
+    """A program table with 90 streams in three packets, two sections in one packet, one broken section between."""
+    body = transport_stream.struct.pack(">HH", 0xE000 | MEDIA_PID, 0xF000) + b"".join(transport_stream.struct.pack(">BHH", 6, 0xE000 | MEDIA_PID + k, 0xF000) for k in range(90))
+    pmt = transport_stream._section(2, body)
+    pat = transport_stream._section(0, transport_stream.struct.pack(">HH", 1, 0xE000 | transport_stream.PMT_PID))
+    wrong = pat[:-1] + bytes([pat[-1] ^ 1])
+
+    def packets(pid, raw, start=True):
+        out, k = [], 0
+        while raw or not k:
+            head = b"\0" if start and not k else b""
+            data, raw = raw[: 184 - len(head)], raw[184 - len(head) :]
+            out.append((transport_stream.struct.pack(">BHB", 0x47, (0x4000 if head else 0) | pid, 0x10 | k & 15) + head + data).ljust(PACKET, b"\xff"))
+            k += 1
+        return out
+
+    media = transport_stream.mux(transport_stream.pad(b"text"))
+    own = [media[k : k + PACKET] for k in range(0, len(media), PACKET)][2:]
+    found = transport_stream.demux(b"".join([*packets(0, wrong + pat), *packets(transport_stream.PMT_PID, pmt), *own]))
+    assert len(packets(transport_stream.PMT_PID, pmt)) == 3
+    assert found.valid and found.programs == {1: transport_stream.PMT_PID} and found.streams == {MEDIA_PID + k: 6 for k in range(90)} and found.payload == transport_stream.pad(b"text")

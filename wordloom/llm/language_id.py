@@ -2,14 +2,14 @@
 
 Each language has a table of log-likelihoods of hashed byte trigrams around a letter. A word's log-likelihood in a
 language is the sum over its letters. A text is a mixture: expectation-maximisation over its words estimates the
-languages' proportions. With all languages in play they are ranked by proportion; then sets of the first one, two, ..
-languages are fitted again, and the set with the highest penalised log-likelihood (half the logarithm of the number of
+languages' proportions. With all languages in play they are ranked by proportion; then sets of the first one, two, .. up to
+all languages are fitted again, and the set with the highest penalised log-likelihood (half the logarithm of the number of
 words for each language) is the text's. The prediction is the set's largest proportion, ties to the smaller name.
 
 The tables are fitted on a bounded sample of labelled rows (`fit_rows`, by a hash of the id) and hold `BUCKETS` numbers
 a language. Text is the only input of a prediction. Null texts and texts without a letter give 'und' with score 0 and
 no proportions; rows with a null id take no part in learning and count as not held out. Without labelled rows all
-predictions are 'und'. Repeated rows and empty tables give as many rows; other columns are not read.
+predictions are 'und'. Texts are taken whole, however long. Repeated rows and empty tables give as many rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +36,6 @@ class Model:
     languages: list[str]
     table: np.ndarray  # languages x BUCKETS, log-likelihoods
     rounds: int = 12
-    largest_set: int = 6
 
 
 def remainder(id_column: Column, of: int) -> Column:
@@ -117,7 +116,7 @@ def infer(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     full, _ = _maximise(ll, first, own, everything, model.rounds)
     rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1, kind="stable")
     best, chosen = np.full(len(own), -np.inf), np.zeros_like(full)
-    for size in range(1, min(model.largest_set, len(model.languages)) + 1):
+    for size in range(1, len(model.languages) + 1):
         share, value = _maximise(ll, first, own, (rank < size).astype(float), model.rounds if size > 1 else 1)
         value = value - 0.5 * size * np.log(own)
         better = value > best

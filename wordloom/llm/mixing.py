@@ -11,7 +11,7 @@ hash of seed, epoch and document. The prefix is found from sums over buckets, so
 the document on the border gives only its first tokens.
 
 Only DataFrame functions are used. Null labels form a leaf named '' of their own; null or empty texts hold no tokens and
-are never chosen; an empty table gives no rows; repeated rows are ordered by id and then length. Columns that are not
+are never chosen; a text counts whole, however long; nodes of weight 0 get nothing; an empty table gives no rows; repeated rows are ordered by id and then length. Columns that are not
 asked for are not touched.
 """
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, language_id, mixing, ngram_join, nn_descent, pu_quality, sharding, token_files, transport_stream, unigram_count
+from .common import staged
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 TABLE_SIZE = 4099
@@ -67,7 +68,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transport_stream.read_media(transport_stream.with_media(table(spark, sf_dir, "documents")))
+    return transport_stream.read_media(staged(transport_stream.with_media(table(spark, sf_dir, "documents")), "media"))
 
 
 def op8_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ come before it, and its first packet carries the random-access flag and a clock
 tables with their checksums, follows each stream's continuity counter, reassembles the elementary packets and reads
 time stamps and random-access points.
 
-Null and empty texts hold one unit of padding; texts are whole. Equal texts give equal streams. Streams that are null
+Tables' sections may run over several packets. Null and empty texts hold one unit of padding; texts are whole, however long. Equal texts give equal streams. Streams that are null
 or no whole number of packets, or lack tables, give a feature of 'invalid' and an empty payload. Empty tables give no
 rows, repeated rows repeated results; other columns are not read.
 """
@@ -141,13 +141,32 @@ class Stream:
         return f"programs={len(self.programs)};streams={media};packets={self.packets};continuity_errors={self.continuity_errors};access_units={len(self.stamps)};first_pts={self.stamps[0]};last_pts={self.stamps[-1]};random_access={len(self.random_access)}"
 
 
-def _section_of(packet: np.ndarray, begin: int) -> bytes | None:
-    raw = packet.tobytes()[begin:]
-    if not raw or raw[0] + 4 > len(raw):
-        return None
-    raw = raw[1 + raw[0] :]
-    length = 3 + (struct.unpack_from(">H", raw, 1)[0] & 0xFFF)
-    return raw[:length] if 12 <= length <= len(raw) and section_crc(raw[:length]) == 0 else None
+def _sections(rows: np.ndarray, begin: np.ndarray, starts: np.ndarray) -> list[bytes]:
+    """The whole sections in one stream's packets, in order: they may run over several packets, and a packet may hold several. Those with a wrong checksum are left out."""
+    found: list[bytes] = []
+    held: bytes | None = None
+
+    def cut(raw: bytes) -> bytes:
+        """Takes whole sections off; returns what is left of the last one."""
+        while len(raw) >= 3 and raw[0] != 0xFF:  # 0xFF: stuffing up to the packet's end
+            length = 3 + (struct.unpack_from(">H", raw, 1)[0] & 0xFFF)
+            if len(raw) < length:
+                return raw
+            if length >= 12 and section_crc(raw[:length]) == 0:
+                found.append(raw[:length])
+            raw = raw[length:]
+        return raw if raw[:1] != b"\xff" else b""
+
+    for row, at, first in zip(rows, begin.tolist(), starts.tolist()):
+        raw = row.tobytes()[at:]
+        if first and raw:
+            before, raw = raw[1 : 1 + raw[0]], raw[1 + raw[0] :]
+            if held is not None:
+                cut(held + before)
+            held = b""
+        if held is not None:
+            held = cut(held + raw)
+    return found
 
 
 def demux(media: bytes | None) -> Stream:
@@ -163,23 +182,21 @@ def demux(media: bytes | None) -> Stream:
     starts, control, counter = rows[:, 1] & 0x40 != 0, rows[:, 3] >> 4 & 3, rows[:, 3] & 15
     begin = np.where(control & 2, 5 + rows[:, 4].astype(np.int64), 4)
     carries = control & 1 != 0
-    seen: dict[tuple[int, bytes], None] = {}
-    for k in np.flatnonzero((pid == PAT_PID) & starts & carries):
-        section = _section_of(rows[k], int(begin[k]))
-        if section and section[0] == 0:
+    tables = lambda own: dict.fromkeys(_sections(rows[k := np.flatnonzero((pid == own) & carries)], begin[k], starts[k]))  # noqa: E731  each once
+    for section in tables(PAT_PID):
+        if section[0] == 0:
             for program, where in struct.iter_unpack(">HH", section[8 : 8 + (len(section) - 12) // 4 * 4]):
                 if program:
                     found.programs[program] = where & 0x1FFF
-    for k in np.flatnonzero(np.isin(pid, [*found.programs.values()]) & starts & carries):
-        section = _section_of(rows[k], int(begin[k]))
-        if not section or section[0] != 2 or (int(pid[k]), section) in seen:
-            continue
-        seen[int(pid[k]), section] = None
-        at = 12 + (struct.unpack_from(">H", section, 10)[0] & 0xFFF)
-        while at + 5 <= len(section) - 4:
-            kind, where, more = struct.unpack_from(">BHH", section, at)
-            found.streams[where & 0x1FFF] = kind
-            at += 5 + (more & 0xFFF)
+    for own in sorted(set(found.programs.values())):
+        for section in tables(own):
+            if section[0] != 2 or len(section) < 16:
+                continue
+            at = 12 + (struct.unpack_from(">H", section, 10)[0] & 0xFFF)
+            while at + 5 <= len(section) - 4:
+                kind, where, more = struct.unpack_from(">BHH", section, at)
+                found.streams[where & 0x1FFF] = kind
+                at += 5 + (more & 0xFFF)
     for own in {PAT_PID, *found.programs.values(), *found.streams}:
         count = counter[(pid == own) & carries].astype(np.int16)
         found.continuity_errors += int(((np.diff(count) - 1) % 16 != 0).sum())

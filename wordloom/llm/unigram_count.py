@@ -1,8 +1,8 @@
 """Token counts of a unigram model without its tokens: matches by Aho-Corasick, best path by dynamic programming.
 
 An Aho-Corasick automaton over the vocabulary yields every piece that ends at a position, the longest first. For each
-position the best score of a path to it is kept with that path's number of pieces, nothing else. Ties follow the
-tokenizer: of paths with equal scores the one whose last piece starts first stays, since a later one replaces it only
+position the best score of a path to it is kept with that path's number of pieces, nothing else. Ties follow that
+library: of paths with equal scores the one whose last piece starts first stays, since a later one replaces it only
 with a higher score. A character that no piece of its own covers scores ten less than the worst piece and counts one
 for each of its UTF-8 bytes.
 
@@ -10,7 +10,11 @@ White space stands before words as in the tokenizer: a mark for each space and o
 from another character into a mark (checked when the vocabulary is read), so a best path is a path of best paths over
 chunks of marks and word; a chunk is counted once and remembered. Scores that are whole numbers add up exactly.
 
-Null and empty texts count 0 tokens; repeated rows and empty tables give as many rows; other columns are not read.
+The counts are the best segmentation of a unigram model over the vocabulary given, by the tie rule of the tokenizers
+library's Unigram model. A file of another type than unigram has another segmentation of its own: for a BPE vocabulary,
+whose scores are ranks of merges, these counts are not those of its own tokenizer, which joins pairs in order of rank.
+
+Texts are counted whole, however long. Null and empty texts count 0 tokens; repeated rows and empty tables give as many rows; other columns are not read.
 """
 
 from __future__ import annotations
