@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import itertools
 
 import corpus_pipeline
+import public_tokenizers
 import pytest
+import tiktoken
 from llm_rows import SMALL, rows_by
 from pyspark.sql import functions as F
 from test_joins import plain_components
 
+from wordloom.llm.queries import tokenizer_path
+
 
 @pytest.fixture(scope="module")
 def stages(spark):
@@ -26,7 +32,7 @@ def test_all_but_the_last_keep_the_columns(stages):
     assert [name for name, *_ in stages] == ["quality classifier", "language ID", "n-gram Jaccard join", "mixing sources to target weights", "byte-level BPE encoding and decoding"]
     for _, given, found in stages[:-1]:
         assert found.columns == given.columns and found.exceptAll(given).isEmpty() and 0 < found.count() <= given.count()
-    assert stages[-1][2].columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert stages[-1][2].columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "byte_ends"]
 
 
 def test_one_of_each_group_stays(stages):
@@ -37,8 +43,16 @@ def test_one_of_each_group_stays(stages):
 
 def test_texts_come_back(stages):
     _, given, found = stages[-1]
-    want = rows_by((r["doc_id"], hashlib.sha256(r["text"].encode()).hexdigest()) for r in given.collect())
+    texts = {r["doc_id"]: r["text"] for r in given.collect()}
+    want = rows_by((k, hashlib.sha256(t.encode()).hexdigest()) for k, t in texts.items())
     assert rows_by(found.select("doc_id", "decoded_sha256").collect()) == want
+    with open(tokenizer_path("byte_bpe_50k.tiktoken"), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    pieces = {v: k for k, v in ranks.items()}
+    for r in found.collect():
+        assert r["ids"] == library.encode_ordinary(texts[r["doc_id"]]) and r["n_tokens"] == len(r["ids"])
+        assert r["byte_ends"] == list(itertools.accumulate(len(pieces[i]) for i in r["ids"]))
 
 
 def test_run_is_the_stages_in_turn(spark, stages):

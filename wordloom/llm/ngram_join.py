@@ -118,12 +118,14 @@ def _profiles(docs: DataFrame, words: int, pct: int, id_column: str, text_column
             token = np.concatenate(tokens) if tokens else np.empty(0, dtype=np.int64)
             key, n = np.repeat(np.array(keys, dtype=np.int64), sizes), np.repeat(sizes.astype(np.int32), sizes)
             if len(token):
+                # Entries stay in the order of their classes, which lets the shuffle compress keys and sizes.
                 order = np.argsort(token, kind="stable")
-                token, key, n = token[order], key[order], n[order]
-                count = _run_lengths(token)
-                often = count >= LOCAL
+                run = token[order]
+                often, first = np.zeros(len(token), dtype=bool), np.zeros(len(token), dtype=bool)
+                often[order] = _run_lengths(run) >= LOCAL
+                first[order] = np.append(True, run[1:] != run[:-1])
                 # A frequent shingle's entries go to their classes; its bin gets one that says so.
-                first = often & np.append(True, token[1:] != token[:-1])
+                first &= often
                 rest, none = np.concatenate([token[~often], token[first]]), np.zeros(int(first.sum()), dtype=np.int64)
                 yield _dealt((rest.view(np.uint64) % np.uint64(bins)).astype(np.int32), [rest, np.append(key[~often], none), np.append(n[~often], none.astype(np.int32))], ["tokens", "keys", "ns"], ["dfs", "docs"])
                 if often.any():
