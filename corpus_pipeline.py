@@ -51,8 +51,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes and decodes: (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
-    return byte_bpe.round_trip(docs, tokenizer_path("byte_bpe_50k.tiktoken"))
+    """Encodes and decodes: (doc_id, n_tokens, ids_sha256, decoded_sha256, ids, byte_ends). The ids and where each one's bytes end are what the pipeline is for."""
+    return byte_bpe.round_trip(docs, tokenizer_path("byte_bpe_50k.tiktoken"), with_ids=True)
 
 
 STAGES = [
