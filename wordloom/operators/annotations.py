@@ -36,4 +36,4 @@ def catalogue(items: DataFrame, categories: DataFrame) -> DataFrame:
     """(category, text, place): items(category, text, ord) by the categories' display order, then their own; a text once a category."""
     first = items.groupBy("category", "text").agg(F.min("ord").alias("ord"))
     place = F.row_number().over(Window.partitionBy("category").orderBy("ord", "text"))
-    return first.join(F.broadcast(categories), "category").withColumn("place", place).select("category", "display", "text", "place")
+    return first.join(categories, "category").withColumn("place", place).select("category", "display", "text", "place")

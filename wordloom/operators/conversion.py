@@ -7,6 +7,7 @@ lattice, which a small dynamic program solves, one group a sentence.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,13 +65,13 @@ def connection_cost(pairs: DataFrame, matrix: DataFrame, rows: int, columns: int
     return met.withColumn("cost", F.when(inside, F.coalesce("cell", F.lit(0))).otherwise(OUTSIDE_COST)).drop("cell")
 
 
-def _cheapest(reading: str, edges: pd.DataFrame, connect: dict[tuple[int, int], int] | None, shape: tuple[int, int]) -> list[tuple[str, str]]:
+def _cheapest(reading: str, edges: pd.DataFrame, connect: np.ndarray | None, shape: tuple[int, int]) -> list[tuple[str, str]]:
     """(reading, surface) segments of the cheapest path. edges: start, length, surface, left_id, right_id, cost, dependent."""
 
     def joint(a: int, b: int) -> int:
         if connect is None or a >= shape[0] or b >= shape[1]:
             return OUTSIDE_COST
-        return connect.get((a, b), 0)
+        return int(connect[a, b])
 
     n = len(reading)
     by_start: dict[int, list[tuple]] = {}
@@ -107,7 +108,13 @@ def _cheapest(reading: str, edges: pd.DataFrame, connect: dict[tuple[int, int],
 
 def convert(sentences: DataFrame, entries: DataFrame, matrix: DataFrame | None = None, shape: tuple[int, int] = (0, 0), id_column: str = "sentence_id") -> DataFrame:
     """(id, segment, reading, surface) of sentences(id, reading). matrix: connection costs, of `shape` rows and columns, which bound it. Spans are as long as the longest reading of the entries."""
-    connect = {(r.row, r.col): r.cost for r in matrix.toLocalIterator()} if matrix is not None else None
+    connect = None
+    if matrix is not None:
+        # One cell a pair of classes: shape bounds it, and it travels once to an executor.
+        cells = matrix.filter((F.col("row") < shape[0]) & (F.col("col") < shape[1])).select("row", "col", "cost").toPandas()
+        grid = np.zeros(shape, dtype=np.int32)
+        grid[cells["row"].to_numpy(), cells["col"].to_numpy()] = cells["cost"].to_numpy()
+        connect = sentences.sparkSession.sparkContext.broadcast(grid)
     n = F.char_length("reading")
     bound = entries.agg(F.greatest(F.max(n), F.lit(1)).alias("longest_reading"))
     spans = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.col("longest_reading"), F.greatest(n - i + 1, F.lit(1)))), lambda k: F.struct((i - 1).alias("start"), k.alias("length")))))
@@ -119,7 +126,7 @@ def convert(sentences: DataFrame, entries: DataFrame, matrix: DataFrame | None =
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
         edges = group[group["start"].notna()].astype({"start": int, "length": int, "left_id": int, "right_id": int, "cost": int})
-        found = _cheapest(group["sentence"].iloc[0], edges, connect, shape)
+        found = _cheapest(group["sentence"].iloc[0], edges, None if connect is None else connect.value, shape)
         return pd.DataFrame({id_column: group[id_column].iloc[0], "segment": range(1, len(found) + 1), "reading": [a for a, _ in found], "surface": [b for _, b in found]})
 
     kind = dict(sentences.dtypes)[id_column]

@@ -35,6 +35,20 @@ def count_pairs(lines: DataFrame, keys: Sequence[str] = ("source",), minimum: in
     return counted.select(*keys, "left", "right", "cnt")
 
 
+def count_all(lines: DataFrame, keys: Sequence[str] = ("source",)) -> DataFrame:
+    """(keys.., left, right, cnt): words, with no right, and pairs, counted in one pass and one shuffle."""
+    w = F.col("words")
+    words = F.transform(F.filter(w, lambda x: x != ""), lambda x: F.struct(x.alias("left"), F.lit(None).cast("string").alias("right")))
+    return lines.select(*keys, F.inline(F.concat(words, tokens.adjacent(w)))).groupBy(*keys, "left", "right").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def surviving(pairs: DataFrame, words: DataFrame, keys: Sequence[str] = ("source",)) -> DataFrame:
+    """Pairs both of whose words are in words(keys.., word)."""
+    for side in ("left", "right"):
+        pairs = pairs.join(words.select(*keys, F.col("word").alias(side)), [*keys, side], "left_semi")
+    return pairs.select(*keys, "left", "right", "cnt")
+
+
 def with_previous(words: DataFrame, group: Sequence[str], order: Column) -> DataFrame:
     """Each word with the one before it in its group: the window form of adjacency."""
     from pyspark.sql import Window

@@ -43,13 +43,13 @@ class LanguageModelRules:
 
 def merge_inventory(sources: DataFrame, attested: DataFrame) -> DataFrame:
     """(word, rank): weighted ranks of words that inventories vouch for."""
-    own = attested.join(F.broadcast(sources.filter(F.col("role") == INVENTORY)), "source")
+    own = attested.join(sources.filter(F.col("role") == INVENTORY), "source")
     return own.groupBy("word").agg(F.sum(F.col("rank") * F.col("weight")).alias("rank"))
 
 
 def gather(sources: DataFrame, attested: DataFrame, observed: DataFrame) -> DataFrame:
     """(word, in_inventory, rank, count, d_count, d_observations, d_sources) of each word."""
-    small = F.broadcast(sources)
+    small = sources  # one row a source, of which there may be as many as hosts: Spark sees whether to broadcast them
     vouched = attested.join(small, "source").filter(F.col("role") == INVENTORY)
     vouched = vouched.select("word", (F.col("rank") * F.col("weight")).alias("rank"), F.lit(True).alias("vouched"), F.lit(0.0).alias("weighted"), F.lit(0).cast("bigint").alias("cnt"), F.lit(False).alias("discovered"))
     counted = observed.join(small, "source").filter(F.col("role") != INVENTORY)
@@ -159,7 +159,7 @@ def bigram_lift(sources: DataFrame, observed: DataFrame, pairs: DataFrame, lexic
         enough = enough.join(lexicon.select(F.col("word").alias(side)), side, "left_semi")
         enough = enough.join(observed.select("source", F.col("word").alias(side), F.col("cnt").alias(f"{side}_cnt")), ["source", side])
     lift = F.ln(F.col("cnt") * F.col("total").cast("double") / (F.col("left_cnt").cast("double") * F.col("right_cnt")))
-    lifted = enough.join(total, "source").join(F.broadcast(sources.select("source", "weight")), "source").withColumn("lift", lift).filter("lift > 0")
+    lifted = enough.join(total, "source").join(sources.select("source", "weight"), "source").withColumn("lift", lift).filter("lift > 0")
     return lifted.groupBy("left", "right").agg(F.sum(F.col("lift") * F.col("weight")).alias("lift"), F.sum("cnt").alias("cnt"))
 
 
@@ -181,3 +181,11 @@ def bigram_report(pairs: DataFrame, observed: DataFrame, lexicon: DataFrame, rul
     inside = F.col("left_in").isNotNull() & F.col("right_in").isNotNull() & F.col("left_cnt").isNotNull() & F.col("right_cnt").isNotNull()
     flat = F.col("cnt") * F.col("total").cast("double") <= F.col("left_cnt").cast("double") * F.col("right_cnt")
     return rows.join(total, "source").agg(F.count(F.lit(1)).alias("observed"), F.count_if(~inside).alias("dropped_outside_lexicon"), F.count_if(inside & flat).alias("dropped_without_lift"))
+
+
+def first_of(tables: list[DataFrame], key: str, value: str) -> DataFrame:
+    """(key, value): the first of the tables, in order, that has a value for the key gives it."""
+    rows = tables[0].select(key, value, F.lit(0).alias("n"))
+    for n, more in enumerate(tables[1:], 1):
+        rows = rows.unionByName(more.select(key, value, F.lit(n).alias("n")))
+    return rows.filter(F.col(value).isNotNull()).groupBy(key).agg(F.min_by(value, "n").alias(value))

@@ -71,21 +71,30 @@ def osa_cost(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([osa(x.encode(), y.encode()) for x, y in zip(a, b)], dtype="int32")
 
 
-def corrections(queries: DataFrame, lexicon: DataFrame, query: str = "query", depth: int = 2) -> DataFrame:
-    """(.., key, freq, cost): keys whose edit cost is within the query's budget and not 0."""
+def corrections(queries: DataFrame, lexicon: DataFrame, query: str = "query", depth: int = 2, near: str | None = None, cost=None) -> DataFrame:
+    """(.., key, freq, cost): keys whose edit cost is within the query's budget and not 0. near: a column of the queries that `cost` takes as well, by which substitutions may cost less; then depth 3 fits the larger budget."""
     budget = scores.edit_budget(F.col(query))
+    by = [query] if near is None else [query, near]
+    depth = depth if near is None else depth + 1
     # A query of two edits has ten characters or more, so its partners have eight or more.
     asked = queries.filter(budget > 0).select(query, F.explode(F.when(budget > scores.EDIT, deletions(F.col(query), depth)).otherwise(deletions(F.col(query), 1))).alias("part")).distinct()
     offered = lexicon.select("key", "freq", F.explode(F.when(F.char_length("key") >= 8, deletions(F.col("key"), depth)).otherwise(deletions(F.col("key"), 1))).alias("part"))
     met = asked.join(offered, "part").select(query, "key", "freq").distinct().filter(F.col(query) != F.col("key"))
-    costed = met.withColumn("cost", osa_cost(F.col(query), F.col("key"))).filter(F.col("cost") <= budget)
-    return queries.join(costed, query)
-
-
-def search(queries: DataFrame, lexicon: DataFrame, limit: int = POOL, query: str = "query", id_column: str = "query_id") -> DataFrame:
-    """(.., key, freq, cost, score, place): completions at no cost and corrections, the best by score, ties by key."""
+    # A transposition counts as two for Levenshtein: pairs beyond twice the edits need no dynamic program in Python.
+    met = met.filter(F.levenshtein(F.col(query), F.col("key")) <= 2 * depth)
+    if near is not None:
+        met = queries.filter(budget > 0).select(*by).distinct().join(met, query)
+    costed = met.withColumn("cost", (cost or osa_cost)(F.col(query), F.col("key"), *[F.col(c) for c in by[1:]])).filter(F.col("cost") <= budget)
+    if near is None:
+        return queries.join(costed, query)
+    same = (F.col(f"q.{query}") == F.col(f"c.{query}")) & F.equal_null(F.col(f"q.{near}"), F.col(f"c.{near}"))
+    return queries.alias("q").join(costed.alias("c"), same).select("q.*", "c.key", "c.freq", "c.cost")
+
+
+def search(queries: DataFrame, lexicon: DataFrame, limit: int = POOL, query: str = "query", id_column: str = "query_id", corrected=None) -> DataFrame:
+    """(.., key, freq, cost, score, place): completions at no cost and corrections, the best by score, ties by key. corrected: another corrections()."""
     done = complete(queries, lexicon, limit, query).drop("place").withColumn("cost", F.lit(0))
-    fixed = corrections(queries, lexicon, query)
+    fixed = (corrected or corrections)(queries, lexicon, query)
     kept = done.unionByName(fixed.select(*done.columns))
     cheapest = kept.groupBy(*queries.columns, "key", "freq").agg(F.min("cost").alias("cost"))
     zero = F.lit(0)
@@ -148,13 +157,15 @@ def learned_prefixes(words: DataFrame, learned: DataFrame, word: str = "word") -
     return cut.join(learned.select(F.col("word").alias("prefix")), "prefix", "left_semi")
 
 
-def affix_combinations(queries: DataFrame, learned: DataFrame, affixes: DataFrame, lexicon: DataFrame, query: str = "query", limit: int = SHOWN) -> DataFrame:
-    """(.., key, score, place): a learned word that the query goes on from, with the affixes that do, unless the lexicon has it."""
+def affix_combinations(queries: DataFrame, learned: DataFrame, affixes: DataFrame, lexicon: DataFrame, query: str = "query", limit: int | None = SHOWN, by: tuple[str, ...] = ()) -> DataFrame:
+    """(.., key, score, place): a learned word that the query goes on from, with the affixes that do, unless the lexicon has it. by: columns of both, such as the user, that must be equal."""
     stems = queries.withColumn("stem", F.explode(prefixes(F.col(query), proper=True)))
-    known = stems.join(learned.select(F.col("word").alias("stem"), "weight"), "stem")
+    known = stems.join(learned.select(*by, F.col("word").alias("stem"), "weight"), [*by, "stem"])
     rest = F.substring(query, F.char_length("stem") + 1, F.char_length(query))
     tails = affixes.select("affix", F.explode(prefixes(F.col("affix"))).alias("tail"))
     joined = known.withColumn("tail", rest).join(tails, "tail").withColumn("key", F.concat("stem", "affix"))
     new = joined.join(lexicon.select("key"), "key", "left_anti").groupBy(*queries.columns, "key").agg(F.max("weight").alias("score"))
+    if limit is None:
+        return new
     order = Window.partitionBy(*queries.columns).orderBy(F.desc("score"), "key")
     return new.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)

@@ -86,8 +86,8 @@ def deduplicate(lexicon: DataFrame) -> DataFrame:
 
 
 def upsert(catalogue: DataFrame, rows: DataFrame, name: str = "name") -> DataFrame:
-    """catalogue with rows in place of its rows of the same names."""
-    return catalogue.join(rows.select(name).distinct(), name, "left_anti").select(*catalogue.columns).unionByName(rows.select(*catalogue.columns))
+    """catalogue with rows in place of its rows of the same names, in order of name."""
+    return catalogue.join(rows.select(name).distinct(), name, "left_anti").select(*catalogue.columns).unionByName(rows.select(*catalogue.columns)).orderBy(name)
 
 
 def notices(sources: DataFrame) -> DataFrame:
@@ -97,12 +97,29 @@ def notices(sources: DataFrame) -> DataFrame:
     return sources.groupBy("pack").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source", line.alias("line")))), lambda x: x.line), "\n").alias("notice"))
 
 
-def snapshot_lines(used: DataFrame) -> DataFrame:
-    """used(user_id, word, count, last_used, clock): (user_id, place, line), the clock first and then 'w<TAB>word<TAB>count<TAB>last_used'."""
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy("word"))
-    words = used.select("user_id", place.alias("place"), F.concat_ws("\t", F.lit("w"), "word", "count", "last_used").alias("line"))
+def snapshot_lines(used: DataFrame, items: DataFrame | None = None, choices: DataFrame | None = None) -> DataFrame:
+    """used(user_id, word, count, last_used, clock): (user_id, place, line), the clock first, then 'w<TAB>word<TAB>count<TAB>last_used', 'a<TAB>group<TAB>text' of items(user_id, grp, item, place), latest first, and 'c<TAB>reading<TAB>surface<TAB>uses' of choices."""
+    rows = used.select("user_id", F.lit("1").alias("part"), F.col("word").alias("by"), F.concat_ws("\t", F.lit("w"), "word", "count", "last_used").alias("line"))
+    if items is not None:
+        rows = rows.unionByName(items.select("user_id", F.lit("2").alias("part"), F.lpad(F.col("place").cast("string"), 9, "0").alias("by"), F.concat_ws("\t", F.lit("a"), "grp", "item").alias("line")))
+    if choices is not None:
+        rows = rows.unionByName(choices.select("user_id", F.lit("3").alias("part"), F.concat_ws("\t", "reading", "surface").alias("by"), F.concat_ws("\t", F.lit("c"), "reading", "surface", "uses").alias("line")))
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("part", "by"))
     clocks = used.groupBy("user_id").agg(F.max("clock").cast("string").alias("line")).select("user_id", F.lit(0).alias("place"), "line")
-    return clocks.unionByName(words)
+    return clocks.unionByName(rows.select("user_id", place.alias("place"), "line"))
+
+
+def restore_choices(lines: DataFrame) -> DataFrame:
+    """The chosen spellings in snapshot_lines: (user_id, reading, surface, uses)."""
+    f: Column = F.split("line", "\t")
+    return lines.filter((F.size(f) == 4) & (F.get(f, 0) == "c")).select("user_id", F.get(f, 1).alias("reading"), F.get(f, 2).alias("surface"), F.get(f, 3).try_cast("bigint").alias("uses")).dropna()
+
+
+def restore_items(lines: DataFrame) -> DataFrame:
+    """The recent items in snapshot_lines: (user_id, grp, item, place)."""
+    f: Column = F.split("line", "\t")
+    found = lines.filter((F.size(f) == 3) & (F.get(f, 0) == "a")).select("user_id", F.get(f, 1).alias("grp"), F.get(f, 2).alias("item"), F.col("place").alias("at"))
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy("at"))).drop("at")
 
 
 def restore_snapshot(lines: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Structured Streaming over users' events: the learning store as keyed state, and counts in windows of event time.
 
 A store holds a user's words with their counts and last uses on a logical clock, at most STORE_SIZE of them: beyond
-that the word of the least (weight, last use) goes. State is one user's store, so its size has a bound whatever the
-stream brings, and users are dealt over all tasks.
+that the word of the least (count, last use) goes, which may be the new one. State is one user's store, so its size has
+a bound whatever the stream brings, and users are dealt over all tasks. A user's events of one micro-batch are brought
+in order together, so the stream should bound a micro-batch (maxFilesPerTrigger or maxBytesPerTrigger of its source).
 """
 
 from __future__ import annotations
@@ -15,53 +16,39 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.scores import LEARNED_USES, RECENT_BONUS, RECENT_SPAN, USE_WEIGHT
-from ..operators.personal import STORE_SIZE
+from ..operators import stores
 
 RECORD, FORGET = "record", "forget"
 OUTPUT = "user_id bigint, word string, count bigint, last_used int, clock int, weight bigint, learned boolean"
+CHOSEN = "user_id bigint, reading string, surface string, uses bigint"
 _STATE = "clock int, words array<string>, counts array<bigint>, last array<int>"
+_CHOICES = "readings array<string>, surfaces array<string>, uses array<bigint>"
 
 
 def weight(count: int, age: int) -> int:
     return count * USE_WEIGHT + (RECENT_BONUS if age < RECENT_SPAN else 0)
 
 
-class Store:
-    """One user's words; record and forget are the two changes it knows."""
+def rows(store: stores.Words) -> list[tuple]:
+    return [(w, c, last, store.clock, weight(c, store.clock - last), c >= LEARNED_USES) for w, (c, last) in store.words.items()]
 
-    def __init__(self, clock: int = 0, words: dict[str, list[int]] | None = None, size: int = STORE_SIZE):
-        self.clock, self.words, self.size = clock, words or {}, size
 
-    def record(self, word: str) -> None:
-        self.clock += 1
-        own = self.words.setdefault(word, [0, 0])
-        own[0], own[1] = own[0] + 1, self.clock
-        if len(self.words) > self.size:
-            others = (w for w in self.words if w != word)
-            del self.words[min(others, key=lambda w: (weight(self.words[w][0], self.clock - self.words[w][1]), self.words[w][1]))]
-
-    def forget(self, word: str) -> None:
-        if own := self.words.get(word):
-            own[0] -= 1
-            if own[0] < 1:
-                del self.words[word]
-
-    def rows(self) -> list[tuple]:
-        return [(w, c, last, self.clock, weight(c, self.clock - last), c >= LEARNED_USES) for w, (c, last) in self.words.items()]
+def _ordered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(batches).sort_values("seq", kind="stable")
 
 
 def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    store = Store()
+    store = stores.Words()
     if state.exists:
         clock, words, counts, last = state.get
-        store = Store(clock, {w: [c, x] for w, c, x in zip(words, counts, last)})
-    events = pd.concat(batches).sort_values("seq", kind="stable")
+        store = stores.Words(clock, {w: [c, x] for w, c, x in zip(words, counts, last)})
+    events = _ordered(batches)
     for word, change in zip(events["word"], events["change"]):
         if word is not None:
             (store.forget if change == FORGET else store.record)(word)
     state.update((store.clock, list(store.words), [c for c, _ in store.words.values()], [x for _, x in store.words.values()]))
     names = ["word", "count", "last_used", "clock", "weight", "learned"]
-    out = pd.DataFrame(store.rows(), columns=names)
+    out = pd.DataFrame(rows(store), columns=names)
     out.insert(0, "user_id", key[0])
     yield out
 
@@ -72,6 +59,24 @@ def learned(events: DataFrame) -> DataFrame:
     return slim.groupBy("user_id").applyInPandasWithState(_step, OUTPUT, _STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+def _choose(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    store = stores.Choices()
+    if state.exists:
+        store = stores.Choices({(r, s): n for r, s, n in zip(*state.get)})
+    events = _ordered(batches)
+    for reading, surface in zip(events["reading"], events["surface"]):
+        store.record(reading or "", surface or "")
+    held = list(store.counts.items())
+    state.update(([r for (r, _), _ in held], [s for (_, s), _ in held], [n for _, n in held]))
+    yield pd.DataFrame([(key[0], r, s, n) for (r, s), n in held], columns=["user_id", "reading", "surface", "uses"])
+
+
+def chosen(events: DataFrame) -> DataFrame:
+    """events(user_id, seq, reading, surface): each user's chosen spellings after every micro-batch that brings them some."""
+    slim = events.select("user_id", "seq", "reading", "surface")
+    return slim.groupBy("user_id").applyInPandasWithState(_choose, CHOSEN, _CHOICES, "update", GroupStateTimeout.NoTimeout)
+
+
 def windowed_counts(events: DataFrame, late: str = "1 hour", width: str = "1 hour", time: str = "ts", key: str = "word") -> DataFrame:
     """(start, key, events) in windows of event time; events later than the watermark are dropped and closed windows' state goes."""
     counted = events.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), key).agg(F.count(F.lit(1)).alias("events"))
