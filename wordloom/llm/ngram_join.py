@@ -41,8 +41,8 @@ from .span_hash import mixed, word_hashes
 
 NO_ID = -(1 << 63)
 SIGNATURE_WORDS = 8
-#: Shingles that a task holds before it hands them on.
-HELD = 400_000
+#: Bytes of a scan a bin; shingles that a task holds before it hands them on.
+BIN_BYTES, HELD = 8 << 20, 800_000
 #: Classes that make a shingle frequent: of one such run, and of a bin; entries that a bin holds before it looks for those.
 LOCAL, FREQUENT, BIN_HELD = 32, 20_000, 2_000_000
 #: Stands for the number of classes of a frequent shingle.
@@ -104,7 +104,9 @@ _PACKED = "bin int, tokens binary, keys binary, ns binary, dfs binary, docs bina
 
 def _profiles(docs: DataFrame, words: int, pct: int, id_column: str, text_column: str) -> DataFrame:
     """kind 0: (doc_id, key, high, n) of each document; kind 1: (key, n, tokens, prefix, s0..) of classes that may have partners."""
-    bins = 4 * scan_partitions(docs)
+    # About 8 MB of the scan a bin. Few bins keep a class's entries together, which the shuffle compresses.
+    split = docs.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(docs.sparkSession.conf.get("spark.sql.files.maxPartitionBytes"))
+    bins = max(2, split // BIN_BYTES) * scan_partitions(docs)
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens: list[np.ndarray] = []
