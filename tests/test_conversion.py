@@ -12,3 +12,23 @@ def test_long_readings_are_candidates(spark):
     sentences = spark.createDataFrame([(1, long)], "sentence_id int, reading string")
     assert [tuple(r) for r in conversion.convert(sentences, entries).collect()] == [(1, 1, long, "NAME")]
     assert [r["surface"] for r in conversion.convert(sentences, entries.limit(0)).collect()] == [long]
+
+
+def test_a_segment_keeps_its_kana_and_nine_spellings(spark):
+    schema = "reading string, surface string, left_id int, right_id int, cost int, dependent boolean"
+    many = [("かな", f"s{k}", 1, 1, 100 + k, False) for k in range(12)]
+    entries = spark.createDataFrame([("にわ", "庭", 1, 1, 10, False), ("にわ", "にわ", 1, 1, 5, False), *many], schema)
+    asked = spark.createDataFrame([("にわ",), ("かな",), ("ほか",), ("",), (None,), ("にわ",)], "reading string")
+    found = sorted((r["reading"], r["place"], r["surface"]) for r in conversion.segment_candidates(asked, entries).collect())
+    want = [("にわ", 1, "にわ"), ("にわ", 2, "庭"), ("にわ", 3, "ニワ"), ("ほか", 1, "ほか"), ("ほか", 2, "ホカ"), *[("かな", k + 1, f"s{k}") for k in range(9)]]
+    assert found == sorted(want)
+
+
+def test_readings_being_typed_offer_themselves_first(spark):
+    schema = "reading string, surface string, left_id int, right_id int, cost int, dependent boolean"
+    entries = spark.createDataFrame([("にわ", "庭", 1, 1, 10, False), ("にわし", "庭師", 1, 1, 20, False)], schema)
+    asked = spark.createDataFrame([("にわ",), ("",), (None,), ("にわ",)], "reading string")
+    found = [(r["place"], r["key"], r["text"]) for r in conversion.composing(asked, entries).orderBy("place").collect()]
+    # The whole conversion is 庭 as well as the nearest prediction: it stands once.
+    assert found == [(1, "にわ", "にわ"), (2, "にわ", "庭"), (3, "にわし", "庭師")]
+    assert conversion.composing(asked.limit(0), entries).count() == 0

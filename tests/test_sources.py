@@ -161,3 +161,26 @@ def test_packs_caches_and_audits(spark, tmp_path):
     tables.write_audit({"words": lexicon}, str(tmp_path / "audit"))
     assert got(spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "audit/words"))) == [("the", "100"), ("then", "70")]
     assert got(tables.deduplicate(lexicon.unionByName(spark.createDataFrame([("the", 5)], "key string, freq int")))) == [("the", 100), ("then", 70)]
+
+
+def test_catalogues_of_a_later_format_are_refused(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"formatVersion": 2, "packs": [\n {"name": "ko", "packVersion": 6, "archiveSize": 10}]}')
+    assert [tuple(r) for r in tables.read_catalogue(spark, str(tmp_path / "c.json"), 2).collect()] == [("ko", 6, 10)]
+    with pytest.raises(Exception, match="catalogue format 2"):
+        tables.read_catalogue(spark, str(tmp_path / "c.json"), 1).collect()
+
+
+def test_packs_without_a_catalogue_may_be_loaded(spark):
+    names = spark.createDataFrame([("a",), ("b",), ("c",)], "name string")
+    have = "name string, packVersion int"
+    found = tables.pack_states(names, spark.createDataFrame([("a", 1)], have), spark.createDataFrame([("a", 3), ("b", 2)], have))
+    assert sorted(map(tuple, found.collect()), key=str) == [("a", "installed", 1, None, False), ("b", "bundled", 2, None, False), ("c", "not installed", None, 0, False)]
+
+
+def test_a_language_is_written_beside_the_others(spark, tmp_path):
+    folder, schema = str(tmp_path / "snapshots"), "language string, user_id bigint, place int, line string"
+    assert tables.read_snapshots(spark, folder, "ko").count() == 0
+    tables.write_snapshots(spark.createDataFrame([("ko", 1, 0, "3"), ("en", 1, 0, "4")], schema), folder)
+    tables.write_snapshots(spark.createDataFrame([("ko", 1, 0, "5")], schema), folder)
+    assert [r["line"] for r in tables.read_snapshots(spark, folder, "ko").collect()] == ["5"]
+    assert [r["line"] for r in tables.read_snapshots(spark, folder, "en").collect()] == ["4"]

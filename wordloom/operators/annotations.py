@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Annotations of a group that a key keeps.
+#: Annotations of a group that a key keeps; of a group that a search shows, and of all groups that it gathers.
 PER_GROUP = 3
+PANEL_GROUP, PANEL_POOL = 128, 384
 
 
 def merge(annotations: DataFrame, known: DataFrame) -> DataFrame:
@@ -37,3 +38,19 @@ def catalogue(items: DataFrame, categories: DataFrame) -> DataFrame:
     first = items.groupBy("category", "text").agg(F.min("ord").alias("ord"))
     place = F.row_number().over(Window.partitionBy("category").orderBy("ord", "text"))
     return first.join(categories, "category").withColumn("place", place).select("category", "display", "text", "place")
+
+
+def panel(queries: DataFrame, merged: DataFrame, groups: DataFrame) -> DataFrame:
+    """(query, section, grp, text, place) for each distinct query that is not empty: what search gathers first, by groups(grp, display) in their order."""
+    asked = queries.filter(F.char_length("query") > 0).select(F.col("query").alias("prefix")).distinct()
+    found = search(asked, merged, PANEL_POOL).withColumnRenamed("place", "gathered").join(merged.select("word", "text", "grp"), ["word", "text"])
+    place = F.row_number().over(Window.partitionBy("prefix", "grp").orderBy("gathered"))
+    shown = found.join(groups, "grp").withColumn("place", place).filter(F.col("place") <= PANEL_GROUP)
+    return shown.select(F.col("prefix").alias("query"), F.col("display").cast("int").alias("section"), "grp", "text", "place")
+
+
+def resting_panel(recents: DataFrame, sections: DataFrame) -> DataFrame:
+    """(user_id, section, grp, text, place) where nothing is asked for: a user's recents(user_id, item, place) as section 0 without a group, then catalogue's sections. These are the same for all, so they come once, with a null user_id."""
+    own = recents.select("user_id", F.lit(0).alias("section"), F.lit(None).cast("string").alias("grp"), F.col("item").alias("text"), "place")
+    rest = sections.select(F.lit(None).cast("bigint").alias("user_id"), F.col("display").cast("int").alias("section"), F.col("category").alias("grp"), "text", "place")
+    return own.unionByName(rest)

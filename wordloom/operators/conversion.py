@@ -12,11 +12,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import kana
+
 # Cost of a character in no word, of a pair out of the matrix, the class of sentence ends, a learnt use.
 UNKNOWN_COST = 3500
 OUTSIDE_COST = 500
 BOUNDARY = 0
 LEARNT_BONUS = 400
+# Spellings shown for a segment.
+SEGMENT_SHOWN = 9
 
 
 def deduplicate(entries: DataFrame) -> DataFrame:
@@ -131,3 +135,31 @@ def convert(sentences: DataFrame, entries: DataFrame, matrix: DataFrame | None =
 
     kind = dict(sentences.dtypes)[id_column]
     return rows.groupBy(id_column).applyInPandas(solve, f"`{id_column}` {kind}, segment int, reading string, surface string")
+
+
+def _placed(rows: DataFrame, text: str) -> DataFrame:
+    """rows(reading, text, at): each text once, where it stands first, with its place."""
+    first = rows.groupBy("reading", text).agg(F.min("at").alias("at"))
+    return first.withColumn("place", F.row_number().over(Window.partitionBy("reading").orderBy("at", text)))
+
+
+def segment_candidates(readings: DataFrame, entries: DataFrame, learnt: DataFrame | None = None) -> DataFrame:
+    """(reading, surface, place): candidates, then the reading itself and in katakana where they are not among them; the first SEGMENT_SHOWN."""
+    asked = readings.filter(F.char_length("reading") > 0).select("reading").distinct()
+    known = candidates(asked, entries, learnt).select("reading", "surface", F.struct(F.lit(0).alias("step"), "place").alias("at"))
+    step = lambda k, c: asked.select("reading", c.alias("surface"), F.struct(F.lit(k).alias("step"), F.lit(1).alias("place")).alias("at"))
+    rows = known.unionByName(step(1, F.col("reading"))).unionByName(step(2, kana.to_katakana(F.col("reading"))))
+    return _placed(rows, "surface").filter(F.col("place") <= SEGMENT_SHOWN).select("reading", "surface", "place")
+
+
+def composing(readings: DataFrame, entries: DataFrame, matrix: DataFrame | None = None, shape: tuple[int, int] = (0, 0), limit: int = 6) -> DataFrame:
+    """(reading, key, text, place) of readings still being typed: the reading, its whole conversion, then predictions, each text once; key is the reading that the text stands for."""
+    asked = readings.filter(F.char_length("reading") > 0).select("reading").distinct()
+    segments = convert(asked.select(F.col("reading").alias("sentence_id"), "reading"), entries, matrix, shape)
+    whole = segments.groupBy(F.col("sentence_id").alias("reading")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("segment", "surface"))), lambda x: x.surface), "").alias("text"))
+    at = lambda k, place, key: F.struct(F.lit(k).alias("step"), place.alias("place"), key.alias("key")).alias("at")
+    one = F.lit(1)
+    rows = asked.select("reading", F.col("reading").alias("text"), at(0, one, F.col("reading"))).unionByName(whole.select("reading", "text", at(1, one, F.col("reading"))))
+    ahead = predictions(asked.select(F.col("reading").alias("prefix")), entries, limit)
+    rows = rows.unionByName(ahead.select(F.col("prefix").alias("reading"), F.col("surface").alias("text"), at(2, F.col("place"), F.col("reading"))))
+    return _placed(rows, "text").select("reading", F.col("at.key").alias("key"), "text", "place")

@@ -418,6 +418,26 @@ def catalog_order(spark, sf_dir):
     return annotations.catalogue(p.select(F.col("p_type").alias("category"), F.col("p_brand").alias("text"), F.col("p_partkey").alias("ord")), shown)
 
 
+@query(f"""WITH {_ANN}, first AS (SELECT prefix, text, min(word) AS word FROM (SELECT DISTINCT substr(word, 1, 2) AS prefix FROM merged) JOIN merged ON starts_with(word, prefix) GROUP BY ALL),
+pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY word, text) AS n FROM first) WHERE n <= 384),
+disp AS (SELECT grp, row_number() OVER (ORDER BY grp DESC) AS display FROM (SELECT DISTINCT grp FROM merged))
+SELECT * FROM (SELECT prefix AS query, CAST(display AS INT) AS section, grp, text, CAST(row_number() OVER (PARTITION BY prefix, grp ORDER BY n) AS INT) AS place FROM pool JOIN merged USING (word, text) JOIN disp USING (grp)) WHERE place <= 128""")
+def annotation_panel(spark, sf_dir):
+    from pyspark.sql import Window
+
+    m = _merged(spark, sf_dir)
+    groups = m.select("grp").distinct().withColumn("display", F.row_number().over(Window.orderBy(F.desc("grp"))))
+    return annotations.panel(m.select(F.left("word", F.lit(2)).alias("query")), m, groups)
+
+
+@query("""SELECT CAST(n_regionkey AS BIGINT) AS user_id, 0 AS section, CAST(NULL AS VARCHAR) AS grp, n_name AS text, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey DESC) AS INT) AS place FROM nation
+UNION ALL SELECT NULL, CAST(display AS INT), category, text, CAST(row_number() OVER (PARTITION BY category ORDER BY ord, text) AS INT) FROM
+(SELECT p_type AS category, p_brand AS text, min(p_partkey) AS ord FROM part GROUP BY ALL) JOIN (SELECT category, row_number() OVER (ORDER BY category DESC) AS display FROM (SELECT DISTINCT p_type AS category FROM part)) USING (category)""")
+def resting_panel(spark, sf_dir):
+    chosen = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("bigint").alias("user_id"), F.col("n_name").alias("word"), F.col("n_nationkey").alias("seq"))
+    return annotations.resting_panel(personal.recent(chosen), catalog_order(spark, sf_dir))
+
+
 # --- Conversion: readings are the words of parts' names, spellings carry the type
 
 _DICT = """d0 AS (SELECT unnest(string_split(p_name, ' ')) AS reading, upper(p_brand) AS surface, CAST(p_size % 4 AS INT) AS left_id, CAST(p_size % 3 AS INT) AS right_id, CAST(100 * p_size + p_partkey % 97 AS INT) AS cost FROM part),
@@ -585,6 +605,14 @@ def rerank_context(spark, sf_dir):
     return search.rerank(cands, None, s["bigrams"], id_column="previous").select("previous", "key", F.col("score").cast("bigint").alias("score"), "place")
 
 
+@query(f"""WITH {_DICT}, r AS (SELECT reading, surface, 0 AS step, row_number() OVER (PARTITION BY reading ORDER BY cost, strlen(surface), surface) AS n FROM dict UNION ALL SELECT DISTINCT reading, reading, 1, 1 FROM dict),
+o AS (SELECT reading, surface, min([step, n]) AS first FROM r GROUP BY ALL)
+SELECT * FROM (SELECT reading, surface, CAST(row_number() OVER (PARTITION BY reading ORDER BY first, surface) AS INT) AS place FROM o) WHERE place <= 9""")
+def segment_candidates(spark, sf_dir):
+    d = conversion.deduplicate(_dictionary(spark, sf_dir))
+    return conversion.segment_candidates(d.select("reading"), d)
+
+
 _CHOICES = "ch AS (SELECT CAST(p_size AS BIGINT) AS user_id, split_part(p_name, ' ', 1) AS reading, upper(p_brand) AS surface, p_partkey AS seq FROM part)"
 
 
@@ -662,6 +690,18 @@ def catalogue_upsert(spark, sf_dir):
     return tables.upsert(s.withColumn("version", F.lit("old")), s.filter("name % 3 = 0").select("name", (F.col("value") + 1).alias("value"), F.lit("new").alias("version")))
 
 
+@query("""SELECT name, state, version, CASE WHEN state = 'not installed' THEN archive END AS size, newer FROM (SELECT n_name AS name, n_nationkey * 10 AS archive,
+CASE WHEN n_nationkey % 3 = 0 THEN 'installed' WHEN n_nationkey % 3 = 1 AND (n_nationkey % 5 = 4 OR n_nationkey % 7 <= n_regionkey) THEN 'bundled' WHEN n_nationkey % 5 <> 4 THEN 'not installed' ELSE 'unavailable' END AS state,
+CAST(CASE WHEN n_nationkey % 3 = 0 OR n_nationkey % 3 = 1 AND (n_nationkey % 5 = 4 OR n_nationkey % 7 <= n_regionkey) THEN n_regionkey END AS INT) AS version,
+n_nationkey % 3 = 0 AND n_nationkey % 5 <> 4 AND n_nationkey % 7 > n_regionkey AS newer FROM nation)""")
+def pack_states(spark, sf_dir):
+    """Nations as languages: some installed, some bundled, four in five in the catalogue."""
+    n = table(spark, sf_dir, "nation").withColumn("name", F.col("n_name")).withColumn("packVersion", F.col("n_regionkey").cast("int"))
+    key = F.col("n_nationkey")
+    offered = n.filter(key % 5 != 4).select("name", (key % 7).cast("int").alias("packVersion"), (key * 10).cast("bigint").alias("archiveSize"))
+    return tables.pack_states(n, n.filter(key % 3 == 0), n.filter(key % 3 == 1), offered)
+
+
 @query("SELECT r_name AS pack, string_agg(n_name || ' ' || n_nationkey || ' free > ' || r_name, chr(10) ORDER BY n_name) AS notice FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
 def notice_documents(spark, sf_dir):
     n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))

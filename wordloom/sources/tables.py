@@ -90,6 +90,40 @@ def upsert(catalogue: DataFrame, rows: DataFrame, name: str = "name") -> DataFra
     return catalogue.join(rows.select(name).distinct(), name, "left_anti").select(*catalogue.columns).unionByName(rows.select(*catalogue.columns)).orderBy(name)
 
 
+def read_catalogue(spark: SparkSession, path: str, supported: int) -> DataFrame:
+    """(name, packVersion, archiveSize) of a JSON catalogue {formatVersion, packs}; a format later than `supported` is an error."""
+    schema = "formatVersion int, packs array<struct<name:string,packVersion:int,archiveSize:bigint>>"
+    read = spark.read.schema(schema).option("multiLine", True).json(path)
+    refused = F.raise_error(F.concat(F.lit("catalogue format "), F.coalesce(F.col("formatVersion").cast("string"), F.lit("unknown")))).cast("boolean")
+    return read.filter(F.when(F.col("formatVersion") <= supported, True).otherwise(refused)).select(F.inline("packs"))
+
+
+def pack_states(languages: DataFrame, installed: DataFrame, bundled: DataFrame, catalogue: DataFrame | None = None) -> DataFrame:
+    """(name, state, version, size, newer) of languages(name): installed(name, packVersion), with newer where the catalogue has a later version; else bundled unless that has one; else to be loaded; else unavailable. Without a catalogue, what is nowhere may still be loaded, at an unknown size of 0."""
+    known = languages.select("name").distinct().join(installed.select("name", F.col("packVersion").alias("own")), "name", "left").join(bundled.select("name", F.col("packVersion").alias("inside")), "name", "left")
+    if catalogue is None:
+        met = known.select("*", F.lit(0).alias("offered"), F.lit(0).cast("bigint").alias("archiveSize"), F.lit(True).alias("listed"))
+    else:
+        offers = catalogue.select("name", F.col("packVersion").alias("offered"), "archiveSize", F.lit(True).alias("listed"))
+        met = known.join(offers, "name", "left").withColumn("offered", F.coalesce("offered", F.lit(0))).withColumn("listed", F.coalesce("listed", F.lit(False)))
+    here, inside = F.col("own").isNotNull(), F.col("inside").isNotNull() & (F.col("offered") <= F.col("inside"))
+    state = F.when(here, "installed").when(inside, "bundled").when(F.col("listed"), "not installed").otherwise("unavailable")
+    size = F.when(state == "not installed", F.col("archiveSize"))
+    return met.select("name", state.alias("state"), F.when(here, F.col("own")).when(inside, F.col("inside")).alias("version"), size.alias("size"), (here & (F.col("offered") > F.coalesce("own", F.lit(0)))).alias("newer"))
+
+
+def write_snapshots(lines: DataFrame, folder: str) -> None:
+    """lines(language, user_id, place, line) by language: a language's rows take the place of those there, other languages' stay."""
+    lines.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("language").parquet(folder)
+
+
+def read_snapshots(spark: SparkSession, folder: str, language: str) -> DataFrame:
+    """One language's (user_id, place, line); empty where nothing was written."""
+    schema = "user_id bigint, place int, line string, language string"
+    rows = spark.read.schema(schema).parquet(folder) if exists(spark, folder) else spark.createDataFrame([], schema)
+    return rows.filter(F.col("language") == language).drop("language")
+
+
 def notices(sources: DataFrame) -> DataFrame:
     """sources(pack, source, version, license, attribution): (pack, notice), one line for each source, in order."""
     line = F.concat_ws(" ", "source", "version", "license", F.concat(F.lit("> "), F.col("attribution")))
