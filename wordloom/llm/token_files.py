@@ -65,7 +65,7 @@ class WordCodes:
         self.parting_byte = chr(self.alphabet[ord(PARTING)])
         self.places = Places(PLACES)
         self.flat = np.array([end_id], dtype=np.int32)  # code 0 stands for a document's end
-        self.first, self.length = np.zeros(1, dtype=np.int64), np.ones(1, dtype=np.int64)
+        self.first, self.length = np.zeros(1, dtype=np.int32), np.ones(1, dtype=np.int32)
 
     def forget(self) -> None:
         """Drops the ids of words that have lost their place."""
@@ -73,7 +73,7 @@ class WordCodes:
         length = self.length[live]
         stop = np.cumsum(length)
         self.flat = self.flat[np.repeat(self.first[live] - stop + length, length) + np.arange(stop[-1])]
-        self.first, self.length = stop - length, length
+        self.first, self.length = (stop - length).astype(np.int32), length
 
     def learn(self, new: list[str]) -> dict[str, int]:
         """Words of small Latin letters, with a mark after them or not, are whole matches of the pattern; others go the long way."""
@@ -87,8 +87,8 @@ class WordCodes:
         flat = np.concatenate([known[0][0], known[1][0], np.array([i for x in more for i in x], dtype=np.int32)])
         length = np.concatenate([known[0][1], known[1][1], np.fromiter(map(len, more), dtype=np.int64, count=len(more))])
         known = {w: k for k, w in enumerate([*simple, *other, *odd], len(self.first))}
-        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(length) - length])
-        self.length, self.flat = np.concatenate([self.length, length]), np.concatenate([self.flat, flat])
+        self.first = np.concatenate([self.first, (len(self.flat) + np.cumsum(length) - length).astype(np.int32)])
+        self.length, self.flat = np.concatenate([self.length, length.astype(np.int32)]), np.concatenate([self.flat, flat])
         return known
 
     def _encode(self, tokenizer, words: list[str], as_bytes: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -143,6 +143,14 @@ class WordCodes:
         return np.concatenate(rows).astype(np.int32), np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
 
 
+def _giving_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; what Arrow holds free is given back after each."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 _codes: dict = {}
 
 
@@ -167,7 +175,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, shards: i
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = word_codes(tokenizer, end_id)
-        for part, texts in text_steps(batches):
+        for part, texts in text_steps(_giving_back(batches)):
             ids, counts = table.encode(texts)
             raw = ids.astype(packing)
             stops = np.concatenate([[0], np.cumsum(counts)]) * packing.itemsize
@@ -178,7 +186,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, shards: i
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = 0
-        for batch in batches:
+        for batch in _giving_back(batches):
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 rows = part.column(2).to_pylist()
