@@ -13,7 +13,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from wordloom.sources import markup, readings, tables, text, words
+from wordloom.sources import markup, readings, recipes, tables, text, words
 
 
 def lines_of(spark, rows, name="f"):
@@ -184,3 +184,74 @@ def test_a_language_is_written_beside_the_others(spark, tmp_path):
     tables.write_snapshots(spark.createDataFrame([("ko", 1, 0, "5")], schema), folder)
     assert [r["line"] for r in tables.read_snapshots(spark, folder, "ko").collect()] == ["5"]
     assert [r["line"] for r in tables.read_snapshots(spark, folder, "en").collect()] == ["4"]
+
+
+def test_sources_of_a_recipe_keep_their_files_order(spark, tmp_path):
+    language = tmp_path / "xx"
+    (language / "sources").mkdir(parents=True)
+    (tmp_path / "empty").mkdir()
+    (language / "recipe.toml").write_text("[build]\nmax_words = 10\n")
+    (language / "words.txt").write_text("tea\nice^tea\t3\n")
+    (language / "faces.txt").write_text("(^^)\tsmile\n")
+    one = '[[sources]]\nname = "{}"\nformat = "{}"\nrole = "inventory"\npath = "../{}"\n'
+    (language / "sources/20-faces.toml").write_text(one.format("faces", "annotation_list", "faces.txt") + 'group = "emoticon"\n')
+    (language / "sources/10-words.toml").write_text(one.format("words", "word_list", "words.txt") + "weight = 0.5\nrank = 0.4\n" + one.format("gone", "word_list", "gone.txt") + "required = false\n")
+    assert [p.rsplit("/", 1)[-1] for p in recipes.languages(spark, str(tmp_path))] == ["xx"]
+    with pytest.raises(FileNotFoundError):
+        recipes.languages(spark, str(tmp_path), ["empty"])
+    recipe = recipes.load(spark, str(language))
+    assert (recipe.name, recipe.build, [s.name for s in recipe.sources]) == ("xx", {"max_words": 10}, ["words", "gone", "faces"])
+    found = recipes.read(spark, recipe)
+    assert got(found["sources"]) == [("faces", "inventory", 1.0), ("words", "inventory", 0.5)]
+    assert got(found["attested"]) == [("words", "ice", 0.4), ("words", "icetea", 0.4), ("words", "tea", 0.4)]
+    assert got(found["observed"]) == [("words", "ice", 3), ("words", "tea", 4)] and got(found["pairs"]) == [("words", "ice", "tea", 3)]
+    assert got(found["annotations"]) == [("faces", "smile", "emoticon", "(^^)")] and found["stems"].isEmpty()
+    (language / "sources/30-bad.toml").write_text(one.format("bad", "no such", "words.txt"))
+    with pytest.raises(ValueError, match="no such"):
+        recipes.load(spark, str(language))
+    for file in (language / "sources").iterdir():
+        file.write_text("")
+    with pytest.raises(ValueError, match="no sources"):
+        recipes.load(spark, str(language))
+
+
+def test_nouns_with_particles_keep_the_dictionarys_own_costs(spark):
+    rows = [("NNG.csv", "바람,1,1,100,NNG"), ("NNG.csv", "소리,1,1,150,NNG"), ("NNG.csv", "K,1,1,120,NNG"), ("NNG.csv", "꿈,1,1,900,NNG"), ("VV.csv", "바람이,1,1,7000,VV")]
+    kinds = F.when(F.col("member") == "NNG.csv", "plain").when(F.col("member") == "VV.csv", "inflection")
+    found = words.morpheme_dictionary(spark.createDataFrame(rows, "member string, line string"), kinds, expanded=3)
+    ranks = {w: round(r, 4) for w, r in got(found["attested"])}
+    rank = lambda cost: round(1 - (cost - 100) / 6900, 4)
+    assert ranks["바람은"] == rank(300) and ranks["소리는"] == rank(350) and ranks["꿈"] == rank(900)
+    assert ranks["바람이"] == 0.01 and "바람는" not in ranks and "소리은" not in ranks and "꿈은" not in ranks
+    assert not any(w.startswith("K") and w != "K" for w in ranks)
+    assert got(found["stems"]) == [("K되",), ("K하",), ("바람되",), ("바람하",), ("소리되",), ("소리하",)]
+
+
+def test_packs_are_installed_whole_or_not_at_all(spark, tmp_path):
+    lexicon = spark.createDataFrame([("the", 100)], "key string, freq int")
+    archive, home = str(tmp_path / "new"), str(tmp_path / "home/en")
+    tables.write_pack(spark, {"lexicon": lexicon}, archive, {"language": "en"})
+    expected = tables.digest(spark, archive)
+    for _ in range(2):
+        assert [r["section"] for r in tables.install_pack(spark, archive, home, expected).collect()] == ["lexicon"]
+    with pytest.raises(ValueError, match="digest"):
+        tables.install_pack(spark, archive, home, "0" * 64)
+    assert got(tables.read_pack(spark, home)["lexicon"]) == [("the", 100)]
+    assert sorted(p.name for p in (tmp_path / "home").iterdir()) == ["en"]
+
+
+def test_a_damaged_cache_is_made_again(spark, tmp_path):
+    lexicon = spark.createDataFrame([("the", 100)], "key string, freq int").coalesce(1)
+    folder = tmp_path / "cache"
+    assert tables.cached(spark, str(folder), {"a": 1}, lambda: lexicon).count() == 1
+    (part,) = folder.glob("*/part-*.parquet")
+    part.write_bytes(part.read_bytes()[:-20])
+    (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
+    assert got(tables.cached(spark, str(folder), {"a": 1}, lambda: lexicon)) == [("the", 100)]
+
+
+def test_tables_of_scores_say_which_line_is_bad_and_refuse_to_be_empty(spark):
+    with pytest.raises(Exception, match="malformed line 2: bad"):
+        words.score_table(lines_of(spark, ["the\t100", "bad"])).collect()
+    with pytest.raises(ValueError, match="no lines"):
+        words.pair_table(lines_of(spark, ["", " "]))

@@ -28,6 +28,7 @@ PARTICLES = (
     ("에서", "에서"), ("에게", "에게"), ("한테", "한테"), ("까지", "까지"), ("부터", "부터"), ("처럼", "처럼"), ("보다", "보다"), ("의", "의"),
 )
 SUFFIXES = ("하", "되")
+PARTICLE_COST = 200
 CONTRACTIONS = {"ㅏ": ("ㅐ",), "ㅣ": ("ㅕ",), "ㅡ": ("ㅓ", "ㅏ")}
 
 _FIRST = 0xAC00
@@ -133,9 +134,21 @@ def grown_from(words: DataFrame, stems: DataFrame) -> DataFrame:
     return met.select("word").distinct()
 
 
-def expand_particles(nouns: DataFrame, spark) -> DataFrame:
-    """(word, cost) of nouns(word, cost) with each particle, at 200 more, unless the noun list has the word."""
-    forms = spark.createDataFrame(PARTICLES, "after_consonant string, after_vowel string")
-    form = F.when(F.coalesce(final_consonant(F.col("word")), F.lit(False)), F.col("after_consonant")).otherwise(F.col("after_vowel"))
-    made = nouns.crossJoin(F.broadcast(forms)).select(F.concat("word", form).alias("word"), (F.col("cost") + 200).alias("cost"))
-    return made.groupBy("word").agg(F.min("cost").alias("cost")).join(nouns.select("word"), "word", "left_anti")
+def commonest(nouns: DataFrame, most: int) -> DataFrame:
+    """(word, cost): the `most` cheapest nouns, ties in order of the word; repeated rows count once."""
+    return nouns.select("word", "cost").distinct().orderBy("cost", "word").limit(most)
+
+
+def expand_particles(nouns: DataFrame, known: DataFrame) -> DataFrame:
+    """(word, cost) of nouns(word, cost) with each particle that suits their last syllable, at PARTICLE_COST more, unless known(word) has the word."""
+    pairs = F.array(*[F.struct(F.lit(a).alias("after_consonant"), F.lit(b).alias("after_vowel")) for a, b in PARTICLES])
+    ends = final_consonant(F.col("word"))
+    met = nouns.filter(ends.isNotNull()).select("word", "cost", ends.alias("ends"), F.inline(pairs))
+    form = F.when(F.col("ends"), F.col("after_consonant")).otherwise(F.col("after_vowel"))
+    made = met.select(F.concat("word", form).alias("word"), (F.col("cost") + PARTICLE_COST).alias("cost"))
+    return made.groupBy("word").agg(F.min("cost").alias("cost")).join(known.select("word"), "word", "left_anti")
+
+
+def derived_stems(nouns: DataFrame) -> DataFrame:
+    """(word): each noun with the suffixes that make it a verb."""
+    return nouns.select(F.explode(F.array(*[F.concat("word", F.lit(x)) for x in SUFFIXES])).alias("word"))

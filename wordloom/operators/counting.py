@@ -16,6 +16,12 @@ def tokenise(docs: DataFrame, text: str = "text", end: str = tokens.LINE_END, ca
     return pieces.select(*keys, tokens.words_of(F.col("piece"), cased).alias("words"))
 
 
+def tokenised(docs: DataFrame, text: str = "text", keys: Sequence[str] = ("source",)) -> DataFrame:
+    """(keys.., words) for each line of texts that are words already: whatever stands between white space is one."""
+    lines = docs.select(*keys, F.explode(tokens.pieces(F.col(text))).alias("line"))
+    return lines.select(*keys, F.filter(F.split("line", tokens.WHITE_SPACE), lambda w: w != "").alias("words"))
+
+
 def count_words(lines: DataFrame, keys: Sequence[str] = ("source",), minimum: int = 1) -> DataFrame:
     """(keys.., word, cnt), cnt at least minimum."""
     words = lines.select(*keys, F.explode("words").alias("word")).filter("word <> ''")

@@ -103,6 +103,15 @@ def search(queries: DataFrame, lexicon: DataFrame, limit: int = POOL, query: str
     return scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
 
 
+def committed(typed: DataFrame, corrected: DataFrame, shortcuts: DataFrame, query: str = "query", user: str = "user_id") -> DataFrame:
+    """typed with `text`: the user's own shortcut for exactly what was typed, else its correction, else what was typed.
+
+    shortcuts(user, shortcut, expansion), one row a user and shortcut; corrected(query, key), one row a query."""
+    own = shortcuts.select(user, F.col("shortcut").alias(query), "expansion")
+    met = typed.join(own, [user, query], "left").join(corrected.select(query, F.col("key").alias("__key")), query, "left")
+    return met.withColumn("text", F.coalesce("expansion", "__key", query)).select(*typed.columns, "text")
+
+
 def followers(bigrams: DataFrame, limit: int = FOLLOWERS) -> DataFrame:
     """(left, right, weight, place): each word's strongest followers."""
     order = Window.partitionBy("left").orderBy(F.desc("weight"), "right")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import logging
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -37,11 +38,16 @@ def digest(spark: SparkSession, path: str) -> str:
 
 
 def cached(spark: SparkSession, folder: str, key: Mapping, make: Callable[[], DataFrame], fresh: bool = False) -> DataFrame:
-    """make()'s rows as Parquet under a name from key (source digest, settings, language) and PARSER_VERSION; a damaged table is made again."""
+    """make()'s rows as Parquet under a name from key (source digest, settings, language) and PARSER_VERSION; a table that is not finished, or one of whose files has no whole footer, is made again."""
     name = hashlib.sha256(json.dumps([dict(key), PARSER_VERSION], sort_keys=True).encode()).hexdigest()[:32]
     path = f"{folder.rstrip('/')}/{name}"
-    if fresh or not exists(spark, f"{path}/_SUCCESS"):
-        make().write.mode("overwrite").parquet(path)
+    if not fresh and exists(spark, f"{path}/_SUCCESS"):
+        try:
+            # Merging schemas reads every file's footer, in tasks.
+            return spark.read.option("mergeSchema", True).parquet(path)
+        except Exception as damage:  # Spark's errors of reading have no common class in Python
+            logging.getLogger(__name__).warning("%s is made again: %s", path, damage)
+    make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
@@ -80,6 +86,28 @@ def read_pack(spark: SparkSession, folder: str, verify: bool = True) -> dict[str
     return out
 
 
+def install_pack(spark: SparkSession, archive: str, destination: str, expected: str) -> DataFrame:
+    """The pack in archive, whose files' digest is to be `expected`, put in destination; returns its manifest.
+
+    Each section is held against the pack's manifest, the sections are written beside destination, and that copy takes
+    destination's name when it is whole: until then the pack that was there stays as it was."""
+    if (found := digest(spark, archive)) != expected:
+        raise ValueError(f"{archive} has digest {found}, not {expected}")
+    sections = read_pack(spark, archive)
+    metadata = {r["key"]: r["value"] for r in spark.read.parquet(f"{archive}/metadata").collect()}  # a few dozen
+    destination = destination.rstrip("/")
+    write_pack(spark, sections, f"{destination}.installing", metadata)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(destination).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(path(f"{destination}.replaced"), True)
+    if exists(spark, destination) and not files.rename(path(destination), path(f"{destination}.replaced")):
+        raise OSError(f"{destination} could not be replaced")
+    if not files.rename(path(f"{destination}.installing"), path(destination)):
+        raise OSError(f"{destination} could not be written")
+    files.delete(path(f"{destination}.replaced"), True)
+    return spark.read.parquet(f"{destination}/manifest")
+
+
 def deduplicate(lexicon: DataFrame) -> DataFrame:
     """(key, freq): a key's highest."""
     return lexicon.groupBy("key").agg(F.max("freq").alias("freq"))
