@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import dataclasses
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import hangul, layouts, scores, tokens, typing
+from .functions import encoding, hangul, kana, layouts, scores, tokens, typing
 from .operators import annotations, conversion, counting, evaluation, lexicon, licences, personal, search, suggest, touch
 from .session import checkpoint_folder, staged
 from .sources import markup, tables, words
@@ -740,3 +741,167 @@ def stream_windowed_counts(spark, sf_dir):
     rows = _streamed(spark, learning.windowed_counts(_event_stream(spark, sf_dir)), "update")
     latest = rows.groupBy("start", "word").agg(F.max_by("events", "batch").alias("events"))
     return latest.select(F.unix_seconds("start").alias("start"), "word", "events")
+
+
+# --- Scripts and keys
+
+_KANA = "(SELECT p_partkey, chr(CAST(12353 + p_partkey * 7 % 86 AS INT)) AS h, chr(CAST(12449 + p_partkey * 7 % 86 AS INT)) AS k FROM part)"
+
+
+def _kana(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hiragana and its katakana for each part: fixed by its key."""
+    at = lambda base: F.decode(F.unhex(F.lpad(F.hex(F.lit(base) + F.col("p_partkey") * 7 % 86), 4, "0")), "UTF-16BE")
+    return table(spark, sf_dir, "part").select("p_partkey", at(0x3041).alias("h"), at(0x30A1).alias("k"))
+
+
+@query(f"""WITH ring(r) AS (SELECT unnest(string_split('あぁ いぃ うぅゔ えぇ おぉ やゃ ゆゅ よょ わゎ つっづ かが きぎ くぐ けげ こご さざ しじ すず せぜ そぞ ただ ちぢ てで とど はばぱ ひびぴ ふぶぷ へべぺ ほぼぽ', ' '))),
+step AS (SELECT substr(r, i, 1) AS h, substr(r, i % length(r) + 1, 1) AS following FROM (SELECT r, unnest(range(1, length(r) + 1)) AS i FROM ring))
+SELECT p_partkey, h || h AS key, k AS shown, following FROM {_KANA} LEFT JOIN step USING (h)""")
+def kana_forms(spark, sf_dir):
+    """One script for keys, katakana for showing, and the next form."""
+    c = _kana(spark, sf_dir)
+    return c.select("p_partkey", encoding.encode(F.concat("h", "k"), "kana").alias("key"), kana.to_katakana(F.col("h")).alias("shown"), kana.next_form(F.col("h")).alias("following"))
+
+
+_ROMAJI = "'k', 'g', 's', 'z', 't', 'd', 'n', 'h', 'b', 'p', 'm', 'r'"
+
+
+@query(f"""WITH t AS (SELECT p_partkey, p_partkey % 12 AS c, p_partkey // 12 % 5 AS v, p_partkey // 60 % 3 AS form FROM part),
+u AS (SELECT *, substr('かきくけこがぎぐげごさしすせそざじずぜぞたちつてとだぢづでどなにぬねのはひふへほばびぶべぼぱぴぷぺぽまみむめもらりるれろ', c * 5 + v + 1, 1) AS one FROM t)
+SELECT p_partkey, CASE form WHEN 0 THEN one WHEN 1 THEN CASE WHEN c = 6 THEN 'ん' || substr('あいうえお', v + 1, 1) ELSE 'っ' || one END ELSE one || 'ん' END AS kana FROM u""")
+def romaji_typed(spark, sf_dir):
+    """A syllable for each part, as it is, after a doubled consonant (a doubled n stands for itself and leaves the vowel), or before an n at the end."""
+    p = F.col("p_partkey")
+    consonant = F.get(F.expr(f"array({_ROMAJI})"), (p % 12).cast("int"))
+    one = F.concat(consonant, F.substring(F.lit("aiueo"), (F.expr("p_partkey div 12") % 5 + 1).cast("int"), F.lit(1)))
+    form = F.expr("p_partkey div 60") % 3
+    typed = F.when(form == 0, one).when(form == 1, F.concat(consonant, one)).otherwise(F.concat(one, F.lit("n")))
+    return table(spark, sf_dir, "part").select("p_partkey", kana.romaji_to_kana(typed).alias("kana"))
+
+
+@query("""SELECT word, regexp_full_match(word, '[a-z'']*') AS latin, regexp_full_match(word, '[가-힣]*') AS hangul, regexp_full_match(word, '[ぁ-ゖァ-ヶーゝゞ]*') AS kana
+FROM (SELECT DISTINCT word FROM (SELECT unnest(words) AS word FROM (""" + _lines("source", "documents", False) + """)) WHERE word <> ''
+UNION SELECT chr(CAST(44032 + p_partkey * 37 % 11172 AS INT)) FROM part UNION SELECT chr(CAST(12449 + p_partkey * 7 % 86 AS INT)) FROM part)""")
+def character_sets(spark, sf_dir):
+    """Which character sets take the words of documents, and the parts' syllables and kana."""
+    seen = counting.tokenise(table(spark, sf_dir, "documents"), keys=()).select(F.explode("words").alias("word")).filter("word <> ''")
+    every = seen.unionByName(_syllables(spark, sf_dir).select("word")).unionByName(_kana(spark, sf_dir).select(F.col("k").alias("word"))).distinct()
+    held = {"latin": "latin-lowercase", "hangul": "hangul-syllables", "kana": "kana"}
+    return every.select("word", *[tokens.accepts(F.col("word"), s).alias(n) for n, s in held.items()])
+
+
+@query("""SELECT c, count(*) AS n, CASE WHEN c <> 'ß' AND length(upper(c)) = 1 THEN upper(c) ELSE c END AS capital, CASE WHEN strlen(lower(replace(c, '’', ''''))) = 1 THEN lower(replace(c, '’', '''')) END AS key
+FROM (SELECT unnest(regexp_extract_all(text, '(?s).')) AS c FROM documents) GROUP BY c""")
+def key_characters(spark, sf_dir):
+    """Every character of documents: how often, its capital, and its key of one byte. The capital of ß has two characters, so it stays; DuckDB makes it ẞ."""
+    seen = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("((?s).)"), F.lit(1))).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    return seen.select("c", "n", typing.upper_one(F.col("c")).alias("capital"), encoding.key_byte(F.col("c"), "utf8").alias("key"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, substr(text, 1, 1 + CAST((conv_id * 7 + turn * 3) % 40 AS INT)) AS before FROM conversations)
+SELECT conv_id, turn, before, CASE WHEN regexp_matches(before, '[\\p{L}\\p{N})\\]}”’]$') THEN '”' ELSE '“' END AS double, CASE WHEN regexp_matches(before, '[\\p{L}\\p{N})\\]}”’]$') THEN '’' ELSE '‘' END AS single,
+regexp_matches(before || '-', '(^|[^-])-$') AS dash, CASE WHEN regexp_matches(before || ' ', '[\\p{L}\\p{N}] $') THEN before || '. ' END AS stopped FROM t""")
+def smart_punctuation(spark, sf_dir):
+    """What a quote, a second hyphen and a second space make after the beginning of each turn."""
+    cut = F.substring("text", F.lit(1), (1 + (F.col("conv_id") * 7 + F.col("turn") * 3) % 40).cast("int"))
+    t, b = table(spark, sf_dir, "conversations").select("conv_id", "turn", cut.alias("before")), F.col("before")
+    quotes = [typing.smart_quote(F.lit(q), b).alias(n) for q, n in (('"', "double"), ("'", "single"))]
+    return t.select("conv_id", "turn", "before", *quotes, typing.em_dash(F.lit("-"), F.concat(b, F.lit("-"))).alias("dash"), typing.double_space_period(F.concat(b, F.lit(" "))).alias("stopped"))
+
+
+@query("""SELECT n_nationkey, coalesce(CASE WHEN n_nationkey % 3 = 0 THEN n_name END, CASE WHEN n_regionkey % 2 = 0 THEN r_name END, 'none') AS value,
+n_nationkey % 3 = 0 AND n_regionkey % 2 = 0 AND n_nationkey % 5 <> 0 AS assisted FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def layered_settings(spark, sf_dir):
+    """Nations as languages and regions as what they share: a setting's value, and whether all three gates are open."""
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    own, common = F.col("n_nationkey") % 3 == 0, F.col("n_regionkey") % 2 == 0
+    return n.select("n_nationkey", typing.layered(F.when(own, F.col("n_name")), F.when(common, F.col("r_name")), F.lit("none")).alias("value"), typing.assistance(own, common, F.col("n_nationkey") % 5 != 0).alias("assisted"))
+
+
+@query("SELECT source, word, count(*) AS cnt FROM (SELECT source, unnest(regexp_split_to_array(text, '\\s+')) AS word FROM documents) WHERE word <> '' GROUP BY ALL")
+def tokenised_counts(spark, sf_dir):
+    return counting.count_words(counting.tokenised(table(spark, sf_dir, "documents")))
+
+
+# --- Particles, inflections, affixes
+
+_PARTICLES = ", ".join(f"('{a}', '{b}')" for a, b in hangul.PARTICLES)
+_NOUNS = "nouns AS (SELECT DISTINCT chr(CAST(44032 + p_partkey * 37 % 11172 AS INT)) || chr(CAST(44032 + p_partkey * 41 % 11172 AS INT)) AS word, p_size AS cost, (p_partkey * 41 % 11172) % 28 <> 0 AS ends FROM part)"
+
+
+@query(f"""WITH particle(c, v) AS (VALUES {_PARTICLES}), {_NOUNS}, best AS (SELECT * FROM nouns ORDER BY cost, word LIMIT 1000)
+SELECT word, CAST(min(cost) AS INT) AS cost FROM (SELECT word || CASE WHEN ends THEN c ELSE v END AS word, cost + 200 AS cost FROM best, particle) WHERE word NOT IN (SELECT word FROM nouns) GROUP BY word
+UNION ALL SELECT word || s, NULL FROM best, (VALUES ('하'), ('되')) t(s)""")
+def particle_expansion(spark, sf_dir):
+    """The thousand cheapest of two-syllable nouns with their particles, at a cost, and as verb stems, at none."""
+    at = lambda by: F.decode(F.unhex(F.lpad(F.hex(F.lit(0xAC00) + F.col("p_partkey") * by % 11172), 4, "0")), "UTF-16BE")
+    nouns = table(spark, sf_dir, "part").select(F.concat(at(37), at(41)).alias("word"), F.col("p_size").alias("cost"))
+    best = hangul.commonest(nouns, 1000)
+    return hangul.expand_particles(best, nouns).unionByName(hangul.derived_stems(best).withColumn("cost", F.lit(None).cast("int")))
+
+
+@query(f"WITH {LEX} SELECT word, cnt AS count FROM gathered WHERE NOT in_inventory AND cnt > 0 AND EXISTS (SELECT 1 FROM (SELECT unnest(list_transform(range(1, length(word)), lambda k: substr(word, 1, k))) AS p) WHERE p IN (SELECT word FROM inv))")
+def inflections_accepted(spark, sf_dir):
+    """Words that the inventory lacks but goes on to: its words serve as stems."""
+    s = signals(spark, sf_dir)
+    rules = dataclasses.replace(RULES, accept_inflections=True)
+    gathered = staged(lexicon.gather(s["sources"], s["attested"], s["observed"]), "gathered")
+    return lexicon.classify(gathered, rules, s["attested"].select(F.col("word").alias("stem"))).filter("accepted").select("word", "count")
+
+
+@query(f"WITH {LEX} SELECT word, cnt AS count, d_obs AS observations, d_sources AS sources FROM cand WHERE d_obs >= 20 AND d_sources >= 3 AND length(word) >= 2 AND word NOT IN (SELECT DISTINCT lower(substr(p_name, 1, 2)) FROM part UNION VALUES ('ing'), ('ed'), ('er'), ('th')) ORDER BY d_obs DESC, word LIMIT 10000")
+def admission_without_affixes(spark, sf_dir):
+    """Candidates admitted, but for affixes: the parts' first two letters and four more."""
+    s = lexicon_of(spark, sf_dir)
+    affixes = table(spark, sf_dir, "part").select(F.lower(F.substring("p_name", 1, 2)).alias("affix"))
+    affixes = affixes.unionByName(spark.createDataFrame([("ing",), ("ed",), ("er",), ("th",)], "affix string")).distinct()
+    return lexicon.admit(lexicon.candidates(s["classified"]), RULES, affixes)
+
+
+@query(f"WITH {LEX}, every AS (SELECT word, sum(cnt * weight) AS cnt FROM observed JOIN sources USING (source) WHERE role <> 'inventory' GROUP BY word) SELECT word, round(ln(1 + cnt), 6) AS score FROM every WHERE length(word) >= 2")
+def lexicon_without_inventory(spark, sf_dir):
+    """Where no source vouches for words, every counted one enters."""
+    s = signals(spark, sf_dir)
+    classified = lexicon.classify(staged(lexicon.gather(s["sources"], s["attested"].limit(0), s["observed"]), "gathered"), RULES)
+    ranked = lexicon.rank_words(lexicon.accumulate(classified, lexicon.admit(lexicon.candidates(classified), RULES)), RULES)
+    return ranked.select("word", F.round("score", 6).alias("score"))
+
+
+# --- Measures, catalogues, look-ups
+
+@query(f"SELECT count(*) AS words, avg(CASE WHEN lower(word) <> word THEN 1.0::DOUBLE ELSE 0.0 END) AS false_rate FROM (SELECT DISTINCT word FROM (SELECT unnest(words) AS word FROM ({_lines('source', 'documents', False)})) WHERE word <> '')")
+def false_corrections(spark, sf_dir):
+    """Folding as a correction: the share of words that it changes."""
+    words_ = counting.tokenise(table(spark, sf_dir, "documents"), keys=()).select(F.explode("words").alias("word")).filter("word <> ''").distinct()
+    return evaluation.false_corrections(words_.withColumn("committed", typing.fold(F.col("word"))))
+
+
+@query("WITH f AS (SELECT p_type AS text, min(p_name || '/' || p_partkey) AS first FROM part GROUP BY p_type), t AS (SELECT text, CAST(row_number() OVER (ORDER BY first) - 1 AS INT) AS idx FROM f) SELECT p_name || '/' || p_partkey AS package, idx FROM part JOIN t ON text = p_type")
+def licence_catalogue(spark, sf_dir):
+    """Parts as packages and their types as licence texts."""
+    packages = table(spark, sf_dir, "part").select(F.concat_ws("/", "p_name", "p_partkey").alias("package"), F.col("p_type").alias("text"))
+    return licences.catalogue(packages)[1]
+
+
+@query(f"WITH {_ANN} SELECT s_name AS query, word, grp, text, place FROM (SELECT DISTINCT p_brand AS s_name FROM part UNION SELECT DISTINCT word FROM merged) q JOIN merged ON merged.word = q.s_name")
+def annotation_lookup(spark, sf_dir):
+    merged = staged(_merged(spark, sf_dir), "merged")
+    asked = table(spark, sf_dir, "part").select(F.col("p_brand").alias("query")).unionByName(merged.select(F.col("word").alias("query"))).distinct()
+    return annotations.lookup(asked, merged).withColumn("word", F.col("query"))
+
+
+@query(f"""WITH {_DICT}, least AS (SELECT reading, min(cost) AS cost FROM dict GROUP BY 1), best AS (SELECT reading, surface FROM (SELECT *, row_number() OVER (PARTITION BY reading ORDER BY cost, strlen(surface), surface) AS n FROM dict) WHERE n = 1)
+SELECT prefix, reading, surface, place FROM (SELECT prefix, reading, CAST(row_number() OVER (PARTITION BY prefix ORDER BY cost, reading) AS INT) AS place FROM (SELECT DISTINCT substr(reading, 1, 1) AS prefix FROM least) JOIN least ON starts_with(reading, prefix)) JOIN best USING (reading) WHERE place <= 6""")
+def conversion_predictions(spark, sf_dir):
+    entries = _dictionary(spark, sf_dir)
+    return conversion.predictions(entries.select(F.substring("reading", 1, 1).alias("prefix")).distinct(), entries)
+
+
+@query("""WITH t AS (SELECT user_id, event_id, event_type AS query FROM events), own AS (SELECT CAST(c_custkey AS BIGINT) AS user_id, k, c_name AS expansion FROM customer, (VALUES ('click'), ('view')) v(k) WHERE c_custkey % 2 = 0)
+SELECT t.user_id, event_id, query, coalesce(expansion, CASE WHEN query IN ('click', 'error') THEN upper(query) END, query) AS text FROM t LEFT JOIN own ON own.user_id = t.user_id AND k = query""")
+def shortcuts_committed(spark, sf_dir):
+    """Event types as typed: a user's shortcut comes before the correction, and that before what was typed."""
+    typed = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").alias("query"))
+    own = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").cast("bigint").alias("user_id"), F.explode(F.array(F.lit("click"), F.lit("view"))).alias("shortcut"), F.col("c_name").alias("expansion"))
+    corrected = spark.createDataFrame([("click", "CLICK"), ("error", "ERROR")], "query string, key string")
+    return search.committed(typed, corrected, own)
