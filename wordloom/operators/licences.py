@@ -27,3 +27,15 @@ def catalogue(packages: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = packages.filter(F.col("text").isNotNull()).groupBy("text").agg(F.min("package").alias("first"))
     texts = first.withColumn("idx", F.row_number().over(Window.orderBy("first", F.sha2("text", 256))) - 1)
     return texts.select("idx", "text"), packages.join(texts.select("text", "idx"), "text", "left").select("package", "idx")
+
+
+def enabled_dependencies(features: DataFrame, enabled: DataFrame) -> DataFrame:
+    """(package, dependency): the optional dependencies that enabled(package, feature) bring in, over features(package, feature, entry).
+
+    An entry is another feature, 'dep:name', 'name/feature', which brings name in, or 'name?/feature', which does not."""
+    key, entry = F.struct("package", "feature"), F.col("entry")
+    named = entry.startswith("dep:") | F.contains(entry, F.lit("/"))
+    edges = features.filter(~named).select(key.alias("src"), F.struct("package", entry.alias("feature")).alias("dst"))
+    reached = closure(edges, enabled.select(key.alias("root"))).select("node.*").distinct()
+    brought = F.when(entry.startswith("dep:"), F.substring(entry, F.lit(5), F.char_length(entry))).otherwise(F.nullif(F.regexp_extract(entry, r"^([^/]*[^/?])/", 1), F.lit("")))
+    return features.filter(named).join(reached, ["package", "feature"]).select("package", brought.alias("dependency")).dropna().distinct()

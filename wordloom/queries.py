@@ -905,3 +905,15 @@ def shortcuts_committed(spark, sf_dir):
     own = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").cast("bigint").alias("user_id"), F.explode(F.array(F.lit("click"), F.lit("view"))).alias("shortcut"), F.col("c_name").alias("expansion"))
     corrected = spark.createDataFrame([("click", "CLICK"), ("error", "ERROR")], "query string, key string")
     return search.committed(typed, corrected, own)
+
+
+@query("""WITH RECURSIVE f AS (SELECT p_brand AS package, 'f' || p_size % 8 AS feature, CASE p_partkey % 4 WHEN 0 THEN 'dep:' || p_name WHEN 1 THEN 'f' || (p_partkey // 4) % 8 WHEN 2 THEN p_type || '/x' ELSE p_type || '?/x' END AS entry FROM part),
+r(package, feature) AS (SELECT DISTINCT p_brand, 'f0' FROM part UNION SELECT r.package, f.entry FROM r JOIN f USING (package, feature) WHERE NOT starts_with(f.entry, 'dep:') AND NOT contains(f.entry, '/'))
+SELECT DISTINCT package, CASE WHEN starts_with(entry, 'dep:') THEN substr(entry, 5) ELSE split_part(entry, '/', 1) END AS dependency FROM f JOIN r USING (package, feature) WHERE starts_with(entry, 'dep:') OR (contains(entry, '/') AND NOT contains(entry, '?/'))""")
+def feature_dependencies(spark, sf_dir):
+    """Brands as packages, whose parts are entries of eight features; the first is enabled."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey") % 4
+    goes_on = F.concat(F.lit("f"), F.expr("p_partkey div 4") % 8)
+    entry = F.when(k == 0, F.concat(F.lit("dep:"), "p_name")).when(k == 1, goes_on).when(k == 2, F.concat("p_type", F.lit("/x"))).otherwise(F.concat("p_type", F.lit("?/x")))
+    features = p.select(F.col("p_brand").alias("package"), F.concat(F.lit("f"), F.col("p_size") % 8).alias("feature"), entry.alias("entry"))
+    return licences.enabled_dependencies(features, p.select(F.col("p_brand").alias("package"), F.lit("f0").alias("feature")).distinct())
