@@ -32,4 +32,4 @@ def frame(spark, rows):
 
 
 def rows_by(rows) -> Counter:
-    return Counter(tuple(r) for r in rows)
+    return Counter(tuple(tuple(x) if isinstance(x, list) else x for x in r) for r in rows)
