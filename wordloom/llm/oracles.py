@@ -72,5 +72,47 @@ def mixing_sql() -> str:
     return f"WITH {mixing_ctes(docs)} SELECT * EXCLUDE (start) FROM chosen"
 
 
+_RUN = "regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def lexical_search_sql(k: int = 10) -> str:
+    return f"""
+WITH d AS (SELECT doc_id, {_RUN} AS words FROM documents),
+t AS (SELECT doc_id, len(words) AS n, unnest(words) AS word FROM d),
+tf AS (SELECT doc_id, n, {_LOWER.format("word")} AS term, count(*) AS tf FROM t GROUP BY ALL),
+whole AS (SELECT count(*) AS docs, CAST(sum(len(words)) AS BIGINT) AS terms FROM d WHERE len(words) > 0),
+q AS (SELECT DISTINCT item_id, {_LOWER.format(f"unnest({_RUN})")} AS term FROM benchmark),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf CROSS JOIN whole WHERE term IN (SELECT term FROM q) GROUP BY term, docs),
+s AS (SELECT item_id, doc_id, CAST(sum(w.w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term) CROSS JOIN whole GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= {k}
+"""
+
+
+def vector_codes_sql(scale: int = 4096, parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """One CTE for each assignment and each codebook."""
+    text = f"""
+WITH kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cut AS MATERIALIZED (SELECT vec_id, label, p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] AS v FROM kept CROSS JOIN range({parts}) r(p)),
+book0 AS MATERIALIZED (SELECT p, e, v FROM (SELECT p, v, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM cut) WHERE e < {entries})"""
+    for k in range(rounds + 1):
+        text += f""",
+near{k} AS MATERIALIZED (SELECT vec_id, label, p, v, min(struct_pack(far := far, e := e)) AS best FROM (
+  SELECT c.vec_id, c.label, c.p, c.v, b.e, CAST(list_sum(list_transform(list_zip(c.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS far FROM cut c JOIN book{k} b USING (p)) GROUP BY ALL)"""
+        if k < rounds:
+            text += f""",
+mean{k} AS (SELECT p, e, list(CAST(s // n - CASE WHEN s % n < 0 THEN 1 ELSE 0 END AS BIGINT) ORDER BY i) AS v FROM (
+  SELECT p, best.e AS e, i, sum(v[i]) AS s, count(*) AS n FROM near{k}, LATERAL (SELECT unnest(range(1, len(v) + 1)) AS i) GROUP BY ALL) GROUP BY p, e),
+book{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM book{k} b LEFT JOIN mean{k} m ON b.p = m.p AND b.e = m.e)"""
+    return text + f""",
+coded AS (SELECT vec_id, label, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(sum(best.far) AS BIGINT) AS error FROM near{rounds} GROUP BY ALL)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256 FROM coded
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": mixing_sql(), "op9_lookup_sharding": sharding_sql()}
+    return {"op1_source_mixing": mixing_sql(), "op9_lookup_sharding": sharding_sql(), "op11_partial_distance": vector_codes_sql(), "op12_block_max_wand": lexical_search_sql()}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, mixing, ngram_join, nn_descent, pu_quality, sharding, token_files, transport_stream, unigram_count
+from . import block_max, byte_bpe, language_id, mixing, ngram_join, nn_descent, pu_quality, sharding, token_files, transport_stream, unigram_count, vector_codes
 from .common import staged
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
@@ -92,5 +92,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.predict(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_partial_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"), scale=4096, parts=8, entries=16, rounds=6)
+
+
+def op12_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    whole = block_max.totals(docs)
+    return block_max.search(block_max.build(docs, whole), whole, table(spark, sf_dir, "benchmark"), k=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mixing, op2_token_files, op3_ngram_jaccard, op4_language_mixture, op5_token_counts, op6_byte_bpe, op7_transport_streams, op8_nn_descent, op9_lookup_sharding, op10_quality)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_token_files, op3_ngram_jaccard, op4_language_mixture, op5_token_counts, op6_byte_bpe, op7_transport_streams, op8_nn_descent, op9_lookup_sharding, op10_quality, op11_partial_distance, op12_block_max_wand)}
