@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_max, byte_bpe, language_id, mixing, ngram_join, nn_descent, pu_quality, sharding, token_files, transport_stream, unigram_count, vector_codes
+from . import block_max, byte_bpe, language_id, mixing, ngram_join, nn_descent, pitman_yor, pu_quality, sharding, token_files, transport_stream, unigram_count, vector_codes
 from .common import staged
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
@@ -102,5 +102,10 @@ def op12_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_max.search(block_max.build(docs, whole), whole, table(spark, sf_dir, "benchmark"), k=10)
 
 
+def op13_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = language_id.remainder(F.col("doc_id"), 7)
+    return pitman_yor.learn_and_score(table(spark, sf_dir, "documents"), train=rest != 2, held_out=rest == 2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mixing, op2_token_files, op3_ngram_jaccard, op4_language_mixture, op5_token_counts, op6_byte_bpe, op7_transport_streams, op8_nn_descent, op9_lookup_sharding, op10_quality, op11_partial_distance, op12_block_max_wand)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_token_files, op3_ngram_jaccard, op4_language_mixture, op5_token_counts, op6_byte_bpe, op7_transport_streams, op8_nn_descent, op9_lookup_sharding, op10_quality, op11_partial_distance, op12_block_max_wand, op13_pitman_yor)}
