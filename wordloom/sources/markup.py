@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import tokens
+from . import archives
 from .text import unescape
 from .words import running_header
 
@@ -55,17 +57,36 @@ def encyclopaedia(spark: SparkSession, path: str) -> DataFrame:
     return pages.filter((F.col("ns") == 0) & F.col("redirect").isNull() & body.isNotNull()).select("title", strip_wikitext(body).alias("text"))
 
 
-_FORM = "struct<form:string>"
-_CORPUS = f"document array<struct<paragraph:array<{_FORM}>,sentence:array<{_FORM}>,utterance:array<{_FORM}>>>, paragraph array<{_FORM}>, sentence array<{_FORM}>, utterance array<{_FORM}>"
+#: The arrays whose objects are sentences.
+SENTENCE_ARRAYS = ("paragraph", "sentence", "utterance")
+
+
+def _forms(text: str) -> list[str]:
+    """`form` of the objects directly in sentence arrays, wherever those stand, in order."""
+    out, waiting = [], [(json.loads(text), False)]
+    while waiting:
+        value, is_sentence = waiting.pop()
+        if isinstance(value, dict):
+            if is_sentence and isinstance(value.get("form"), str):
+                out.append(value["form"])
+            waiting += [(child, name in SENTENCE_ARRAYS) for name, child in reversed(value.items())]
+        elif isinstance(value, list):
+            waiting += [(child, is_sentence) for child in reversed(value)]
+    return out
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _sentence_forms(text: pd.Series) -> pd.Series:
+    return text.map(_forms)
 
 
 def corpus_forms(spark: SparkSession, path: str) -> DataFrame:
-    """(text): `form` of paragraphs, sentences and utterances, at the top or in documents; forms of their morphemes are not read."""
-    rows = spark.read.option("multiLine", True).schema(_CORPUS).json(path)
-    kinds = ("paragraph", "sentence", "utterance")
-    forms = [F.coalesce(F.col(f"{c}.form"), F.array().cast("array<string>")) for c in kinds]
-    inner = [F.coalesce(F.flatten(F.transform("document", lambda d: F.coalesce(d[c].form, F.array().cast("array<string>")))), F.array().cast("array<string>")) for c in kinds]
-    return rows.select(F.explode(F.concat(*forms, *inner)).alias("text")).filter(F.col("text").isNotNull())
+    """(text): `form` of paragraphs, sentences and utterances at any depth of JSON documents, plain or in zips; forms of their morphemes are not read. A document that is no JSON is an error."""
+    if path.endswith(".zip"):
+        documents = archives.members(spark, path, "text", r".*\.json")
+    else:
+        documents = spark.read.text(path, wholetext=True).select(F.col("value").alias("text"))
+    return documents.select(F.explode(_sentence_forms(F.col("text"))).alias("text"))
 
 
 def group_of(text: Column) -> Column:
@@ -96,8 +117,12 @@ _ITEM = "wordInfo struct<word:string,word_unit:string>, senseInfo struct<type:st
 
 
 def headwords(spark: SparkSession, path: str, senses: Sequence[str], units: Sequence[str], excluded: Sequence[str] = ()) -> DataFrame:
-    """(phrase) of an open dictionary's items of the wanted senses and units; words of related items are not read."""
-    items = spark.read.format("xml").option("rowTag", "item").schema(_ITEM).load(path)
+    """(phrase) of an open dictionary's items of the wanted senses and units, from XML files, plain or in zips; words of related items are not read."""
+    if path.endswith(".zip"):
+        records = archives.members(spark, path, "records", r".*\.xml", tag="item")
+        items = records.select(F.from_xml("record", f"struct<{_ITEM.replace('wordInfo ', 'wordInfo: ').replace('senseInfo ', 'senseInfo: ')}>").alias("item")).select("item.*")
+    else:
+        items = spark.read.format("xml").option("rowTag", "item").schema(_ITEM).load(path)
     kept = F.col("senseInfo.type").isin(*senses) & F.col("wordInfo.word_unit").isin(*units) & ~F.coalesce(F.col("senseInfo.pos").isin(*excluded), F.lit(False))
     return items.filter(kept).select(F.trim(F.col("wordInfo.word")).alias("phrase"))
 

@@ -10,6 +10,8 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import archives
+
 PARSER_VERSION = 1
 SECTIONS = ("lexicon", "bigram", "annotation", "catalogue", "entries", "connection")
 
@@ -30,11 +32,8 @@ def optional(spark: SparkSession, path: str, read: Callable[[str], DataFrame], r
 
 
 def digest(spark: SparkSession, path: str) -> str:
-    """SHA-256 over the sorted digests of a path's files: each file is hashed by a task."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    rows = files.select(F.sha2("content", 256).alias("d")).orderBy("d")
-    # One digest a file: a source has few.
-    return hashlib.sha256("".join(r["d"] for r in rows.toLocalIterator()).encode()).hexdigest()
+    """SHA-256 over a path's files by their contents, each file's ranges hashed by their own tasks."""
+    return archives.digest(spark, path)
 
 
 def cached(spark: SparkSession, folder: str, key: Mapping, make: Callable[[], DataFrame], fresh: bool = False) -> DataFrame:
