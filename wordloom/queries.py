@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions import encoding, hangul, kana, layouts, scores, tokens, typing
 from .operators import annotations, conversion, counting, evaluation, lexicon, licences, personal, search, suggest, touch
 from .session import checkpoint_folder, staged
-from .sources import markup, tables, words
+from .sources import build, markup, tables, words
 from .streaming import learning
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -219,6 +219,57 @@ def bigram_report(spark, sf_dir):
     return lexicon.bigram_report(s["pairs"], s["observed"], s["lexicon"], LM_RULES)
 
 
+# --- Packs from recipes: texts by language and the benchmark's words, as files that a recipe names.
+
+_LANGUAGES = {"en": "lang0", "de": "lang1", "fr": "lang2", "es": "lang3"}
+_FILED = f"""documents AS (SELECT CASE lang {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _LANGUAGES.items())} ELSE 'lang5' END AS source, text FROM main.documents),
+{LEX}""".replace("cnt / (SELECT max(cnt) FROM inv) AS rank", "0.5 AS rank")
+_RECIPE = """[pack]
+language = "all"
+pack_version = 3
+[build.lexicon]
+max_words = 100000
+minimum_word_length = 2
+[build.lexicon.admission]
+minimum_count = 20
+minimum_sources = 3
+[build.language_model]
+minimum_count = 3
+"""
+
+
+def _recipe_files(spark: SparkSession, sf_dir: str, home: str) -> None:
+    docs = table(spark, sf_dir, "documents")
+    names = F.create_map(*[F.lit(x) for kv in _LANGUAGES.items() for x in kv])
+    lines = docs.select(F.coalesce(F.try_element_at(names, F.col("lang")), F.lit("lang5")).alias("source"), F.explode(F.split(F.translate("text", "\t\r", "  "), "\n")).alias("line"))
+    lines.select("source", F.concat(F.lit("0\t-\t"), "line").alias("value")).write.partitionBy("source").text(f"{home}/files")
+    counting.count_words(counting.tokenise(table(spark, sf_dir, "benchmark"), cased=True, keys=()), keys=()).select(F.concat_ws("\t", "word", "cnt").alias("value")).write.text(f"{home}/files/benchmark")
+    tables.write_text(spark, f"{home}/all/recipe.toml", _RECIPE)
+    tables.write_text(spark, f"{home}/all/sources/00.toml", f'[[sources]]\nname = "benchmark"\nformat = "word_list"\nrole = "inventory"\npath = "{home}/files/benchmark"\n')
+
+
+def _add_source(spark: SparkSession, home: str, name: str) -> None:
+    role, weight = ("discovery", 0.5) if int(name[-1]) % 2 else ("frequency", 1.0)
+    tables.write_text(spark, f"{home}/all/sources/{name}.toml", f'[[sources]]\nname = "{name}"\nformat = "sentences"\nrole = "{role}"\nweight = {weight}\nrequired = false\nminimum_count = {MINIMUM_COUNT}\npath = "{home}/files/source={name}"\n')
+
+
+@query(f"""WITH {_FILED} SELECT 'lexicon' AS section, word AS key, NULL AS other, CAST(freq AS INT) AS value FROM lex UNION ALL SELECT 'bigram', l, r, CAST(weight AS INT) FROM bi""")
+def recipe_pack(spark, sf_dir):
+    """Built without one source, then with it: the second build reads that source only."""
+    home = f"{checkpoint_folder(spark)}/recipe-{uuid.uuid4().hex}"
+    _recipe_files(spark, sf_dir, home)
+    for name in sorted({*_LANGUAGES.values(), "lang5"} - {"lang1"}):
+        _add_source(spark, home, name)
+    build.build(spark, f"{home}/all", f"{home}/out")
+    _add_source(spark, home, "lang1")
+    again = build.build(spark, f"{home}/all", f"{home}/out")
+    if set(again.counted) - {"lang1"}:
+        raise AssertionError(f"sources that did not change were read again: {again.counted}")
+    pack = tables.read_pack(spark, f"{home}/out/packs/all")
+    lex = pack["lexicon"].select(F.lit("lexicon").alias("section"), "key", F.lit(None).cast("string").alias("other"), F.col("freq").alias("value"))
+    return lex if "bigram" not in pack else lex.unionByName(pack["bigram"].select(F.lit("bigram").alias("section"), F.col("left").alias("key"), F.col("right").alias("other"), F.col("weight").alias("value")))
+
+
 # --- Look-ups
 
 _NEXT = """nxt AS (SELECT l, r, coalesce(freq, 0) + f.weight AS score FROM fol f LEFT JOIN lex ON lex.word = f.r),

@@ -57,23 +57,27 @@ def can_seek(path: str) -> bool:
     return True
 
 
-def files(spark: SparkSession, pattern: str) -> list[tuple[str, int]]:
-    """(path, bytes) of the files that a path, a folder with all below it, or a pattern names, in order; hidden ones are left out."""
+def found(spark: SparkSession, pattern: str) -> list[tuple[str, int, int]]:
+    """(path, bytes, time of change) of the files that a path, a folder with all below it, or a pattern names, in order; hidden ones are left out."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
     system = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     out = []
     for top in system.globStatus(hadoop) or ():
-        found = system.listFiles(top.getPath(), True)
-        while found.hasNext():
-            one = found.next()
-            name = one.getPath().toString()
+        listed = system.listFiles(top.getPath(), True)
+        while listed.hasNext():
+            one = listed.next()
             if not one.getPath().getName().startswith((".", "_")):
-                out.append((name, one.getLen()))
-    if not out:
-        raise FileNotFoundError(pattern)
+                out.append((one.getPath().toString(), one.getLen(), one.getModificationTime()))
     return sorted(out)
 
 
+def files(spark: SparkSession, pattern: str) -> list[tuple[str, int]]:
+    """(path, bytes) of what `found` finds; nothing is an error."""
+    if not (out := [(path, size) for path, size, _ in found(spark, pattern)]):
+        raise FileNotFoundError(pattern)
+    return out
+
+
 class _Window(io.RawIOBase):
     """`length` bytes of a file from `start` on."""
 
@@ -308,14 +312,20 @@ class FileLeaves(DataSource):
         return _LeavesReader(dict(self.options))
 
 
-def leaf_digests(spark: SparkSession, found: list[tuple[str, int]], run_bytes: int = RUN_BYTES) -> DataFrame:
-    """(path, leaf, digest). Where tasks cannot seek in the file system, Spark reads whole files, of up to 2 GB, and cuts them."""
-    if all(can_seek(path) for path, _ in found):
+def leaf_digests(spark: SparkSession, read: list[tuple[str, int]], run_bytes: int = RUN_BYTES) -> DataFrame:
+    """(path, leaf, digest). Files of one leaf are read whole by Spark, and so are, up to 2 GB, those in whose file system tasks cannot seek; the others by ranges."""
+    ranged = [(path, size) for path, size in read if size > LEAF_BYTES and can_seek(path)]
+    in_ranges = set(ranged)
+    whole = [path for path, size in read if size and (path, size) not in in_ranges]
+    empty = [(path, 0, hashlib.sha256().hexdigest()) for path, size in read if not size]  # Spark leaves such files out
+    out = spark.createDataFrame(empty, "path string, leaf bigint, digest string")
+    if whole:
+        cut = spark.read.format("binaryFile").load(whole).select("path", "content", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("length") / LEAF_BYTES) - 1).cast("int"))).alias("leaf"))
+        out = out.unionByName(cut.select("path", F.col("leaf").cast("bigint").alias("leaf"), F.sha2(F.substring("content", F.col("leaf") * LEAF_BYTES + 1, F.lit(LEAF_BYTES)), 256).alias("digest")))
+    if ranged:
         spark.dataSource.register(FileLeaves)
-        return spark.read.format("file_leaves").option("files", json.dumps(found)).option("run_bytes", str(run_bytes)).load()
-    whole = spark.read.format("binaryFile").load([path for path, _ in found]).select("path", "content", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("length") / LEAF_BYTES) - 1).cast("int"))).alias("leaf"))
-    empty = spark.createDataFrame([(path, 0, hashlib.sha256().hexdigest()) for path, size in found if not size], "path string, leaf bigint, digest string")  # Spark leaves such files out
-    return empty.unionByName(whole.select("path", F.col("leaf").cast("bigint").alias("leaf"), F.sha2(F.substring("content", F.col("leaf") * LEAF_BYTES + 1, F.lit(LEAF_BYTES)), 256).alias("digest")))
+        out = out.unionByName(spark.read.format("file_leaves").option("files", json.dumps(ranged)).option("run_bytes", str(run_bytes)).load())
+    return out
 
 
 def tree_digest(leaves: DataFrame, most_leaves: int, keys: tuple[str, ...] = ("path",)) -> DataFrame:
@@ -330,7 +340,7 @@ def tree_digest(leaves: DataFrame, most_leaves: int, keys: tuple[str, ...] = ("p
 
 def digest(spark: SparkSession, path: str, run_bytes: int = RUN_BYTES) -> str:
     """One SHA-256 of all files that path names, by their contents alone: a tree over each file's leaves, then one over the files' sorted digests."""
-    found = files(spark, path)
-    each = tree_digest(leaf_digests(spark, found, run_bytes), max(1, max(-(-size // LEAF_BYTES) for _, size in found)))
+    read = files(spark, path)
+    each = tree_digest(leaf_digests(spark, read, run_bytes), max(1, max(-(-size // LEAF_BYTES) for _, size in read)))
     # One digest a file.
     return hashlib.sha256("".join(r["digest"] for r in each.orderBy("digest").toLocalIterator()).encode()).hexdigest()

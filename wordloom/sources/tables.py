@@ -22,6 +22,21 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def stamps(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(path, bytes, time of change) of a path's files."""
+    return archives.found(spark, path)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, whole, in place of one that is there."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(hadoop, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def optional(spark: SparkSession, path: str, read: Callable[[str], DataFrame], required: bool = False) -> DataFrame | None:
     """What read gives, or None where the path is missing and need not be there."""
     if exists(spark, path):
