@@ -42,7 +42,7 @@ def test_a_pack_from_a_recipe(spark, language, tmp_path):
     pack = tables.read_pack(spark, f"{out}/packs/xx")
     assert {r["key"] for r in pack["lexicon"].collect()} == {"tea", "ice", "icetea", "milk", "cup", "matcha"}
     recipe = recipes.load(spark, str(language))
-    s = recipes.read(spark, recipe)
+    s = {kind: df.cache() for kind, df in recipes.read(spark, recipe).items()}
     rules, pair_rules, _ = build.rules_of(recipe.build)
     classified = lexicon.classify(lexicon.gather(s["sources"], s["attested"], s["observed"]), rules)
     promoted = lexicon.admit(lexicon.candidates(classified), rules)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wordloom.functions import scores
-from wordloom.operators import search, suggest
+from wordloom.operators import edit_join, search, suggest
 
 MAX = scores.MAX_FREQUENCY
 
@@ -140,3 +141,41 @@ def test_shortcuts_come_before_corrections(spark):
     fixed = spark.createDataFrame([(2, "the"), (4, "the")], "query_id bigint, correction string")
     got = {r["query_id"]: (r["text"], r["by"]) for r in suggest.shortcuts(asked, own, fixed).collect()}
     assert got == {1: ("on my way", "shortcut"), 2: ("Teh", "shortcut"), 3: ("omw", "typed"), 4: ("the", "correction")}
+
+
+def slips(draw, word: bytes, edits: int, letters: bytes) -> bytes:
+    own = bytearray(word)
+    for _ in range(edits):
+        at, kind = int(draw.integers(0, len(own) + 1)), draw.integers(4)
+        if kind == 0:
+            own.insert(at, int(draw.choice(list(letters))))
+        elif at < len(own) and kind == 1:
+            own[at] = int(draw.choice(list(letters)))
+        elif at < len(own) and kind == 2:
+            del own[at]
+        elif at + 1 < len(own):
+            own[at], own[at + 1] = own[at + 1], own[at]
+    return bytes(own)
+
+
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_pairs_within_k_edits_all_meet(spark, k):
+    """Few letters, so that segments, shifts and transpositions across boundaries coincide in every way."""
+    draw = np.random.default_rng(k)
+    keys = sorted({bytes(draw.choice(list(b"ab" if k < 3 else b"abc"), size=int(n))).decode() for n in draw.integers(k, 13, 160)} - {""})
+    asked = sorted({slips(draw, x.encode(), int(draw.integers(1, k + 1)), b"abc").decode() for x in keys for _ in range(2)} - {""})
+    left, right = spark.createDataFrame([(x,) for x in asked], "query string"), spark.createDataFrame([(x,) for x in keys], "key string")
+    found = edit_join.join(left, right, "query", "key", [(k, F.lit(True), F.lit(100 * k))]).collect()
+    want = sorted((q, x, c) for q in asked for x in keys if q != x and (c := plain_osa(q.encode(), x.encode())) <= 100 * k)
+    assert sorted((r["query"], r["key"], r["cost"]) for r in found) == want and want
+
+
+def test_words_of_two_thousand_letters_are_corrected(spark):
+    draw = np.random.default_rng(4)
+    keys = [bytes(draw.choice(list(b"abcdefgh"), size=2_000)).decode() for _ in range(12)]
+    typed = [slips(draw, x.encode(), 2, b"xyz").decode() for x in keys]
+    lexicon, queries = spark.createDataFrame([(x, 5) for x in keys], "key string, freq int"), spark.createDataFrame([(x,) for x in typed], "query string")
+    found = {(r["query"], r["key"]): r["cost"] for r in search.corrections(queries, lexicon).collect()}
+    assert set(found) == set(zip(typed, keys)) - {(x, x) for x in keys} and set(found.values()) <= {100, 200}
+    pieces = lexicon.select(F.max(F.size(edit_join.offered(F.col("key"), 2))), F.max(F.size(edit_join.offered(F.col("key"), 3)))).first()
+    assert max(pieces) <= 16

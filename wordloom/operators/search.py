@@ -1,19 +1,17 @@
 """Look-ups in a lexicon: exact, by prefix, by edit distance, with context and a user's own words.
 
 A lexicon is (key, freq); a bigram model (left, right, weight). Queries are a DataFrame with an id each, so a look-up is
-a join: prefixes of keys meet queries as equal strings, and corrections meet on strings with characters left out, which
-finds every key within the budget without comparing all pairs. Candidates are verified by a weighted edit distance.
+a join: prefixes of keys meet queries as equal strings, and corrections meet on segments of keys (`edit_join`), which
+finds every key within the budget without comparing all pairs.
 """
 
 from __future__ import annotations
 
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import scores
+from . import edit_join
 
 POOL = 12
 SHOWN = 3
@@ -40,51 +38,13 @@ def complete(queries: DataFrame, lexicon: DataFrame, limit: int = SHOWN, query:
     return queries.join(top, F.col(query) == F.col("prefix")).drop("prefix")
 
 
-def deletions(key: Column, depth: int) -> Column:
-    """The key and all strings with up to depth characters left out."""
-    out = F.array(key)
-    layer = out
-    for _ in range(depth):
-        shorter = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(k), F.lit(1))), lambda i: F.concat(F.substring(k, F.lit(1), i - 1), F.substring(k, i + 1, F.char_length(k))))
-        layer = F.array_distinct(F.flatten(F.transform(layer, shorter)))
-        out = F.array_union(out, layer)
-    return out
-
-
-def osa(a: bytes, b: bytes, cheap: dict[int, dict[int, int]] | None = None) -> int:
-    """Optimal string alignment over bytes, a cost of 100 an edit; cheap: by place in a, what a typed byte may stand for at less."""
-    before, row = None, [scores.EDIT * j for j in range(len(b) + 1)]
-    for i, x in enumerate(a, 1):
-        current = [scores.EDIT * i]
-        near = cheap.get(i - 1, {}) if cheap else {}
-        for j, y in enumerate(b, 1):
-            cost = min(row[j] + scores.EDIT, current[j - 1] + scores.EDIT, row[j - 1] + (0 if x == y else near.get(y, scores.EDIT)))
-            if before is not None and i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                cost = min(cost, before[j - 2] + scores.EDIT)
-            current.append(cost)
-        before, row = row, current
-    return row[-1]
-
-
-@F.pandas_udf(T.IntegerType())
-def osa_cost(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([osa(x.encode(), y.encode()) for x, y in zip(a, b)], dtype="int32")
-
-
-def corrections(queries: DataFrame, lexicon: DataFrame, query: str = "query", depth: int = 2, near: str | None = None, cost=None) -> DataFrame:
-    """(.., key, freq, cost): keys whose edit cost is within the query's budget and not 0. near: a column of the queries that `cost` takes as well, by which substitutions may cost less; then depth 3 fits the larger budget."""
+def corrections(queries: DataFrame, lexicon: DataFrame, query: str = "query", near: str | None = None) -> DataFrame:
+    """(.., key, freq, cost): keys whose edit cost is within the query's budget and not 0. near: a column of the queries with cheaper substitutions, as JSON of (at, base, cost); the larger budget then holds up to three edits."""
     budget = scores.edit_budget(F.col(query))
     by = [query] if near is None else [query, near]
-    depth = depth if near is None else depth + 1
-    # A query of two edits has ten characters or more, so its partners have eight or more.
-    asked = queries.filter(budget > 0).select(query, F.explode(F.when(budget > scores.EDIT, deletions(F.col(query), depth)).otherwise(deletions(F.col(query), 1))).alias("part")).distinct()
-    offered = lexicon.select("key", "freq", F.explode(F.when(F.char_length("key") >= 8, deletions(F.col("key"), depth)).otherwise(deletions(F.col("key"), 1))).alias("part"))
-    met = asked.join(offered, "part").select(query, "key", "freq").distinct().filter(F.col(query) != F.col("key"))
-    # A transposition counts as two for Levenshtein: pairs beyond twice the edits need no dynamic program in Python.
-    met = met.filter(F.levenshtein(F.col(query), F.col("key")) <= 2 * depth)
-    if near is not None:
-        met = queries.filter(budget > 0).select(*by).distinct().join(met, query)
-    costed = met.withColumn("cost", (cost or osa_cost)(F.col(query), F.col("key"), *[F.col(c) for c in by[1:]])).filter(F.col("cost") <= budget)
+    small, large = budget == scores.EDIT, budget > scores.EDIT
+    budgets = [(1, small, budget), (2 if near is None else 3, large, budget)]
+    costed = edit_join.join(queries.filter(budget > 0).select(*by).distinct(), lexicon.select("key", "freq").distinct(), query, "key", budgets, near).select(*by, "key", "freq", "cost")
     if near is None:
         return queries.join(costed, query)
     same = (F.col(f"q.{query}") == F.col(f"c.{query}")) & F.equal_null(F.col(f"q.{near}"), F.col(f"c.{near}"))
