@@ -304,16 +304,29 @@ def _typed(s: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     return s["observed"].select(F.col("word").alias("query")).distinct(), s["lexicon"].select(F.col("word").alias("key"), "freq")
 
 
-# DuckDB's edit distance is not optimal string alignment: these are held against brute force in tests/test_search.py.
-
-
-@query()
+# Optimal string alignment over bytes. Where Damerau and Levenshtein's distance is one, so is the alignment's; pairs at two
+# are aligned row by row over pairs of hex digits, a row's chain of insertions being a running minimum.
+_OSA = """typed AS MATERIALIZED (SELECT DISTINCT word AS query, CASE WHEN length(word) < 2 THEN 0 WHEN length(word) < 10 THEN 1 ELSE 2 END AS most FROM observed),
+close AS MATERIALIZED (SELECT query, word AS key, freq, damerau_levenshtein(query, word) AS d, most FROM typed JOIN lex ON query <> word AND abs(strlen(query) - strlen(word)) <= most WHERE most > 0 AND damerau_levenshtein(query, word) <= most),
+step(query, key, a, b, i, now, older) AS (
+  SELECT query, key, hex(query), hex(key), CAST(0 AS BIGINT), range(0, strlen(key) + 1), range(0, strlen(key) + 1) FROM close WHERE d = 2
+  UNION ALL
+  SELECT query, key, a, b, i, list_transform(range(1, len(now) + 1), lambda j: j + list_min(list_transform(range(1, j + 1), lambda l: fresh[l] - l))), now FROM (
+    SELECT query, key, a, b, i + 1 AS i, now, list_transform(range(0, len(now)), lambda j: CASE WHEN j = 0 THEN i + 1 ELSE least(now[j + 1] + 1, now[j] + CASE WHEN substr(a, 2 * i + 1, 2) = substr(b, 2 * j - 1, 2) THEN 0 ELSE 1 END,
+      CASE WHEN i > 0 AND j > 1 AND substr(a, 2 * i + 1, 2) = substr(b, 2 * j - 3, 2) AND substr(a, 2 * i - 1, 2) = substr(b, 2 * j - 1, 2) THEN older[j - 1] + 1 ELSE 99 END) END) AS fresh
+    FROM step WHERE i < strlen(query))),
+fixes AS MATERIALIZED (SELECT query, key, freq, CAST(100 * d AS INT) AS cost FROM close WHERE d = 1
+  UNION ALL SELECT c.query, c.key, c.freq, 200 FROM close c JOIN step s ON s.query = c.query AND s.key = c.key AND s.i = strlen(c.query) WHERE s.now[-1] <= 2)"""
+
+
+@query(f"WITH RECURSIVE {LEX}, {_OSA} SELECT query, key, freq, cost FROM fixes")
 def osa_corrections(spark, sf_dir):
     typed, keys = _typed(lexicon_of(spark, sf_dir))
     return search.corrections(typed, keys)
 
 
-@query()
+@query(f"""WITH RECURSIVE {LEX}, {_OSA} SELECT query, correction, score FROM (SELECT query, key AS correction, CAST(freq AS BIGINT) - cost * {scores.EDIT_PENALTY} // 100 AS score,
+row_number() OVER (PARTITION BY query ORDER BY CAST(freq AS BIGINT) - cost * {scores.EDIT_PENALTY} // 100 DESC, key DESC) AS place FROM fixes WHERE query NOT IN (SELECT word FROM lex)) WHERE place = 1 AND score > {scores.AUTOCORRECT_MARGIN}""")
 def autocorrect(spark, sf_dir):
     typed, keys = _typed(lexicon_of(spark, sf_dir))
     return search.autocorrect(typed, keys, id_column="query").select("query", "correction", F.col("score").cast("bigint").alias("score"))
