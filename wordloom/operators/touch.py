@@ -25,27 +25,47 @@ def _centre(a: str) -> tuple[Column, Column]:
     return F.col(f"{a}.x") + F.col(f"{a}.w") / 2, F.col(f"{a}.y") + F.col(f"{a}.h") / 2
 
 
-def hit(touches: DataFrame, keys: DataFrame, id_column: str = "touch_id") -> DataFrame:
-    """(.., base): the key whose rectangle holds the touch (tx, ty), else the nearest of its row. keys: one layout, a few dozen rows, broadcast."""
-    met = touches.join(F.broadcast(keys), (F.col("ty") >= F.col("y")) & (F.col("ty") < F.col("y") + F.col("h")))
-    out = F.greatest(F.col("x") - F.col("tx"), F.col("tx") - (F.col("x") + F.col("w")), F.lit(0.0))
-    inside = (F.col("tx") >= F.col("x")) & (F.col("tx") < F.col("x") + F.col("w"))
-    order = Window.partitionBy(id_column).orderBy(F.when(inside, 0).otherwise(1), out, "idx")
-    return met.withColumn("n", F.row_number().over(order)).filter("n = 1").select(*touches.columns, "base")
-
-
-def likelihoods(touches: DataFrame, keys: DataFrame, id_column: str = "touch_id") -> DataFrame:
-    """(.., base, p, place): shares of a Gaussian around the touch in key widths and heights; the pressed key first, then by share."""
-    pressed = hit(touches, keys, id_column).select(id_column, F.col("base").alias("pressed"))
-    met = touches.crossJoin(F.broadcast(keys)).join(pressed, id_column)
-    dx = (F.col("tx") - (F.col("x") + F.col("w") / 2)) / F.col("w")
-    dy = (F.col("ty") - (F.col("y") + F.col("h") / 2)) / F.col("h")
-    met = met.withColumn("g", F.exp(-(dx * dx + dy * dy) / (2 * SPREAD * SPREAD)))
-    met = met.withColumn("p", F.col("g") / F.sum("g").over(Window.partitionBy(id_column)))
-    first = F.col("base") == F.col("pressed")
-    kept = met.filter(first | (F.col("p") >= LEAST_SHARE))
-    order = Window.partitionBy(id_column).orderBy(F.when(first, 0).otherwise(1), F.desc("p"), "row", "idx")
-    return kept.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= MOST_KEYS).select(*touches.columns, "base", "p", "place")
+def _literal(keys: DataFrame) -> tuple[Column, Column]:
+    """One layout's keys, a few dozen, as an array of structs, and the row of a touch at ty: above and below the keyboard the nearest."""
+    rows = [r.asDict() for r in keys.select("row", "idx", "base", "x", "y", "w", "h").collect()]
+    one = lambda r: F.struct(*[F.lit(float(r[c]) if c in "xywh" else r[c]).alias(c) for c in ("row", "idx", "base", "x", "y", "w", "h")], F.lit(r["base"]).rlike(r"^\p{IsAlphabetic}").alias("letter"))
+    tops = sorted({(float(r["y"]), r["row"]) for r in rows})
+    row = F.lit(tops[0][1])
+    for top, number in tops[1:]:
+        row = F.when(F.col("ty") >= top, number).otherwise(row)
+    return F.array(*[one(r) for r in rows]), row
+
+
+def _pressed(keys: Column, row: Column) -> Column:
+    """The key of the row that holds tx, else the one whose centre is nearest, ties to the left."""
+    inside = lambda k: (F.col("tx") >= k["x"]) & (F.col("tx") < k["x"] + k["w"])
+    far = lambda k: F.when(inside(k), -1.0).otherwise(F.abs(k["x"] + k["w"] / 2 - F.col("tx")))
+    return F.array_min(F.transform(F.filter(keys, lambda k: k["row"] == row), lambda k: F.struct(far(k).alias("far"), k["idx"].alias("idx"), k["base"].alias("base"), k["letter"].alias("letter"))))
+
+
+def hit(touches: DataFrame, keys: DataFrame) -> DataFrame:
+    """(.., base): the key at the touch (tx, ty), inside the keyboard or off it. Touches without a place go. keys: one layout."""
+    array, row = _literal(keys)
+    return touches.filter("tx IS NOT NULL AND ty IS NOT NULL").withColumn("base", _pressed(array, row)["base"])
+
+
+def likelihoods(touches: DataFrame, keys: DataFrame) -> DataFrame:
+    """(.., base, p, place): shares of a Gaussian around the touch in key widths and heights, among keys that can be confused with the pressed one (letters with letters); the pressed key first, then by share, ties by character. Where the pressed key has no share it is certain."""
+    array, row = _literal(keys)
+    asked = touches.filter("tx IS NOT NULL AND ty IS NOT NULL").withColumn("__hit", _pressed(array, row)).withColumn("__keys", F.filter(array, lambda k: k["letter"] == F.col("__hit.letter")))
+    dx = lambda k: (F.col("tx") - (k["x"] + k["w"] / 2)) / k["w"]
+    dy = lambda k: (F.col("ty") - (k["y"] + k["h"] / 2)) / k["h"]
+    weight = lambda k: F.exp(-(dx(k) * dx(k) + dy(k) * dy(k)) / (2 * SPREAD * SPREAD))
+    asked = asked.withColumn("__keys", F.transform("__keys", lambda k: F.struct((-weight(k)).alias("less"), k["base"].alias("base"))))
+    asked = asked.withColumn("__total", F.aggregate("__keys", F.lit(0.0), lambda t, k: t - k["less"]))
+    share = lambda k: -k["less"] / F.col("__total")
+    named = lambda k, p: F.struct(k["base"].alias("base"), p.alias("p"))
+    own = F.filter("__keys", lambda k: k["base"] == F.col("__hit.base"))[0]
+    others = F.filter("__keys", lambda k: (k["base"] != F.col("__hit.base")) & (share(k) >= LEAST_SHARE))
+    shown = F.concat(F.array(named(own, share(own))), F.transform(F.slice(F.array_sort(others), 1, MOST_KEYS - 1), lambda k: named(k, share(k))))
+    certain = F.array(named(F.col("__hit"), F.lit(1.0)))
+    rows = asked.select(*touches.columns, F.posexplode(F.when(-own["less"] > 0, shown).otherwise(certain)).alias("at", "key"))
+    return rows.select(*touches.columns, "key.base", "key.p", (F.col("at") + 1).alias("place"))
 
 
 def neighbours(keys: DataFrame) -> DataFrame:

@@ -405,9 +405,10 @@ def cursor_drag(spark, sf_dir):
 _KEYS = "k0(layout, \"row\", idx, base, width) AS (VALUES " + ", ".join(f"('{n}', {r}, {i}, '{c}', 0.1::DOUBLE)" for n, own in layouts.ROWS.items() for r, keys in enumerate(own) for i, c in enumerate(keys)) + """),
 keys AS (SELECT layout, "row", idx, base, (1 - sum(width) OVER (PARTITION BY layout, "row")) / 2 + coalesce(sum(width) OVER (PARTITION BY layout, "row" ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS x,
   "row"::DOUBLE / (max("row") OVER (PARTITION BY layout) + 1) AS y, width AS w, 1.0::DOUBLE / (max("row") OVER (PARTITION BY layout) + 1) AS h FROM k0)"""
-_TOUCH = "t AS (SELECT event_id AS touch_id, (event_id * 7919 % 1000) / 1000.0::DOUBLE AS tx, (event_id * 104729 % 997) / 997.0::DOUBLE AS ty FROM events)"
-_HIT = """hits AS (SELECT touch_id, tx, ty, base, row_number() OVER (PARTITION BY touch_id ORDER BY CASE WHEN tx >= x AND tx < x + w THEN 0 ELSE 1 END, greatest(x - tx, tx - (x + w), 0.0), idx) AS n
-  FROM t JOIN keys ON layout = 'qwerty' AND ty >= y AND ty < y + h)"""
+_TOUCH = "t AS (SELECT event_id AS touch_id, (event_id * 7919 % 1200) / 1000.0::DOUBLE - 0.1 AS tx, (event_id * 104729 % 1297) / 997.0::DOUBLE - 0.15 AS ty FROM events)"
+# Off the keyboard the nearest row counts, and in a row the key with the nearest centre.
+_HIT = """hits AS (SELECT touch_id, tx, ty, base, row_number() OVER (PARTITION BY touch_id ORDER BY CASE WHEN tx >= x AND tx < x + w THEN -1 ELSE abs(x + w / 2 - tx) END, idx) AS n
+  FROM t JOIN keys ON layout = 'qwerty' AND "row" = (SELECT coalesce(max(CASE WHEN y <= ty THEN "row" END), 0) FROM (SELECT DISTINCT "row", y FROM keys WHERE layout = 'qwerty')))"""
 
 
 def _keys(spark: SparkSession) -> DataFrame:
@@ -416,7 +417,7 @@ def _keys(spark: SparkSession) -> DataFrame:
 
 def _touches(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
-    return table(spark, sf_dir, "events").select(e.alias("touch_id"), (e * 7919 % 1000 / 1000.0).alias("tx"), (e * 104729 % 997 / 997.0).alias("ty"))
+    return table(spark, sf_dir, "events").select(e.alias("touch_id"), (e * 7919 % 1200 / 1000.0 - 0.1).alias("tx"), (e * 104729 % 1297 / 997.0 - 0.15).alias("ty"))
 
 
 @query(f"WITH {_KEYS} SELECT layout, \"row\", idx, base, round(x, 6) AS x, round(y, 6) AS y, w, round(h, 6) AS h FROM keys")
@@ -430,9 +431,9 @@ def hit_test(spark, sf_dir):
 
 
 @query(f"""WITH {_KEYS}, {_TOUCH}, {_HIT}, g AS (SELECT t.touch_id, k."row", k.idx, k.base, k.base = hits.base AS pressed, exp(-(pow((t.tx - (x + w / 2)) / w, 2) + pow((t.ty - (y + h / 2)) / h, 2)) / 0.5) AS g
-  FROM t JOIN hits ON hits.touch_id = t.touch_id AND n = 1 CROSS JOIN keys k WHERE k.layout = 'qwerty'),
+  FROM t JOIN hits ON hits.touch_id = t.touch_id AND n = 1 CROSS JOIN keys k WHERE k.layout = 'qwerty' AND regexp_matches(k.base, '^\\p{{L}}') = regexp_matches(hits.base, '^\\p{{L}}')),
 p AS (SELECT *, g / sum(g) OVER (PARTITION BY touch_id) AS p FROM g),
-o AS (SELECT *, row_number() OVER (PARTITION BY touch_id ORDER BY pressed DESC, p DESC, "row", idx) AS place FROM p WHERE pressed OR p >= 0.02)
+o AS (SELECT *, row_number() OVER (PARTITION BY touch_id ORDER BY pressed DESC, p DESC, base) AS place FROM p WHERE pressed OR p >= 0.02)
 SELECT touch_id, base, round(p, 4) AS p, CAST(place AS INT) AS place FROM o WHERE place <= 4""")
 def touch_signal(spark, sf_dir):
     return touch.likelihoods(_touches(spark, sf_dir), _keys(spark).filter("layout = 'qwerty'")).select("touch_id", "base", F.round("p", 4).alias("p"), "place")
