@@ -111,7 +111,8 @@ def _cheapest(reading: str, edges: pd.DataFrame, connect: np.ndarray | None, sha
 
 
 def convert(sentences: DataFrame, entries: DataFrame, matrix: DataFrame | None = None, shape: tuple[int, int] = (0, 0), id_column: str = "sentence_id") -> DataFrame:
-    """(id, segment, reading, surface) of sentences(id, reading). matrix: connection costs, of `shape` rows and columns, which bound it. Spans are as long as the longest reading of the entries."""
+    """(id, segment, reading, surface) of sentences(id, reading), each different sentence of an id once. matrix: connection costs, of `shape` rows and columns, which bound it. Spans are as long as some reading of the entries."""
+    sentences = sentences.select(id_column, "reading").distinct()
     connect = None
     if matrix is not None:
         # One cell a pair of classes: shape bounds it, and it travels once to an executor.
@@ -120,9 +121,10 @@ def convert(sentences: DataFrame, entries: DataFrame, matrix: DataFrame | None =
         grid[cells["row"].to_numpy(), cells["col"].to_numpy()] = cells["cost"].to_numpy()
         connect = sentences.sparkSession.sparkContext.broadcast(grid)
     n = F.char_length("reading")
-    bound = entries.agg(F.greatest(F.max(n), F.lit(1)).alias("longest_reading"))
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.col("longest_reading"), F.greatest(n - i + 1, F.lit(1)))), lambda k: F.struct((i - 1).alias("start"), k.alias("length")))))
-    cut = sentences.select(id_column, "reading").crossJoin(F.broadcast(bound)).select(id_column, F.col("reading").alias("sentence"), F.explode(spans).alias("s"), "reading").select(id_column, "sentence", "s.start", "s.length", F.expr("substring(reading, s.start + 1, s.length)").alias("reading"))
+    # As many lengths as the longest reading has characters.
+    lengths = entries.filter(n > 0).agg(F.sort_array(F.collect_set(n)).alias("lengths"))
+    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.transform(F.filter("lengths", lambda k: k <= n - i + 1), lambda k: F.struct((i - 1).alias("start"), k.alias("length")))))
+    cut = sentences.crossJoin(F.broadcast(lengths)).select(id_column, F.col("reading").alias("sentence"), F.explode(spans).alias("s"), "reading").select(id_column, "sentence", "s.start", "s.length", F.expr("substring(reading, s.start + 1, s.length)").alias("reading"))
     met = cut.join(deduplicate(entries), "reading").drop("reading")
     lone = sentences.filter(n > 0).select(id_column, F.col("reading").alias("sentence"))
     blank = lone.select(id_column, "sentence", *[F.lit(None).cast(t).alias(c) for c, t in (("start", "int"), ("length", "int"), ("left_id", "int"), ("right_id", "int"), ("cost", "int"), ("surface", "string"), ("dependent", "boolean"))])
@@ -134,7 +136,7 @@ def convert(sentences: DataFrame, entries: DataFrame, matrix: DataFrame | None =
         return pd.DataFrame({id_column: group[id_column].iloc[0], "segment": range(1, len(found) + 1), "reading": [a for a, _ in found], "surface": [b for _, b in found]})
 
     kind = dict(sentences.dtypes)[id_column]
-    return rows.groupBy(id_column).applyInPandas(solve, f"`{id_column}` {kind}, segment int, reading string, surface string")
+    return rows.groupBy(id_column, "sentence").applyInPandas(solve, f"`{id_column}` {kind}, segment int, reading string, surface string")
 
 
 def _placed(rows: DataFrame, text: str) -> DataFrame:

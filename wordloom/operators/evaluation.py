@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import quantiles
+
 
 def corrections(ranked: DataFrame) -> DataFrame:
     """One row over cases(case_id, intended, place or NULL, corrected): top1, top3, mrr, autocorrect."""
@@ -26,9 +28,15 @@ def keystroke_savings(shown: DataFrame, words: DataFrame) -> DataFrame:
     return used.agg(F.count(F.lit(1)).alias("words"), F.avg(1 - F.col("used") / (n + 1)).alias("savings"))
 
 
+def latencies(samples: DataFrame, group: str, column: str) -> DataFrame:
+    """(group, p50, p99, longest), exact, however many rows a group or a value has; null samples take no part. Null groups are left out."""
+    longest = samples.filter(F.col(group).isNotNull()).groupBy(group).agg(F.max(column).alias("longest"))
+    return longest.join(quantiles(samples, group, column, {"p50": 0.5, "p99": 0.99}), group, "left").select(group, "p50", "p99", "longest")
+
+
 def latency(samples: DataFrame, column: str) -> DataFrame:
     """Exact p50, p99 and maximum."""
-    return samples.agg(F.percentile(column, 0.5).alias("p50"), F.percentile(column, 0.99).alias("p99"), F.max(column).alias("longest"))
+    return latencies(samples.select(F.lit(0).alias("__all"), column), "__all", column).drop("__all")
 
 
 def conversions(results: DataFrame) -> DataFrame:

@@ -576,7 +576,7 @@ def keystroke_savings(spark, sf_dir):
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.99), 6) AS p99, round(max(value), 6) AS longest FROM events GROUP BY 1")
 def latency_percentiles(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return e.groupBy("event_type").agg(*[F.round(c, 6).alias(n) for n, c in (("p50", F.percentile("value", 0.5)), ("p99", F.percentile("value", 0.99)), ("longest", F.max("value")))])
+    return evaluation.latencies(e, "event_type", "value").select("event_type", *[F.round(c, 6).alias(c) for c in ("p50", "p99", "longest")])
 
 
 @query()
