@@ -9,8 +9,8 @@ unlabelled rows' loss as negative less prior x positives' loss as negative, that
 falls below, the step goes against it. The score is the model's probability of the positive class.
 
 Models are fitted on bounded samples, `fit_rows` positives and as many unlabelled rows, by a hash of the id. Null and
-empty texts have features of 0 and a score like others; null ids take no part in learning. Without positives the score
-is 0.5. Texts are taken whole, however long. Repeated rows and empty tables give as many rows; other columns are not read.
+empty texts have features of 0 and a score like others; null ids take no part in learning. With fewer than four
+positives or four drawn unlabelled rows there is nothing to hold out for the prior, and every score is 0.5. Texts are taken whole, however long. Repeated rows and empty tables give as many rows; other columns are not read.
 """
 
 from __future__ import annotations
