@@ -1,12 +1,12 @@
-"""Runs of taps: the stream with its timers against the batch form, under late and split micro-batches."""
+"""Streams with timers and map states: runs of taps against the batch form, changes of stores against the stores."""
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from wordloom.operators import personal
-from wordloom.streaming import learning, taps
+from wordloom.operators import personal, stores
+from wordloom.streaming import changes, learning, taps
 
 SCHEMA = "user_id bigint, key string, ms bigint, seq bigint"
 
@@ -29,3 +29,43 @@ def test_streamed_runs_are_those_of_the_batch(spark, tmp_path):
     numbered = personal.multitap_sessions(spark.createDataFrame(presses, SCHEMA), order="seq")
     want = numbered.groupBy("user_id", "run", "key").agg(F.count("*").alias("taps"), F.min("ms"), F.max("ms"))
     assert got == sorted(map(tuple, want.collect())) and {x[3] for x in got} >= {1, 2}
+
+
+def test_changes_of_stores_add_up_to_the_stores(spark, tmp_path):
+    """Evicting stores over three micro-batches; rows come in proportion to events."""
+    events = [(u, k, f"w{(k * k * 7 + u) % (30 if u == 1 else 23)}" if k % 11 else "kept", "forget" if k % 13 == 5 else "record") for u in (1, 2) for k in range(240)]
+    events += [(3, 0, "one", "record"), (3, 1, "one", "forget"), (3, 2, "never", "forget"), (3, 3, None, "record"), (3, 4, "", "record"), (None, 5, "x", "record")]
+    want, batches = set(), [[e for e in events if e[1] < 100], [e for e in events if 100 <= e[1] < 103], [e for e in events if e[1] >= 103]]
+    for rows in batches:
+        spark.createDataFrame(rows, "user_id bigint, seq bigint, word string, change string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("user_id bigint, seq bigint, word string, change string").parquet(str(tmp_path / "in"))
+        learning.run_available(changes.learned_changes(stream, size=9), str(tmp_path / "out"), str(tmp_path / "state"), "update")
+    for user in (1, 2, 3):
+        store = stores.Words(size=9)
+        for _, _, word, change in sorted((e for e in events if e[0] == user and e[2]), key=lambda e: e[1]):
+            (store.forget if change == "forget" else store.record)(word)
+        want |= {(user, w, c, last, store.clock) for w, (c, last) in store.words.items()}
+    out = spark.read.parquet(str(tmp_path / "out"))
+    got = changes.current(out).collect()
+    assert {tuple(r)[:5] for r in got} == want and len([r for r in got if r["user_id"] == 1]) == 9
+    assert all(r["weight"] == learning.weight(r["count"], r["clock"] - r["last_used"]) for r in got)
+    by_batch = [r["n"] for r in out.groupBy("batch").agg(F.count("*").alias("n")).orderBy("batch").collect()]
+    assert by_batch[1] <= 2 * 3 * 2  # three events a user: each may change its word and one that goes
+
+
+def test_the_heap_gives_the_least_after_any_changes():
+    draw = np.random.default_rng(12)
+    ranked, plain = stores.Ranked(), {}
+    for step in range(4000):
+        name, kind = int(draw.integers(60)), draw.integers(5)
+        if kind < 3:
+            plain[name] = (int(draw.integers(6)), step)
+            ranked.set(name, plain[name])
+        elif kind == 3 and name in plain:
+            del plain[name]
+            ranked.drop(name)
+        elif plain:
+            least = min(plain, key=plain.get)
+            assert ranked.drop_least() == least
+            del plain[least]
+        assert len(ranked) == len(plain) == len(ranked.slots) == len(ranked.places) and ranked.rank(name) == plain.get(name)

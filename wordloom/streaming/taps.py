@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 #: A run ends after so many milliseconds without another tap.
 WITHIN = 700
 RUNS = "user_id bigint, run bigint, key string, taps bigint, first_ms bigint, last_ms bigint"
-_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class _Runs(StatefulProcessor):
@@ -66,6 +66,6 @@ def tap_runs(presses: DataFrame, late: str = "10 seconds", within: int = WITHIN)
 
     Presses later than the watermark are dropped; null users, keys and times are no presses. Repeated (ms, seq) of a user
     are one press. State is kept in RocksDB, which this sets for the session."""
-    presses.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
+    presses.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     slim = presses.filter("user_id IS NOT NULL AND key IS NOT NULL AND ms IS NOT NULL").select(F.col("user_id").cast("bigint").alias("user_id"), "key", F.col("ms").cast("bigint").alias("ms"), F.col("seq").cast("bigint").alias("seq"), F.timestamp_millis("ms").alias("ts"))
     return slim.withWatermark("ts", late).groupBy("user_id").transformWithState(_Runs(within), RUNS, "append", "EventTime")
