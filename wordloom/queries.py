@@ -13,7 +13,7 @@ from .functions import encoding, hangul, kana, layouts, scores, tokens, typing
 from .operators import annotations, conversion, counting, evaluation, lexicon, licences, personal, search, suggest, touch
 from .session import checkpoint_folder, staged
 from .sources import build, markup, tables, words
-from .streaming import learning
+from .streaming import changes, learning, taps
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -801,6 +801,22 @@ def stream_learning(spark, sf_dir):
     return rows.join(latest, ["user_id", "batch"], "left_semi").select("user_id", "word", "count", "last_used", "clock", "weight", "learned")
 
 
+@query(f"WITH {_USES} SELECT user_id, word, cnt AS count, CAST(last_used AS INT) AS last_used, CAST(clock AS INT) AS clock, cnt * 6553 + CASE WHEN clock - last_used < 10 THEN 16383 ELSE 0 END AS weight, cnt >= 2 AS learned FROM uw")
+def stream_changes(spark, sf_dir):
+    return changes.current(_streamed(spark, changes.learned_changes(_event_stream(spark, sf_dir)), "update"))
+
+
+@query("""WITH p AS (SELECT user_id, event_id AS seq, event_type AS key, epoch_us(ts) // 1000 AS ms FROM events),
+s AS (SELECT *, CASE WHEN lag(key) OVER w = key AND ms - lag(ms) OVER w <= 3600000 THEN 0 ELSE 1 END AS st FROM p WINDOW w AS (PARTITION BY user_id ORDER BY ms, seq)),
+r AS (SELECT *, CAST(sum(st) OVER (PARTITION BY user_id ORDER BY ms, seq) AS BIGINT) AS run FROM s),
+g AS (SELECT user_id, run, key, count(*) AS taps, min(ms) AS first_ms, max(ms) AS last_ms FROM r GROUP BY ALL)
+SELECT * FROM g WHERE run < (SELECT max(run) FROM g o WHERE o.user_id = g.user_id) OR last_ms + 3600000 < (SELECT max(ms) FROM p)""")
+def stream_tap_runs(spark, sf_dir):
+    """The runs that have ended by the last event's time."""
+    presses = _event_stream(spark, sf_dir).select("user_id", F.col("word").alias("key"), F.unix_millis("ts").alias("ms"), "seq")
+    return _streamed(spark, taps.tap_runs(presses, "0 seconds", within=3_600_000), "append").drop("batch", "part")
+
+
 @query("SELECT epoch_us(time_bucket(INTERVAL '1 hour', ts)) // 1000000 AS start, event_type AS word, count(*) AS events FROM events GROUP BY ALL")
 def stream_windowed_counts(spark, sf_dir):
     rows = _streamed(spark, learning.windowed_counts(_event_stream(spark, sf_dir)), "update")

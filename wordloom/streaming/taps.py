@@ -33,7 +33,8 @@ class _Runs(StatefulProcessor):
         for row in rows:
             if row["ms"] > passed and row["key"] is not None:
                 self.waiting.updateValue((row["ms"], row["seq"]), (row["key"],))
-                # When the watermark is here, nothing earlier can come, and no tap within reach is outstanding.
+                # When the watermark has passed a press, nothing earlier can come; a while later no tap within reach is outstanding.
+                self.handle.registerTimer(row["ms"] + 1)
                 self.handle.registerTimer(row["ms"] + self.within + 1)
         return iter(())
 
