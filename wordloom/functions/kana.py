@@ -55,11 +55,18 @@ def romaji_table() -> dict[str, str]:
     rows = {"": "あいうえお", "k": "かきくけこ", "g": "がぎぐげご", "s": "さしすせそ", "z": "ざじずぜぞ", "t": "たちつてと", "d": "だぢづでど", "n": "なにぬねの", "h": "はひふへほ", "b": "ばびぶべぼ", "p": "ぱぴぷぺぽ", "m": "まみむめも", "r": "らりるれろ", "x": "ぁぃぅぇぉ", "l": "ぁぃぅぇぉ"}
     glides = {"ky": "き", "gy": "ぎ", "sy": "し", "jy": "じ", "zy": "じ", "cy": "ち", "ty": "ち", "dy": "ぢ", "ny": "に", "hy": "ひ", "by": "び", "py": "ぴ", "my": "み", "ry": "り", "th": "て", "dh": "で"}
     small_vowels = {"tw": "と", "dw": "ど", "ts": "つ", "q": "く", "f": "ふ", "v": "ゔ", "wh": "う"}
-    own = "shi し sha しゃ shu しゅ she しぇ sho しょ ji じ ja じゃ ju じゅ je じぇ jo じょ chi ち cha ちゃ chu ちゅ che ちぇ cho ちょ ca か ci し cu く ce せ co こ kwa くぁ gwa ぐぁ swa すぁ tsu つ fu ふ qu く vu ゔ whu う fya ふゃ fyu ふゅ fyo ふょ vya ゔゃ vyu ゔゅ vyo ゔょ yi い ye いぇ wu う ya や yu ゆ yo よ wa わ wi うぃ we うぇ wo を nn ん n' ん xn ん xtu っ xtsu っ ltu っ ltsu っ xwa ゎ lwa ゎ xya ゃ xyu ゅ xyo ょ lya ゃ lyu ゅ lyo ょ - ー . 。 , 、 / ・ [ 「 ] 」".split()
+    own = {
+        "shi": "し", "sha": "しゃ", "shu": "しゅ", "she": "しぇ", "sho": "しょ", "ji": "じ", "ja": "じゃ", "ju": "じゅ", "je": "じぇ", "jo": "じょ", "chi": "ち",
+        "cha": "ちゃ", "chu": "ちゅ", "che": "ちぇ", "cho": "ちょ", "ca": "か", "ci": "し", "cu": "く", "ce": "せ", "co": "こ", "kwa": "くぁ", "gwa": "ぐぁ",
+        "swa": "すぁ", "tsu": "つ", "fu": "ふ", "qu": "く", "vu": "ゔ", "whu": "う", "fya": "ふゃ", "fyu": "ふゅ", "fyo": "ふょ", "vya": "ゔゃ", "vyu": "ゔゅ",
+        "vyo": "ゔょ", "yi": "い", "ye": "いぇ", "wu": "う", "ya": "や", "yu": "ゆ", "yo": "よ", "wa": "わ", "wi": "うぃ", "we": "うぇ", "wo": "を", "nn": "ん",
+        "n'": "ん", "xn": "ん", "xtu": "っ", "xtsu": "っ", "ltu": "っ", "ltsu": "っ", "xwa": "ゎ", "lwa": "ゎ", "xya": "ゃ", "xyu": "ゅ", "xyo": "ょ",
+        "lya": "ゃ", "lyu": "ゅ", "lyo": "ょ", "-": "ー", ".": "。", ",": "、", "/": "・", "[": "「", "]": "」",
+    }
     table = {c + v: k for c, row in rows.items() for v, k in zip(vowels, row)}
     table |= {c + v: k + s for c, k in glides.items() for v, s in zip(vowels, "ゃぃゅぇょ")}
     table |= {c + v: k + s for c, k in small_vowels.items() for v, s in zip(vowels, "ぁぃぅぇぉ")}
-    return table | dict(zip(own[::2], own[1::2]))
+    return table | own
 
 
 @lru_cache(1)

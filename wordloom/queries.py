@@ -550,16 +550,28 @@ def lattice_conversion(spark, sf_dir):
 
 # --- Measures: words typed with two letters swapped
 
-@query()
+_AUTO = f"""auto AS (SELECT query, key AS correction FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY CAST(freq AS BIGINT) - cost * {scores.EDIT_PENALTY} // 100 DESC, key DESC) AS place, CAST(freq AS BIGINT) - cost * {scores.EDIT_PENALTY} // 100 AS score
+  FROM fixes WHERE query NOT IN (SELECT word FROM lex)) WHERE place = 1 AND score > {scores.AUTOCORRECT_MARGIN})"""
+_CASES = f"""cases AS (SELECT word AS intended, substr(word, 1, 1) || substr(word, 3, 1) || substr(word, 2, 1) || substr(word, 4) AS query FROM lex WHERE length(word) >= 3 AND substr(word, 2, 1) <> substr(word, 3, 1)),
+{_OSA.replace("length(word)", "length(query)").replace("DISTINCT word AS query", "DISTINCT query").replace("FROM observed", "FROM cases")}, {_AUTO},
+done AS (SELECT query, key, freq, 0 AS cost FROM (SELECT query, word AS key, freq, row_number() OVER (PARTITION BY query ORDER BY freq DESC, word) AS n FROM typed JOIN lex ON starts_with(word, query)) WHERE n <= {search.POOL}),
+every AS (SELECT query, key, freq, min(cost) AS cost FROM (SELECT * FROM done UNION ALL SELECT * FROM fixes) GROUP BY ALL),
+shown AS (SELECT query, key, row_number() OVER (PARTITION BY query ORDER BY CAST(freq AS BIGINT) - cost * {scores.EDIT_PENALTY} // 100 DESC, key) AS place FROM every)"""
+
+
+@query(f"""WITH RECURSIVE {LEX}, {_CASES} SELECT count(*) AS cases, round(avg(CASE WHEN place = 1 THEN 1.0 ELSE 0 END), 6) AS top1, round(avg(CASE WHEN place <= 3 THEN 1.0 ELSE 0 END), 6) AS top3,
+round(avg(coalesce(1.0::DOUBLE / place, 0)), 6) AS mrr, round(avg(CASE WHEN correction = intended THEN 1.0 ELSE 0 END), 6) AS autocorrect
+FROM cases LEFT JOIN (SELECT * FROM shown WHERE place <= {search.POOL}) s ON s.query = cases.query AND s.key = intended LEFT JOIN auto ON auto.query = cases.query""")
 def mrr_report(spark, sf_dir):
     _, keys = _typed(s := lexicon_of(spark, sf_dir))
     w = F.col("word")
     part = lambda i: F.substring(w, F.lit(i), F.lit(1))
     cases = s["lexicon"].filter((F.char_length(w) >= 3) & (part(2) != part(3))).select(w.alias("intended"), F.concat(part(1), part(3), part(2), F.substring(w, F.lit(4), F.char_length(w))).alias("query"))
-    cases = cases.withColumn("query_id", F.concat_ws("/", "query", "intended"))
+    cases = staged(cases.withColumn("query_id", F.concat_ws("/", "query", "intended")), "cases")
     found = search.search(cases, keys).filter("key = intended").select("query_id", "place")
-    ranked = cases.join(found, "query_id", "left").withColumn("corrected", F.lit(False))
-    return evaluation.corrections(ranked).select("cases", *[F.round(c, 6).alias(c) for c in ("top1", "top3", "mrr")])
+    fixed = search.autocorrect(cases, keys).select("query_id", "correction")
+    ranked = cases.join(found, "query_id", "left").join(fixed, "query_id", "left").withColumn("corrected", F.col("correction") == F.col("intended"))
+    return evaluation.corrections(ranked).select("cases", *[F.round(c, 6).alias(c) for c in ("top1", "top3", "mrr", "autocorrect")])
 
 
 @query(f"""WITH {LEX}, pre AS (SELECT word, freq, k, substr(word, 1, k) AS prefix FROM (SELECT word, freq, unnest(range(1, length(word) + 1)) AS k FROM lex)),
@@ -950,11 +962,13 @@ def lexicon_without_inventory(spark, sf_dir):
 
 # --- Measures, catalogues, look-ups
 
-@query(f"SELECT count(*) AS words, avg(CASE WHEN lower(word) <> word THEN 1.0::DOUBLE ELSE 0.0 END) AS false_rate FROM (SELECT DISTINCT word FROM (SELECT unnest(words) AS word FROM ({_lines('source', 'documents', False)})) WHERE word <> '')")
+@query(f"WITH RECURSIVE {LEX}, {_OSA}, {_AUTO} SELECT count(*) AS words, avg(CASE WHEN correction IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0 END) AS false_rate FROM (SELECT query FROM typed) t LEFT JOIN auto USING (query)")
 def false_corrections(spark, sf_dir):
-    """Folding as a correction: the share of words that it changes."""
-    words_ = counting.tokenise(table(spark, sf_dir, "documents"), keys=()).select(F.explode("words").alias("word")).filter("word <> ''").distinct()
-    return evaluation.false_corrections(words_.withColumn("committed", typing.fold(F.col("word"))))
+    """The share of words as their writers meant them, known or not, that autocorrect would change."""
+    typed, keys = _typed(lexicon_of(spark, sf_dir))
+    typed = staged(typed, "typed")
+    fixed = search.autocorrect(typed, keys, id_column="query").select("query", "correction")
+    return evaluation.false_corrections(typed.join(fixed, "query", "left").select(F.col("query").alias("word"), F.coalesce("correction", "query").alias("committed")))
 
 
 @query("WITH f AS (SELECT p_type AS text, min(p_name || '/' || p_partkey) AS first FROM part GROUP BY p_type), t AS (SELECT text, CAST(row_number() OVER (ORDER BY first) - 1 AS INT) AS idx FROM f) SELECT p_name || '/' || p_partkey AS package, idx FROM part JOIN t ON text = p_type")
