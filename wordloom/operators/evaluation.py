@@ -40,10 +40,20 @@ def latency(samples: DataFrame, column: str) -> DataFrame:
 
 
 def conversions(results: DataFrame) -> DataFrame:
-    """One row over results(expected, got): whole sentences right, and characters by longest common subsequence."""
+    """One row over results(expected, got): whole sentences right, and the mean share of a case's characters in its longest common subsequence. A null `got` counts as empty."""
     from ..functions.typing import lcs_length
 
-    return results.agg(F.avg(F.when(F.col("expected") == F.col("got"), 1.0).otherwise(0.0)).alias("sentences"), (F.sum(lcs_length(F.col("got"), F.col("expected"))) / F.sum(F.char_length("expected"))).alias("characters"))
+    got = F.coalesce("got", F.lit(""))
+    share = lcs_length(got, F.col("expected")) / F.greatest(F.char_length("expected"), F.lit(1))
+    return results.agg(F.avg(F.when(F.col("expected") == got, 1.0).otherwise(0.0)).alias("sentences"), F.avg(share).alias("characters"))
+
+
+def reachable(cases: DataFrame, segments: DataFrame, offered: DataFrame) -> DataFrame:
+    """One row over cases(sentence_id, expected): the mean share of a case's segments(sentence_id, segment, reading) with a spelling of offered(reading, surface) that stands in `expected`; 0 for a case without segments. Ids are distinct."""
+    asked = segments.select("sentence_id", "segment", "reading").join(cases.select("sentence_id", "expected"), "sentence_id")
+    met = asked.join(offered.select("reading", "surface"), "reading", "left").groupBy("sentence_id", "segment").agg(F.coalesce(F.max(F.contains("expected", "surface")), F.lit(False)).alias("found"))
+    shares = met.groupBy("sentence_id").agg(F.avg(F.col("found").cast("int")).alias("share"))
+    return cases.join(shares, "sentence_id", "left").agg(F.coalesce(F.avg(F.coalesce("share", F.lit(0.0))), F.lit(0.0)).alias("reachable"))
 
 
 def synthesise(words: DataFrame, neighbours: DataFrame, per_word: int = 5, seed: int = 42, tries: int = 8) -> DataFrame:

@@ -541,11 +541,39 @@ def connection_costs(spark, sf_dir):
     return conversion.connection_cost(pairs, cells, 40, 40)
 
 
+def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sentence_id"), F.replace("p_name", F.lit(" "), F.lit("")).alias("reading"))
+
+
+def _cells(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(r, c, (r * 31 + c * 17) % 900 - 300) for r in range(3) for c in range(4) if r + c], "row int, col int, cost int")
+
+
 @query()
 def lattice_conversion(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sentence_id"), F.replace("p_name", F.lit(" "), F.lit("")).alias("reading"))
-    cells = spark.createDataFrame([(r, c, (r * 31 + c * 17) % 900 - 300) for r in range(3) for c in range(4) if r + c], "row int, col int, cost int")
-    return conversion.convert(names, _dictionary(spark, sf_dir), cells, (3, 4))
+    return conversion.convert(_sentences(spark, sf_dir), _dictionary(spark, sf_dir), _cells(spark), (3, 4))
+
+
+@query(f"""WITH {_DICT}, s AS (SELECT p_partkey AS sentence_id, replace(p_name, ' ', '') AS reading FROM part),
+shapes AS (SELECT DISTINCT substr(reading, 1, 2) AS head, length(reading) AS n FROM dict),
+cut AS (SELECT sentence_id, reading, unnest(range(1, length(reading) + 1)) AS i FROM s)
+SELECT sentence_id, CAST(i - 1 AS INT) AS start, CAST(n AS INT) AS length, substr(reading, i, n) AS reading FROM cut JOIN shapes ON substr(reading, i, least(n, 2)) = head AND i + n - 1 <= length(reading)""")
+def lattice_spans(spark, sf_dir):
+    return conversion.spans_of(_sentences(spark, sf_dir), _dictionary(spark, sf_dir)).drop("key")
+
+
+@query()
+def conversion_measures(spark, sf_dir):
+    """Names without their spaces, converted; expected is the part's own brand for each word, whatever is cheaper."""
+    d = staged(conversion.deduplicate(_dictionary(spark, sf_dir)), "entries")
+    own = F.repeat(F.upper("p_brand"), F.size(F.split("p_name", " ")))
+    cases = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sentence_id"), own.alias("expected"))
+    segments = staged(conversion.convert(_sentences(spark, sf_dir), d, _cells(spark), (3, 4)), "segments")
+    got = segments.groupBy("sentence_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("segment", "surface"))), lambda x: x.surface), "").alias("got"))
+    measured = evaluation.conversions(cases.join(got, "sentence_id", "left"))
+    reached = evaluation.reachable(cases, segments, conversion.segment_candidates(segments, d))
+    one = lambda df, c: df.select(F.lit(c).alias("measure"), F.round(c, 6).alias("value"))
+    return one(measured, "sentences").unionByName(one(measured, "characters")).unionByName(one(reached, "reachable"))
 
 
 # --- Measures: words typed with two letters swapped
