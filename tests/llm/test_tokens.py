@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from llm_rows import LONG, TEXTS, rows_by
 
-from wordloom.llm import byte_bpe, token_files, unigram_count
+from wordloom.llm import byte_bpe, span_hash, token_files, unigram_count
 from wordloom.llm.queries import tokenizer_path
 
 WORDS, RANKS, PIECES = "word_bpe_49k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
@@ -173,6 +173,57 @@ def test_token_files_with_few_places_for_words(small_rows, words, monkeypatch):
         assert table.encode([text or ""])[0].tolist() == words(text)
 
 
+def _long_texts(n: int, letters: int) -> list[str]:
+    draw = np.random.default_rng(4)
+    return [" ".join("".join(w) for w in draw.choice(list("abcdefghijklmnop"), size=(5, letters))) for _ in range(n)]
+
+
+def test_long_words_keep_the_word_table_small(words, monkeypatch):
+    """Distinct words of 4,000 letters: keys and ids stay within their bytes, and the ids are right."""
+    monkeypatch.setattr(token_files, "HELD_IDS", 60_000)
+    table = token_files.WordCodes(tokenizer_path(WORDS), 1)
+    table.places.most_long = 100_000
+    for text in _long_texts(30, 4_000):
+        ids = table.encode([text, "some words of a text"])[0]
+        assert ids.tolist() == words(text) + words("some words of a text")
+        assert table.places.long_bytes == sum(map(len, table.places.long)) + span_hash.LONG_ENTRY * len(table.places.long) <= 100_000
+        assert len(table.flat) <= 60_000 + len(ids)
+
+
+def test_long_pieces_keep_the_piece_table_small(bytes_of, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "HELD_IDS", 10_000)
+    own = byte_bpe.Codec(tokenizer_path(RANKS))
+    own.places.most_long = 20_000
+    for text in _long_texts(20, 800):
+        ids = own.encode([text])[0]
+        assert ids.tolist() == bytes_of(text)
+        assert own.places.long_bytes <= 20_000 and len(own.flat) <= 10_000 + len(ids)
+
+
+def test_short_words_that_fill_the_table_begin_it_anew(words, bytes_of, monkeypatch):
+    monkeypatch.setattr(token_files, "HELD_IDS", 200)
+    monkeypatch.setattr(byte_bpe, "HELD_IDS", 200)
+    table, own = token_files.WordCodes(tokenizer_path(WORDS), 1), byte_bpe.Codec(tokenizer_path(RANKS))
+    for k in range(40):
+        text = " ".join(f"q{k}x{j}" for j in range(20))
+        assert table.encode([text])[0].tolist() == words(text) and own.encode([text])[0].tolist() == bytes_of(text)
+        assert len(table.flat) < 600 and len(own.flat) < 600
+
+
+def test_texts_without_spaces_keep_few_chunks(monkeypatch):
+    monkeypatch.setattr(unigram_count, "CACHED_BYTES", 50_000)
+    counter = unigram_count.Counter(tokenizer_path(PIECES))
+    draw = np.random.default_rng(2)
+    for n in [3_000] * 20 + [40_000, 10, 3_000]:
+        text = "".join(map(chr, draw.integers(0x4E00, 0x4E80, size=n))) + " ab" * 3
+        if n < 5_000:
+            assert next(counter.count([text])) == plain_count(counter, text)
+        else:
+            next(counter.count([text]))
+        size = sum(unigram_count.CHUNK_BYTES + unigram_count.CHARACTER_BYTES * len(x) for x in counter.known)
+        assert counter.held == size <= 50_000
+
+
 def test_token_counts_are_the_unigram_librarys(small_rows):
     """The same pieces and scores in the tokenizers library's own unigram model; a small vocabulary with ties as well."""
     from tokenizers import Tokenizer, models

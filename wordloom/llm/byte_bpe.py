@@ -178,9 +178,13 @@ class Codec:
         self.at = np.zeros(1, dtype=np.int64)
 
     def _forget(self) -> None:
-        """Drops the ids of pieces that have lost their place."""
+        """Drops long pieces and the ids of pieces that have lost their place; all of them where more than half would stay."""
+        self.places.forget_long()
         live = self.places.renumber()
         length = np.diff(self.at)[live]
+        if length.sum() > HELD_IDS // 2:
+            self.places.forget_all()
+            live, length = live[:0], length[:0]
         stop = np.cumsum(length)
         self.flat = self.flat[np.repeat(self.at[live] - stop + length, length) + np.arange(stop[-1] if len(stop) else 0)]
         self.at = np.concatenate([[0], stop])

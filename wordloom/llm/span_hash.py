@@ -42,14 +42,18 @@ def word_hashes(blob: bytes, starts: np.ndarray, stops: np.ndarray) -> np.ndarra
     return out
 
 
+#: Bytes that long slices may take as keys, and what each takes besides its own bytes.
+LONG_BYTES, LONG_ENTRY = 16 << 20, 150
+
+
 class Places:
-    """A table of slices' codes in a fixed number of places (a power of two): a new slice takes the place of another. Long ones have a dictionary, begun anew when it is full."""
+    """A table of slices' codes in a fixed number of places (a power of two): a new slice takes the place of another. Long ones have a dictionary, begun anew when it has more than `most_long` bytes."""
 
-    def __init__(self, places: int, most_long: int = 100_000):
+    def __init__(self, places: int, most_long: int = LONG_BYTES):
         self.low, self.high = np.zeros(places, dtype=np.uint64), np.zeros(places, dtype=np.uint64)
         self.length, self.code = np.zeros(places, dtype=np.uint8), np.full(places, -1, dtype=np.int32)
         self.long: dict[bytes, int] = {}
-        self.most_long = most_long
+        self.long_bytes, self.most_long = 0, most_long
 
     def find(self, blob: bytes, starts: np.ndarray, stops: np.ndarray, learn) -> np.ndarray:
         """Codes of the slices; learn(slices) gives those of slices that are not there."""
@@ -69,14 +73,22 @@ class Places:
         many = np.flatnonzero(length > SHORT)
         if len(many):
             slices = [blob[a:b] for a, b in zip(starts[many].tolist(), stops[many].tolist())]
-            if len(self.long) > self.most_long:
-                self.long = {}
             new = [x for x in dict.fromkeys(slices) if x not in self.long]
             if new:
                 self.long.update(zip(new, learn(new).tolist()))
+                self.long_bytes += sum(map(len, new)) + LONG_ENTRY * len(new)
             codes[many] = [self.long[x] for x in slices]
+            if self.long_bytes > self.most_long:
+                self.forget_long()
         return codes
 
+    def forget_long(self) -> None:
+        self.long, self.long_bytes = {}, 0
+
+    def forget_all(self) -> None:
+        self.code[:] = -1
+        self.forget_long()
+
     def renumber(self, keep_first: bool = False) -> np.ndarray:
         """Numbers the codes in use from 0 on (code 0 stays with keep_first); returns the old codes in their new order."""
         used, held = self.code >= 0, list(self.long)

@@ -68,9 +68,13 @@ class WordCodes:
         self.first, self.length = np.zeros(1, dtype=np.int32), np.ones(1, dtype=np.int32)
 
     def forget(self) -> None:
-        """Drops the ids of words that have lost their place."""
+        """Drops long words and the ids of words that have lost their place; all of them where more than half would stay."""
+        self.places.forget_long()
         live = self.places.renumber(keep_first=True)
         length = self.length[live]
+        if length.sum() > HELD_IDS // 2:
+            self.places.forget_all()
+            live, length = live[:1], length[:1]
         stop = np.cumsum(length)
         self.flat = self.flat[np.repeat(self.first[live] - stop + length, length) + np.arange(stop[-1])]
         self.first, self.length = (stop - length).astype(np.int32), length
@@ -109,7 +113,7 @@ class WordCodes:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has, its end included."""
-        if len(self.flat) > HELD_IDS:
+        if max(len(self.flat), len(self.first)) > HELD_IDS:
             self.forget()
         held = [k for k, t in enumerate(texts) if any(x in t.lower() for x in self.added)] if any(self.sign in t for t in texts) else []
         if held:

@@ -29,12 +29,14 @@ from .common import text_steps
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Chunks that a worker remembers; beyond that it starts anew.
-CACHED_CHUNKS = 400_000
+#: Bytes of chunks that a worker remembers between texts; beyond that it starts anew. What each chunk takes besides its characters, and what a character takes.
+CACHED_BYTES, CHUNK_BYTES, CHARACTER_BYTES = 96 << 20, 250, 4
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 class Counter:
+    held = 0  # bytes of the chunks in `known`
+
     def __init__(self, path: str):
         import ahocorasick
         import sentencepiece
@@ -76,10 +78,15 @@ class Counter:
         for text in texts:
             chunks = _CHUNK.findall(MARK + text.replace(" ", MARK)) if text else []
             new = set(chunks).difference(self.known)
-            if len(self.known) + len(new) > CACHED_CHUNKS:
-                self.known, new = {}, set(chunks)
+            more = CHUNK_BYTES * len(new) + CHARACTER_BYTES * sum(map(len, new))
+            if self.held + more > CACHED_BYTES:
+                self.known, self.held, new = {}, 0, set(chunks)
+                more = CHUNK_BYTES * len(new) + CHARACTER_BYTES * sum(map(len, new))
             self.known.update(zip(new, map(self.chunk, new)))
+            self.held += more
             got = list(map(self.known.__getitem__, chunks))
+            if self.held > CACHED_BYTES:  # one text's own chunks
+                self.known, self.held = {}, 0
             yield sum(n for n, _ in got), sum(s for _, s in got)
 
 
