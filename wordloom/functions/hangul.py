@@ -71,9 +71,46 @@ def _either(words) -> str:
     return "|".join(sorted(words, key=len, reverse=True))
 
 
-_PAIRED_VOWELS = _either([v for k, v in DOUBLE.items() if k in MEDIALS])
-_PAIRED_FINALS = _either([v for k, v in DOUBLE.items() if k in FINALS])
-_PIECE = f"[{INITIALS}](?:{_PAIRED_VOWELS}|{_VOWEL})(?:(?:{_PAIRED_FINALS}|[{FINALS}])(?!{_VOWEL}))?|{_PAIRED_VOWELS}|."
+#: Letters that tell their place (U+1100 first, U+1161 middle, U+11A8 last, each in the order above), and the same without.
+PLACED = "".join(chr(start + k) for start, letters in ((0x1100, INITIALS), (0x1161, MEDIALS), (0x11A8, FINALS)) for k in range(len(letters)))
+UNPLACED = INITIALS + MEDIALS + FINALS
+_PLACED_FIRST, _PLACED_VOWEL = f"{PLACED[0]}-{PLACED[18]}", f"{PLACED[19]}-{PLACED[39]}"
+
+
+def _last(letter: str) -> str:
+    """A final with its place."""
+    return PLACED[40 + FINALS.index(letter)]
+
+
+def _vowel(letter: str) -> str:
+    return PLACED[19 + MEDIALS.index(letter)]
+
+
+# A letter may come with its place or without. Only a vowel without one takes the final before it.
+_PAIRED_VOWELS = "|".join(f"[{v[0]}{_vowel(v[0])}][{v[1]}{_vowel(v[1])}]" for k, v in DOUBLE.items() if k in MEDIALS)
+_PAIRED_FINALS = "|".join(f"[{v[0]}{_last(v[0])}][{v[1]}{_last(v[1])}]" for k, v in DOUBLE.items() if k in FINALS)
+_ALONE = [x for x in FINALS if x in INITIALS]
+_COMPOUND = "".join(_last(x) for x in FINALS if x not in INITIALS)
+_LEAD = f"[{INITIALS}{_PLACED_FIRST}{''.join(map(_last, _ALONE))}]"
+_FINAL = f"(?:{_PAIRED_FINALS}|[{''.join(x + _last(x) for x in _ALONE)}])(?!{_VOWEL})|[{_COMPOUND}]"
+_PIECE = f"{_LEAD}(?:{_PAIRED_VOWELS}|[ㅏ-ㅣ{_PLACED_VOWEL}])(?:{_FINAL})?|{_PAIRED_VOWELS}|."
+
+
+def keycaps(letters: Column) -> Column:
+    """Letters without their places."""
+    return F.translate(letters, PLACED, UNPLACED)
+
+
+def conjoin(word: Column) -> Column:
+    """Syllables as letters with their places; other characters stay."""
+    part = lambda start, k: _character(F.lit(start) + k)
+
+    def letters(c: Column) -> Column:
+        n = F.ascii(c) - _FIRST
+        last = n % 28
+        return F.when(c.rlike(_SYLLABLE), F.concat(part(0x1100, F.floor(n / 588)), part(0x1161, F.floor(n / 28) % 21), F.when(last > 0, part(0x11A7, last)).otherwise(""))).otherwise(c)
+
+    return F.array_join(F.transform(F.split(word, ""), letters), "")
 
 
 def _character(code: Column) -> Column:
@@ -81,7 +118,7 @@ def _character(code: Column) -> Column:
 
 
 def compose(letters: Column) -> Column:
-    """Syllables of typed letters; letters that make none stand alone."""
+    """Syllables of typed letters, with their places or without; letters that make none stand alone."""
     joined = {v: k for k, v in DOUBLE.items()}
     vowels = _map([(v, i) for i, x in enumerate(MEDIALS) for v in {x, _units(x)}])
     finals = _map([(v, i + 1) for i, x in enumerate(FINALS) for v in {x, _units(x)}])
@@ -94,12 +131,12 @@ def compose(letters: Column) -> Column:
         code = _FIRST + (first * 21 + F.try_element_at(vowels, vowel)) * 28 + F.coalesce(F.try_element_at(finals, last), F.lit(0))
         return F.when(piece.rlike(f"^[ㄱ-ㅎ]{_VOWEL}"), _character(code)).otherwise(F.coalesce(F.try_element_at(lone, piece), piece))
 
-    return F.array_join(F.transform(F.regexp_extract_all(letters, F.lit(f"({_PIECE})"), F.lit(1)), syllable), "")
+    return F.array_join(F.transform(F.regexp_extract_all(letters, F.lit(f"({_PIECE})"), F.lit(1)), lambda piece: syllable(keycaps(piece))), "")
 
 
 def encode(word: Column) -> Column:
-    """A word's key on the two-set keyboard, one ASCII character a keystroke; NULL where it is no Hangul."""
-    return F.translate(decompose(word), KEYS, ASCII)
+    """A word's key on the two-set keyboard, one ASCII character a keystroke; NULL where it is no Hangul. Letters with their places have the keys of those without."""
+    return F.translate(decompose(keycaps(word)), KEYS, ASCII)
 
 
 def decode(key: Column) -> Column:
