@@ -216,6 +216,33 @@ def test_seating_follows_the_exact_distribution_of_tables():
         assert abs(seen[tables] / sum(seen.values()) - weights[tables] / sum(weights.values())) < 0.01
 
 
+@pytest.mark.parametrize("customers, discount, others, chance", [(400, 0.5, 20, 0.3), (2_000, 0.4, 60, 0.2), (3, 0.75, 50, 0.01)])
+def test_a_sweep_moves_all_customers_of_a_dish(customers, discount, others, chance):
+    """Mean tables after few sweeps, against those by generalised Stirling numbers."""
+    ways = np.full(customers + 2, -np.inf)
+    ways[1] = 0.0
+    for n in range(1, customers):
+        t = np.arange(1, n + 1)
+        joined = ways[1 : n + 1] + np.log(n - discount * t)
+        ways[2 : n + 2] = ways[1 : n + 1]
+        ways[1] = -np.inf
+        ways[1 : n + 1] = np.logaddexp(ways[1 : n + 1], joined)
+    t = np.arange(1, customers + 1)
+    weights = ways[1 : customers + 1] + np.cumsum(np.log((1.0 + discount * (others + t - 1)) * chance))
+    weights = np.exp(weights - weights.max())
+    want = (weights * t).sum() / weights.sum()
+    n = 500
+    seating = pitman_yor.Seating(np.full(n, customers), np.arange(n), np.full(n, others), np.full(n, chance), discount, 1.0, np.random.default_rng(1))
+    mean = seating.sample(pitman_yor.Settings())
+    assert (np.bincount(seating.dish, weights=seating.size, minlength=n) == customers).all() and seating.size.min() > 0
+    assert abs(mean.mean() - want) < 0.06 * want
+    # From one table as well: none of its customers stays because others went before it.
+    seating.tables, seating.all_tables, seating.dish, seating.size = np.ones(n, dtype=np.int64), np.full(n, others + 1), np.arange(n), np.full(n, customers)
+    for _ in range(40):
+        seating.step(np.arange(n))
+    assert abs(np.mean([(seating.step(np.arange(n)), seating.tables.mean())[1] for _ in range(20)]) - want) < 0.05 * want
+
+
 def test_probabilities_of_a_restaurant_sum_to_one(spark):
     rows = [(k, f"a{k % 3} b{k % 5} c a{k % 7} b{k % 2}") for k in range(80)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
