@@ -132,6 +132,37 @@ def test_components_are_those_of_all_pairs(spark, odd, small, small_rows, near):
         assert rows_by(ngram_join.linked_components(docs).collect()) == rows_by(plain_components(rows))
 
 
+def test_heads_of_linked_sets_share_enough():
+    """Sets that overlap just enough, drawn as ranks in the order of hashes."""
+    draw = np.random.default_rng(5)
+    for pct in (1, 37, 80, 100):
+        for _ in range(400):
+            n = int(draw.integers(1, 120))
+            lacking = int(draw.integers(0, n - ngram_join._least(n, pct) + 1))
+            shared = n - lacking
+            extra = int(draw.integers(0, shared * 100 // pct - n + 1))
+            ranks = draw.permutation(n + extra)
+            one, other = np.sort(ranks[:n]), np.sort(np.append(ranks[lacking:n], ranks[n:]))
+            assert 100 * shared >= pct * (n + extra)
+            heads = [set(x[: ngram_join.head_length(len(x), pct)].tolist()) for x in (one, other)]
+            assert len(heads[0]) == ngram_join.head_length(n, pct) <= n
+            assert len(heads[0] & heads[1]) >= max(ngram_join.head_shared(len(x), pct) for x in (one, other))
+
+
+def test_texts_without_partners_are_out_by_their_heads(spark):
+    """Texts that share a line of ten words: a third of their shingles is dealt, and none is read again."""
+    draw = np.random.default_rng(2)
+    line = " ".join(f"line{k}" for k in range(10))
+    alone = [(k, line + " " + " ".join(f"w{x}" for x in draw.integers(0, 1 << 40, 290))) for k in range(60)]
+    rows = [*alone, (100, alone[0][1]), (101, alone[1][1] + " more")]
+    docs = spark.createDataFrame(rows, "text_id bigint, text string").selectExpr("text", "text_id as id").repartition(3)
+    table = ngram_join._documents(docs, 5, 80, 4)
+    by_key = {r["key"]: r["doc_id"] for r in table.filter("kind = 0 and doc_id < 100 or doc_id = 101").collect()}
+    left = {by_key[r["key"]] for r in table.filter("kind = 1").collect()} - {100}
+    assert left - {0, 100} == {1, 101}
+    assert ngram_join.head_length(296, 80) == 59 + 24
+
+
 def test_other_thresholds(spark, near):
     docs = spark.createDataFrame(near, "doc_id bigint, text string")
     assert rows_by(ngram_join.linked_components(docs, pct=100).collect()) == rows_by(plain_components(near, 100))

@@ -4,11 +4,14 @@ A document's words are runs of bytes other than ASCII white space, with A-Z in l
 runs of `words` words, or the whole text where it has fewer. Documents with equal words are one class, and a class
 takes part once.
 
-1. Shingles are hashed to 64 bits and dealt by hash in packed arrays; each bin counts in how many classes a shingle
+1. Shingles are hashed to 64 bits. Of its hashes in ascending order a class deals out the head only: as many as a partner
+   may lack, and some more (head_length). Two classes that are linked share so many of their heads' hashes as `head_shared`
+   says; classes that share fewer with all others have no partner and are out, and their texts are not read again.
+2. The rest deal out all their shingles by hash in packed arrays; each bin counts in how many of these classes a shingle
    occurs. Those of one class only can be in no overlap, so only their number is kept. Shingles that are frequent (in
    LOCAL classes of the run that a task hands on at a time, or in FREQUENT of a bin) are not counted out: they come last
    in the rarest-first order, by hash. Their classes' entries mostly pass their bin by, and a bin holds few of them.
-2. The rest go back to their classes, which order them rarest first. A class whose rarest-first prefix (as many
+   The others go back to their classes, which order them rarest first. A class whose rarest-first prefix (as many
    shingles as a partner may lack, and one) holds no shared shingle has no partner and is out.
 3. Classes meet on prefix shingles. Pairs must pass the length filter, the positional filter (what is left after the
    shingle in the rarest-first order must suffice) and the suffix filter: parities of shingles in 512 parts bound the
@@ -43,6 +46,8 @@ NO_ID = -(1 << 63)
 SIGNATURE_WORDS = 8
 #: Bytes of a scan a bin; shingles that a task holds before it hands them on.
 BIN_BYTES, HELD = 8 << 20, 800_000
+#: Shingles of classes that are left over a bin.
+BIN_SHINGLES = 1_300_000
 #: Classes that make a shingle frequent: of one such run, and of a bin; entries that a bin holds before it looks for those.
 LOCAL, FREQUENT, BIN_HELD = 32, 20_000, 2_000_000
 #: Stands for the number of classes of a frequent shingle.
@@ -78,6 +83,28 @@ def shingle_sets(texts: list[str], words: int) -> Iterator[tuple[bytes, np.ndarr
         first = stop
 
 
+def _least(n, pct: int):
+    return (n * pct + 99) // 100
+
+
+def _more(n, pct: int):
+    return 1 + n * pct // 1000
+
+
+def head_length(n, pct: int):
+    """Of n hashes in ascending order how many are the head: those that a partner may lack, and some more."""
+    return n - _least(n, pct) + _more(n, pct)
+
+
+def head_shared(n, pct: int):
+    """How many hashes of its head a set of n shares at least with a partner's head.
+
+    Up to the k-th shared hash stand k - 1 shared ones and those that the partner lacks; so the heads of both hold the
+    first k, for the less of their k's. A partner has at least _least(n) shingles.
+    """
+    return _more(_least(n, pct), pct)
+
+
 def _dealt(bins: np.ndarray, columns: list[np.ndarray], names: list[str], empty: list[str]) -> pa.RecordBatch:
     """One row a bin with its share of each column as bytes."""
     order = np.argsort(bins, kind="stable")
@@ -102,23 +129,22 @@ _DOC = np.dtype([("doc_id", "<i8"), ("key", "<i8"), ("high", "<i8"), ("n", "<i4"
 _PACKED = "bin int, tokens binary, keys binary, ns binary, dfs binary, docs binary"
 
 
-def _profiles(docs: DataFrame, words: int, pct: int, id_column: str, text_column: str) -> DataFrame:
-    """kind 0: (doc_id, key, high, n) of each document; kind 1: (key, n, tokens, prefix, s0..) of classes that may have partners."""
-    # About 8 MB of the scan a bin. Few bins keep a class's entries together, which the shuffle compresses.
-    split = docs.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(docs.sparkSession.conf.get("spark.sql.files.maxPartitionBytes"))
-    bins = max(2, split // BIN_BYTES) * scan_partitions(docs)
+
+def _counted(docs: DataFrame, words: int, bins: int, head_pct: int = 0) -> DataFrame:
+    """Packed rows by the bin of their class: entries of shared shingles. docs: text, id (bigint). head_pct: of classes' heads, with a row a document."""
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens: list[np.ndarray] = []
+        sizes: list[int] = []
         keys: list[int] = []
         docs_seen: list[tuple] = []
         seen: set[bytes] = set()
         held = 0
 
         def handed_on() -> Iterator[pa.RecordBatch]:
-            sizes = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
+            dealt = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
             token = np.concatenate(tokens) if tokens else np.empty(0, dtype=np.int64)
-            key, n = np.repeat(np.array(keys, dtype=np.int64), sizes), np.repeat(sizes.astype(np.int32), sizes)
+            key, n = np.repeat(np.array(keys, dtype=np.int64), dealt), np.repeat(np.array(sizes, dtype=np.int32), dealt)
             if len(token):
                 # Entries stay in the order of their classes, which lets the shuffle compress keys and sizes.
                 order = np.argsort(token, kind="stable")
@@ -133,6 +159,8 @@ def _profiles(docs: DataFrame, words: int, pct: int, id_column: str, text_column
                 if often.any():
                     token, key, n = token[often], key[often], n[often]
                     yield _dealt((mixed(key.view(np.uint64)) % np.uint64(bins)).astype(np.int32), [token, key, n, np.full(len(n), MANY, dtype=np.int32)], ["tokens", "keys", "ns", "dfs"], ["docs"])
+            if not head_pct:
+                return
             rows = np.array(docs_seen, dtype=_DOC)
             yield pa.RecordBatch.from_arrays([pa.array((rows["doc_id"][:1] % bins).astype(np.int32)), *[pa.nulls(1, pa.binary())] * 4, pa.array([rows.tobytes()], pa.binary())], names=["bin", "tokens", "keys", "ns", "dfs", "docs"])
 
@@ -143,12 +171,13 @@ def _profiles(docs: DataFrame, words: int, pct: int, id_column: str, text_column
                 docs_seen.append((doc_id, key, high, len(own)))
                 if md5 not in seen and len(own):
                     seen.add(md5)
-                    tokens.append(own)
+                    tokens.append(own[: head_length(len(own), head_pct)] if head_pct else own)
+                    sizes.append(len(own))
                     keys.append(key)
-                    held += len(own)
+                    held += len(tokens[-1])
             if held >= HELD or len(docs_seen) >= HELD // 10:
                 yield from handed_on()
-                tokens, keys, docs_seen, seen, held = [], [], [], set(), 0
+                tokens, sizes, keys, docs_seen, seen, held = [], [], [], [], set(), 0
         if docs_seen:
             yield from handed_on()
 
@@ -197,29 +226,75 @@ def _profiles(docs: DataFrame, words: int, pct: int, id_column: str, text_column
         shared = (df > 1) & (n > 0)
         yield from to_classes(token[shared], key[shared], n[shared], df[shared])
 
-    names = ["kind", "doc_id", "key", "high", "n", "m", "tokens", "prefix", *(f"s{k}" for k in range(SIGNATURE_WORDS))]
+    dealt = docs.mapInArrow(shingles, _PACKED).repartitionById(bins, "bin")
+    return dealt.mapInArrow(frequencies, _PACKED).repartitionById(bins, "bin")
 
-    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _entries(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(token, key, n, df) by class, in the order of (df, token), each once: copies of one text in several tasks send a frequent shingle more than once."""
+    token, key, n, df = (np.concatenate(p) if p else np.empty(0, dtype=np.int64) for p in parts)
+    order = np.lexsort((token, df, key))
+    token, key, n, df = token[order], key[order], n[order], df[order]
+    fresh = np.append(True, (key[1:] != key[:-1]) | (token[1:] != token[:-1]))[: len(token)]
+    return token[fresh], key[fresh], n[fresh], df[fresh]
+
+
+def _columns(batch: pa.RecordBatch, parts: list[list[np.ndarray]]) -> None:
+    for own, column, kind in zip(parts, (1, 2, 3, 4), ("<i8", "<i8", "<i4", "<i4")):
+        own.append(_joined(batch.column(column), kind))
+
+
+def _documents(docs: DataFrame, words: int, pct: int, bins: int) -> DataFrame:
+    """kind 0: (doc_id, key, high, n) of each document; kind 1: (key, n) of classes that may have partners by their heads."""
+    names = ["kind", "doc_id", "key", "high", "n"]
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = [[], [], [], []]
         for batch in batches:
-            for own, column, kind in zip(parts, (1, 2, 3, 4), ("<i8", "<i8", "<i4", "<i4")):
-                own.append(_joined(batch.column(column), kind))
+            _columns(batch, parts)
             rows = _joined(batch.column(5), _DOC)
             if len(rows):
                 ids = rows["doc_id"].copy()
-                filled = [pa.array(np.zeros(len(rows), dtype=np.int8)), pa.array(ids, mask=ids == NO_ID), *(pa.array(rows[c].copy()) for c in ("key", "high", "n"))]
-                blank = [pa.nulls(len(rows), k) for k in (pa.int32(), pa.binary(), pa.list_(pa.int64()), *[pa.int64()] * SIGNATURE_WORDS)]
-                yield pa.RecordBatch.from_arrays([*filled, *blank], names=names)
-        token, key, n, df = (np.concatenate(p) if p else np.empty(0, dtype=np.int64) for p in parts)
-        order = np.lexsort((token, df, key))
-        token, key, n = token[order], key[order], n[order]
-        # Copies of one text in several tasks send a frequent shingle more than once.
-        fresh = np.append(True, (key[1:] != key[:-1]) | (token[1:] != token[:-1]))[: len(token)]
-        token, key, n = token[fresh], key[fresh], n[fresh]
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(rows), dtype=np.int8)), pa.array(ids, mask=ids == NO_ID), *(pa.array(rows[c].copy()) for c in ("key", "high", "n"))], names=names)
+        _, key, n, _ = _entries(parts)
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        shared, key, n = np.diff(np.append(first, len(key))), key[first], n[first]
+        kept = shared >= head_shared(n.astype(np.int64), pct)
+        key, n = key[kept], n[kept].astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(key), dtype=np.int8)), pa.nulls(len(key), pa.int64()), pa.array(key), pa.nulls(len(key), pa.int64()), pa.array(n)], names=names)
+
+    return staged(_counted(docs, words, bins, pct).mapInArrow(heads, "kind tinyint, doc_id bigint, key bigint, high bigint, n int"), "documents", ["kind"])
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(text, id, key): of equal texts in a task one."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for part, texts in text_steps(batches):
+            keys = [int.from_bytes(hashlib.md5(b" ".join(t.encode().lower().split())).digest()[:8], "little", signed=True) for t in texts]
+            fresh = []
+            for k in keys:
+                fresh.append(k not in seen)
+                seen.add(k)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.int64())], names=["text", "id", "key"]).filter(pa.array(fresh, pa.bool_()))
+
+    return docs.mapInArrow(add, "text string, id bigint, key bigint")
+
+
+def _profiles(docs: DataFrame, words: int, pct: int, bins: int) -> DataFrame:
+    """(key, n, m, tokens, prefix, s0..) of classes that may have partners. docs: text, id of such classes."""
+    names = ["key", "n", "m", "tokens", "prefix", *(f"s{k}" for k in range(SIGNATURE_WORDS))]
+
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[list[np.ndarray]] = [[], [], [], []]
+        for batch in batches:
+            _columns(batch, parts)
+        token, key, n, _ = _entries(parts)
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
         m = np.diff(np.append(first, len(key)))
         size = n[first].astype(np.int64)
-        in_prefix = m - (size * pct + 99) // 100 + 1
+        in_prefix = m - _least(size, pct) + 1
         out = []
         for a, count, total, prefix in zip(first.tolist(), m.tolist(), size.tolist(), in_prefix.tolist()):
             if prefix < 1:
@@ -227,7 +302,7 @@ def _profiles(docs: DataFrame, words: int, pct: int, id_column: str, text_column
             own = token[a : a + count]
             odd = np.bincount((own.view(np.uint64) >> np.uint64(7) & np.uint64(64 * SIGNATURE_WORDS - 1)).astype(np.int64), minlength=64 * SIGNATURE_WORDS) & 1
             signature = np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
-            out.append((1, None, int(key[a]), None, total, count, own.tobytes(), own[:prefix].tolist(), *signature))
+            out.append((int(key[a]), total, count, own.tobytes(), own[:prefix].tolist(), *signature))
             if len(out) == 1000:
                 yield _rows(out)
                 out = []
@@ -235,13 +310,11 @@ def _profiles(docs: DataFrame, words: int, pct: int, id_column: str, text_column
             yield _rows(out)
 
     def _rows(out: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), *[pa.int64()] * SIGNATURE_WORDS]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), *[pa.int64()] * SIGNATURE_WORDS]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
-    schema = "kind tinyint, doc_id bigint, key bigint, high bigint, n int, m int, tokens binary, prefix array<bigint>, " + ", ".join(f"s{k} bigint" for k in range(SIGNATURE_WORDS))
-    dealt = docs.select(text_column, F.col(id_column).cast("bigint")).mapInArrow(shingles, _PACKED).repartitionById(bins, "bin")
-    counted = dealt.mapInArrow(frequencies, _PACKED).repartitionById(bins, "bin")
-    return staged(counted.mapInArrow(classes, schema), "shingles", ["kind"])
+    schema = "key bigint, n int, m int, tokens binary, prefix array<bigint>, " + ", ".join(f"s{k} bigint" for k in range(SIGNATURE_WORDS))
+    return staged(_counted(docs, words, bins).mapInArrow(classes, schema), "shingles")
 
 
 def _fits(pct: int) -> Column:
@@ -322,9 +395,16 @@ def linked_components(docs: DataFrame, words: int = 5, pct: int = 80, id_column:
     """(id, n_shingles, component_id) of every document: component_id is the least id that links reach from it."""
     if not 1 <= words <= 128 or not 1 <= pct <= 100:
         raise ValueError("words from 1 to 128, pct from 1 to 100")
-    table = _profiles(docs, words, pct, id_column, text_column)
+    texts = docs.select(F.col(text_column).alias("text"), F.col(id_column).cast("bigint").alias("id"))
+    # About 8 MB of the scan a bin, 16 MB of heads. Few bins keep a class's entries together, which the shuffle compresses.
+    split = docs.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(docs.sparkSession.conf.get("spark.sql.files.maxPartitionBytes"))
+    parts = scan_partitions(docs)
+    table = _documents(texts, words, pct, max(1, split // (2 * BIN_BYTES)) * parts)
+    candidates = table.filter("kind = 1")
+    bins = max(parts, (candidates.agg(F.sum("n")).first()[0] or 0) // BIN_SHINGLES)
+    left = _keyed(texts).join(candidates.select("key"), "key", "left_semi").select("text", "id")
     members = table.filter("kind = 0").select("doc_id", "key", "high", F.col("n").cast("bigint").alias("n_shingles"))
-    near = _linked_classes(table.filter("kind = 1"), pct)
+    near = _linked_classes(_profiles(left, words, pct, bins), pct)
 
     # Every class in a link, by its component; a component's least class is in no row of near.
     inside = near.select(F.col("u").alias("key"), "component").unionByName(near.select(F.col("component").alias("key"), "component").distinct())
