@@ -7,8 +7,11 @@ import io
 import json
 import tarfile
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
+from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from wordloom.sources import archives, markup, tables, text
@@ -150,3 +153,29 @@ def test_digests_are_the_same_at_any_range_and_over_five_gigabytes(spark, tmp_pa
     leaf = hashlib.sha256(bytes(archives.LEAF_BYTES)).hexdigest()
     root = hashlib.sha256((leaf * 640).encode()).hexdigest()
     assert archives.digest(spark, str(tmp_path / "large")) == hashlib.sha256(root.encode()).hexdigest()
+
+
+def test_files_digested_side_by_side_share_one_source(spark, tmp_path, monkeypatch):
+    """Spark refuses a name that another thread has registered, as it did two sources of a recipe with files of several leaves."""
+
+    class Taken(AnalysisException):
+        def getCondition(self):
+            return "DATA_SOURCE_ALREADY_EXISTS"
+
+    kind, known = type(spark.dataSource), set()
+    register = kind.register
+
+    def once(self, source):
+        if source.name() in known:
+            raise Taken("taken")
+        register(self, source)
+        known.add(source.name())
+
+    monkeypatch.setattr(kind, "register", once)
+    for name in "ab":
+        (tmp_path / name).write_bytes(name.encode() * (archives.LEAF_BYTES + 1))
+    with ThreadPoolExecutor(2) as pool:
+        found = list(pool.map(inheritable_thread_target(spark)(lambda name: archives.digest(spark, str(tmp_path / name))), "ab"))
+    leaves = lambda name: [name.encode() * archives.LEAF_BYTES, name.encode()]
+    hexed = lambda data: hashlib.sha256(data).hexdigest()
+    assert found == [hexed(hexed("".join(map(hexed, leaves(name))).encode()).encode()) for name in "ab"]

@@ -55,6 +55,19 @@ def test_sentences_and_counts(spark):
     assert got(found["pairs"]) == [("Windows는", "나왔다", 1), ("바람", "바람", 1), ("바람", "소리", 1)]
 
 
+def test_a_corpus_is_read_once_for_words_and_pairs(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    found = words.counted(spark.createDataFrame([("tea tea milk",), ("tea milk",)], "text string").select(seen("text").alias("text")), cased=False, minimum=2)
+    assert (got(found["observed"]), got(found["pairs"])) == ([("milk", 2), ("tea", 3)], [("tea", "milk", 2), ("tea", "tea", 1)])
+    assert read.value == 2
+
+
 def test_word_lists(spark):
     found = words.word_list(lines_of(spark, ["# note", "밈", "브이로그\t40", "오탈자\t1", ""]), 0.5, minimum=10)
     assert got(found["attested"]) == [("밈", 0.5), ("브이로그", 0.5)]

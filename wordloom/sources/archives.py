@@ -16,12 +16,14 @@ import io
 import json
 import re
 import tarfile
+import threading
 import zipfile
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -37,6 +39,19 @@ FORMS = {
 }
 
 
+_REGISTERING = threading.Lock()
+
+
+def _register(spark: SparkSession, source: type[DataSource]) -> None:
+    """Sources of a recipe are read side by side, and Spark may refuse a name that another thread has registered."""
+    with _REGISTERING:
+        try:
+            spark.dataSource.register(source)
+        except AnalysisException as refused:
+            if refused.getCondition() != "DATA_SOURCE_ALREADY_EXISTS":
+                raise
+
+
 def _open(path: str):
     found, inner = _file_system(path)
     return found.open_input_file(inner)
@@ -269,7 +284,7 @@ class ArchiveMembers(DataSource):
 
 def members(spark: SparkSession, path: str, form: str = "lines", member: str = ".*", encoding: str = "UTF-8", tag: str = "", run_bytes: int = RUN_BYTES) -> DataFrame:
     """Rows of the members whose whole names match, of all archives that path names; place counts a member's lines or records from 0."""
-    spark.dataSource.register(ArchiveMembers)
+    _register(spark, ArchiveMembers)
     given = {"paths": json.dumps([p for p, _ in files(spark, path)]), "form": form, "member": member, "encoding": encoding, "tag": tag, "run_bytes": str(run_bytes)}
     return spark.read.format("archive_members").options(**given).load()
 
@@ -323,7 +338,7 @@ def leaf_digests(spark: SparkSession, read: list[tuple[str, int]], run_bytes: in
         cut = spark.read.format("binaryFile").load(whole).select("path", "content", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("length") / LEAF_BYTES) - 1).cast("int"))).alias("leaf"))
         out = out.unionByName(cut.select("path", F.col("leaf").cast("bigint").alias("leaf"), F.sha2(F.substring("content", F.col("leaf") * LEAF_BYTES + 1, F.lit(LEAF_BYTES)), 256).alias("digest")))
     if ranged:
-        spark.dataSource.register(FileLeaves)
+        _register(spark, FileLeaves)
         out = out.unionByName(spark.read.format("file_leaves").option("files", json.dumps(ranged)).option("run_bytes", str(run_bytes)).load())
     return out
 
