@@ -31,6 +31,18 @@ def test_streamed_runs_are_those_of_the_batch(spark, tmp_path):
     assert got == sorted(map(tuple, want.collect())) and {x[3] for x in got} >= {1, 2}
 
 
+def test_timers_grow_with_users_and_the_last_press_ends_a_run(spark, tmp_path):
+    presses = [(user, "a", 1000 + 10 * k, k) for user in (1, 2) for k in range(taps.CHUNK + 5)]
+    last = presses[-1][2]
+    spark.createDataFrame([*presses, (1, "b", last + 20, None)], SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    out = taps.tap_runs(stream, "0 seconds").writeStream.format("memory").queryName("ended_runs").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    out.awaitTermination()
+    # The last press is at the watermark: nothing earlier can come, so it ends the run before it, as in the batch form.
+    assert list(map(tuple, spark.table("ended_runs").collect())) == [(1, 1, "a", len(presses) // 2, 1000, last)]
+    assert sum(op.customMetrics["numRegisteredTimers"] for step in out.recentProgress for op in step.stateOperators) <= 6
+
+
 def test_changes_of_stores_add_up_to_the_stores(spark, tmp_path):
     """Evicting stores over three micro-batches; rows come in proportion to events."""
     events = [(u, k, f"w{(k * k * 7 + u) % (30 if u == 1 else 23)}" if k % 11 else "kept", "forget" if k % 13 == 5 else "record") for u in (1, 2) for k in range(240)]
