@@ -135,6 +135,18 @@ def test_suggestions_are_those_of_plain_loops(spark):
     assert suggest.suggest(asked.limit(0), lexicon, bigrams, personal).collect() == []
 
 
+def test_suggestions_end_in_a_small_plan(spark, capsys):
+    """As one plan, parts that are used often stood in it many times over, and its descriptions filled the driver."""
+    asked = spark.createDataFrame([(1, "te", 1, "green")], "query_id bigint, query string, user_id bigint, previous string")
+    lexicon, bigrams = spark.createDataFrame([("tea", 9)], "key string, freq int"), spark.createDataFrame([("green", "tea", 5)], "left string, right string, weight int")
+    personal, affixes = spark.createDataFrame([(1, "ten", 3, True)], "user_id bigint, word string, weight bigint, learned boolean"), spark.createDataFrame([("ed",)], "affix string")
+    out = suggest.suggest(asked, lexicon, bigrams, personal, affixes)
+    assert [r["text"] for r in out.orderBy("place").collect()] == ["te", "tea", "ten"]
+    capsys.readouterr()
+    out.explain()
+    assert capsys.readouterr().out.count("Exchange") <= 4
+
+
 def test_shortcuts_come_before_corrections(spark):
     asked = spark.createDataFrame([(1, "omw", 5), (2, "teh", 5), (3, "omw", 6), (4, "teh", 6)], "query_id bigint, query string, user_id bigint")
     own = spark.createDataFrame([(5, "omw", "on my way"), (5, "teh", "Teh")], "user_id bigint, surface string, text string")
